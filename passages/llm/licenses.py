@@ -66,8 +66,8 @@ SPELLINGS = {
     "wilful": "willful",
 }
 
-#: A line that states a copyright, and one that only names the licence or reserves rights.
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: A line that states a copyright (with its sign or a year) or reserves rights.
+COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}(©\n]*(?:copyright[ \t:]*(?:\(c\)|©|[0-9]{4})|\(c\)[ \t]*[0-9]{4}|©|all rights reserved)[^\n]*$"
 
 
 def canonical(text: Column) -> Column:
