@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from passages.llm import licenses, pii, secrets
+from passages.llm import language, licenses, pii, secrets
 from passages.llm.common import table
 
 QUERIES = {
+    "op1_language_id": lambda spark, d: language.report(table(spark, d, "documents")),
     "op4_license_scan": lambda spark, d: licenses.licence_report(table(spark, d, "documents")),
     "op7_pii": lambda spark, d: pii.pii_report(table(spark, d, "documents")),
     "op8_secret_scan": lambda spark, d: secrets.secret_report(table(spark, d, "documents")),
