@@ -33,11 +33,13 @@ class Rule:
     least: int
 
 
-#: The base rules, in the order of their kinds.
+#: The base rules, in the order of their kinds. A match of ``AKIA[A-Z0-9]+`` or ``[0-9a-f]+`` is a run to
+#: its end, and one that is too short holds no other, so their least lengths can stand in the expression;
+#: then only what counts becomes a row. An ``assign`` that fails can hide another, so its test comes after.
 BASE_RULES = (
     Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
-    Rule("hex", r"[0-9a-f]+", 0, 24),
+    Rule("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
+    Rule("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 #: Rules beyond the base: private key headers, signed web tokens and prefixed tokens.
 EXTRA_RULES = (
