@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from passages.llm import language, licenses, pii, secrets
+from passages.llm import language, licenses, near_duplicates, pii, secrets
 from passages.llm.common import table
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_license_scan": lambda spark, d: licenses.licence_report(table(spark, d, "documents")),
     "op7_pii": lambda spark, d: pii.pii_report(table(spark, d, "documents")),
     "op8_secret_scan": lambda spark, d: secrets.secret_report(table(spark, d, "documents")),
+    "op9_minhash": lambda spark, d: near_duplicates.report(table(spark, d, "documents")),
 }
 
 ORACLES = {
