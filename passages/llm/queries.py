@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from passages.llm import language, licenses, near_duplicates, pii, secrets
+from passages.llm import embeddings, language, licenses, near_duplicates, pii, secrets
 from passages.llm.common import table
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_pii": lambda spark, d: pii.pii_report(table(spark, d, "documents")),
     "op8_secret_scan": lambda spark, d: secrets.secret_report(table(spark, d, "documents")),
     "op9_minhash": lambda spark, d: near_duplicates.report(table(spark, d, "documents")),
+    "op10_embedding_dedup": lambda spark, d: embeddings.report(table(spark, d, "embeddings")),
 }
 
 ORACLES = {
