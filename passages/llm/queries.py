@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from passages.llm import embeddings, language, licenses, near_duplicates, pii, secrets
+from passages.llm import embeddings, language, licenses, near_duplicates, packing, pii, secrets, warc
 from passages.llm.common import table
 
 QUERIES = {
     "op1_language_id": lambda spark, d: language.report(table(spark, d, "documents")),
+    "op2_warc": lambda spark, d: warc.report(table(spark, d, "pages")),
     "op4_license_scan": lambda spark, d: licenses.licence_report(table(spark, d, "documents")),
+    "op5_packing": lambda spark, d: packing.report(table(spark, d, "documents")),
     "op7_pii": lambda spark, d: pii.pii_report(table(spark, d, "documents")),
     "op8_secret_scan": lambda spark, d: secrets.secret_report(table(spark, d, "documents")),
     "op9_minhash": lambda spark, d: near_duplicates.report(table(spark, d, "documents")),
