@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from passages.llm import embeddings, language, licenses, near_duplicates, packing, pii, secrets, warc
+from passages.llm import decontamination, embeddings, language, licenses, near_duplicates, packing, pii, secrets, warc
 from passages.llm.common import table
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_warc": lambda spark, d: warc.report(table(spark, d, "pages")),
     "op4_license_scan": lambda spark, d: licenses.licence_report(table(spark, d, "documents")),
     "op5_packing": lambda spark, d: packing.report(table(spark, d, "documents")),
+    "op6_decontamination": lambda spark, d: decontamination.report(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op7_pii": lambda spark, d: pii.pii_report(table(spark, d, "documents")),
     "op8_secret_scan": lambda spark, d: secrets.secret_report(table(spark, d, "documents")),
     "op9_minhash": lambda spark, d: near_duplicates.report(table(spark, d, "documents")),
@@ -17,5 +18,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op6_decontamination": decontamination.REPORT_SQL,
     "op4_license_scan": licenses.report_sql(),
 }
