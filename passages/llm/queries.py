@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from passages.llm import decontamination, embeddings, language, licenses, near_duplicates, packing, pii, secrets, warc
+from passages.llm import decontamination, embeddings, language, licenses, near_duplicates, packing, pii, secrets, suffix_dedup, warc
 from passages.llm.common import table
 
 QUERIES = {
     "op1_language_id": lambda spark, d: language.report(table(spark, d, "documents")),
     "op2_warc": lambda spark, d: warc.report(table(spark, d, "pages")),
+    "op3_suffix_dedup": lambda spark, d: suffix_dedup.report(table(spark, d, "documents")),
     "op4_license_scan": lambda spark, d: licenses.licence_report(table(spark, d, "documents")),
     "op5_packing": lambda spark, d: packing.report(table(spark, d, "documents")),
     "op6_decontamination": lambda spark, d: decontamination.report(table(spark, d, "documents"), table(spark, d, "benchmark")),
