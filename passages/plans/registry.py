@@ -1,4 +1,459 @@
-"""Every registered query of the library, with its oracle SQL."""
+"""Every registered query of the library, with its oracle SQL. Queries are named after the operator they apply."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from passages.functions import text as T
+from passages.operators import ann, chunk, evaluate, expand, fusion, lexical, prompt, vectors
+from passages.plans import sql as S
+from passages.sources import corpus
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(oracle: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def doc_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of the documents, dealt by doc_id before they multiply, so that grouping by (doc_id, chunk_no) needs no further exchange."""
+    return chunk.chunk_words(table(spark, d, "documents").select("doc_id", "text").repartition("doc_id"))
+
+
+def markdown(spark: SparkSession, d: str) -> DataFrame:
+    """A Markdown document (conv_id, text) of each conversation, with a section for each turn."""
+    part = F.concat(F.lit("## "), F.col("role"), F.lit("\n"), F.regexp_replace("text", "\r", ""))
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", part.alias("part")))).alias("p"))
+    return turns.select("conv_id", F.array_join(F.col("p.part"), "\n").alias("text"))
+
+
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def vector_queries(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def bm25_hits(spark: SparkSession, d: str, k: int) -> DataFrame:
+    return lexical.bm25_top_k(lexical.build(doc_chunks(spark, d)), asked(spark, d), k)
+
+
+def named(hits: DataFrame, spark: SparkSession, d: str) -> DataFrame:
+    """Hits with the text of their chunk and the source of their document."""
+    return hits.join(doc_chunks(spark, d), ["doc_id", "chunk_no"]).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+
+
+# sources and cleaning
+
+
+@query("SELECT coalesce(source, '?') AS source, text FROM documents")
+def s2_from_table(spark, d):
+    return corpus.from_table(table(spark, d, "documents"), "text", "source")
+
+
+@query(f"SELECT page_id, {S.clean('html')} AS cleaned FROM pages")
+def i1_clean(spark, d):
+    return table(spark, d, "pages").select("page_id", T.clean(F.col("html")).alias("cleaned"))
+
+
+@query(f"SELECT page_id, {S.html_to_text('html')} AS visible FROM pages")
+def i2_html_to_text(spark, d):
+    return table(spark, d, "pages").select("page_id", T.html_to_text(F.col("html")).alias("visible"))
+
+
+_RULES = [(["src1", "src2"], "billing"), (["src3"], "security")]
+
+
+@query("SELECT doc_id, CASE WHEN contains(lower(source), 'src1') OR contains(lower(source), 'src2') THEN 'billing' WHEN contains(lower(source), 'src3') THEN 'security' ELSE 'general' END AS category FROM documents")
+def i3_category_of(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.category_of(F.col("source"), _RULES).alias("category"))
+
+
+@query(f"SELECT doc_id, CASE WHEN length(f) <= 88 THEN f ELSE left(f, 88) || '...' END AS line FROM (SELECT doc_id, {S.clean('text')} f FROM documents)")
+def i4_one_line(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.one_line(F.col("text")).alias("line"))
+
+
+# chunking
+
+
+@query(S.chunks("documents", "doc_id"))
+def c1_chunk_words(spark, d):
+    return chunk.chunk_words(table(spark, d, "documents").select("doc_id", "text"))
+
+
+@query(
+    f"SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT chunk_no, p AS text FROM (SELECT doc_id, unnest(range(1, len(l) + 1)) i, {S.strip('unnest(l)')} p FROM (SELECT doc_id, string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)) l FROM documents)) WHERE p <> ''"
+)
+def c2_chunk_paragraphs(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    return chunk.chunk_paragraphs(docs)
+
+
+@query(S.SECTIONS)
+def c3_chunk_sections(spark, d):
+    return chunk.chunk_sections(markdown(spark, d))
+
+
+@query(f"SELECT conv_id, section_no, heading, chunk_no, text FROM (WITH s AS ({S.SECTIONS}) {S.chunks('s', 'conv_id, section_no, heading', 'body', 14, 4)})")
+def c5_section_windows(spark, d):
+    return chunk.chunk_section_windows(markdown(spark, d))
+
+
+_CONFIGS = [(40, 5), (120, 20), (300, 40), (50, 10)]
+
+
+@query(" UNION ALL ".join(f"SELECT {s}::INT size, {o}::INT overlap, count(*) n_chunks, round(avg(len(string_split(text, ' '))), 6) avg_words FROM ({S.chunks('documents', 'doc_id', 'text', s, o)})" for s, o in _CONFIGS))
+def c6_chunk_sweep(spark, d):
+    return chunk.chunk_sweep(table(spark, d, "documents"), _CONFIGS)
+
+
+@query(f"WITH c AS ({S.chunks('documents', 'doc_id')}) SELECT doc_id, chunk_no, left(text, strpos(text, ' of ') - 1) AS before, substr(text, strpos(text, ' of ')) AS after FROM c WHERE contains(text, ' the ') AND contains(text, ' of ')")
+def c7_straddling(spark, d):
+    return chunk.straddling(doc_chunks(spark, d), " the ", " of ").select("doc_id", "chunk_no", "before", "after")
+
+
+@query(f"SELECT * FROM ({S.SECTIONS}) WHERE contains(heading, 'assist')")
+def c8_sections_about(spark, d):
+    return chunk.sections_about(chunk.chunk_sections(markdown(spark, d)), "assist")
+
+
+# vector search
+
+
+@query(f"SELECT q.vec_id query_id, a.vec_id, round({S.COSINE}, 6) AS score FROM embeddings a JOIN embeddings q ON q.label = a.label AND q.vec_id % 50 = 0")
+def v1_cosine(spark, d):
+    e = table(spark, d, "embeddings")
+    q = vector_queries(spark, d).withColumnRenamed("embedding", "q").join(e.select(F.col("vec_id").alias("query_id"), "label"), "query_id")
+    return e.join(q, "label").select("query_id", "vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+
+
+@query(f"SELECT query_id, vec_id, rank::INT rank, round(score, 6) AS score FROM ({S.knn(5)})")
+def v2_knn(spark, d):
+    return vectors.knn(table(spark, d, "embeddings"), vector_queries(spark, d)).withColumn("score", F.round("score", 6))
+
+
+@query(f"SELECT query_id, vec_id, rank::INT rank, round(score, 6) AS score FROM ({S.knn(4)})")
+def v3_retrieve(spark, d):
+    return vectors.knn(table(spark, d, "embeddings"), vector_queries(spark, d), 4).withColumn("score", F.round("score", 6))
+
+
+@query(f"SELECT query_id, vec_id, rank::INT rank, round(score, 6) AS score FROM ({S.knn(5, where='a.label IN (1, 2)')})")
+def v4_filtered_knn(spark, d):
+    return vectors.filtered_knn(table(spark, d, "embeddings"), vector_queries(spark, d), F.col("label").isin(1, 2)).withColumn("score", F.round("score", 6))
+
+
+@query(f"SELECT query_id, vec_id, rank::INT rank, round(score, 6) AS score FROM ({S.knn(5, where='a.label IN (q.vec_id % 10, (q.vec_id // 50) % 10)')})")
+def v4_granted_knn(spark, d):
+    q = vector_queries(spark, d)
+    grants = q.select("query_id", F.explode(F.array((F.col("query_id") % 10).cast("int"), (F.floor(F.col("query_id") / 50) % 10).cast("int"))).alias("label")).distinct()
+    return vectors.granted_knn(table(spark, d, "embeddings"), q, grants, "label").withColumn("score", F.round("score", 6))
+
+
+_PARENTS = f"""WITH s AS ({S.SECTIONS}), small AS ({S.chunks("s", "conv_id, section_no, heading", "body", 14, 4)}),
+last AS (SELECT conv_id, heading, body FROM s QUALIFY row_number() OVER (PARTITION BY conv_id, heading ORDER BY section_no DESC) = 1)
+SELECT conv_id, section_no, chunk_no, heading, len({S.words("small.text")})::INT chunk_words, len({S.words("body")})::INT parent_words, (len({S.words("body")}) // len({S.words("small.text")}))::BIGINT ratio, body AS parent
+FROM small JOIN last USING (conv_id, heading)"""
+
+
+@query(_PARENTS)
+def v5_parents(spark, d):
+    sections = chunk.chunk_sections(markdown(spark, d))
+    found = expand.parents(chunk.chunk_section_windows(markdown(spark, d)), sections, "conv_id")
+    return found.select("conv_id", "section_no", "chunk_no", "heading", "chunk_words", "parent_words", "ratio", "parent")
+
+
+@query(
+    f"""WITH h AS (SELECT query_id // 100 query_id, query_id % 100 variant_no, vec_id, score, rank FROM ({S.knn(8)})),
+b AS (SELECT query_id, vec_id, max(score) score, min(struct_pack(a := variant_no, b := rank)) seen FROM h GROUP BY ALL)
+SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, seen)::INT rank FROM b QUALIFY rank <= 5"""
+)
+def v6_multi_query(spark, d):
+    hits = vectors.knn(table(spark, d, "embeddings"), vector_queries(spark, d), 8)
+    hits = hits.withColumn("variant_no", F.col("query_id") % 100).withColumn("query_id", F.floor(F.col("query_id") / 100))
+    return expand.best_of_variants(hits, ["vec_id"]).withColumn("score", F.round("score", 6)).select("query_id", "vec_id", "score", "rank")
+
+
+@query(
+    f"""SELECT conv_id, turn, i::INT variant_no, v AS variant FROM (SELECT conv_id, turn, unnest(range(0, len(l))) i, unnest(l) v FROM
+ (SELECT conv_id, turn, list_concat([role], list_transform(list_filter(string_split(text, chr(10)), lambda x: {S.strip('x')} <> ''), lambda x: {S.strip("regexp_replace(x, '^[-• ]+|[-• ]+$', '', 'g')")})) l FROM conversations))"""
+)
+def v7_variants(spark, d):
+    t = table(spark, d, "conversations")
+    return t.select("conv_id", "turn", F.posexplode(expand.variants(F.col("role"), F.col("text"))).alias("variant_no", "variant"))
+
+
+@query(f"WITH c AS ({S.chunks('documents', 'doc_id')}) SELECT doc_id, chunk_no, c.text, lang || ' from ' || source || ', of ' || n_chars || ' characters' || chr(10) || c.text AS embed_text FROM c JOIN documents USING (doc_id)")
+def v9_contextual(spark, d):
+    docs = table(spark, d, "documents")
+    chunks = chunk.chunk_words(docs.select("doc_id", "lang", "source", "n_chars", "text"))
+    context = F.concat(F.col("lang"), F.lit(" from "), F.col("source"), F.lit(", of "), F.length("document").cast("string"), F.lit(" characters"))
+    return expand.contextual(chunks, docs.select("doc_id", "text"), context, "doc_id").select("doc_id", "chunk_no", "text", "embed_text")
+
+
+# keyword search
+
+
+@query(f"SELECT doc_id, array_to_string(regexp_extract_all(lower(text), '{S.TOKEN}'), ' ') AS tokens FROM documents")
+def k1_tokenize(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(T.tokens(F.col("text")), " ").alias("tokens"))
+
+
+@query(f"WITH {S.BM25} SELECT doc_id, chunk_no, term, tf, df FROM post JOIN idf USING (term)")
+def k2_term_statistics(spark, d):
+    index = lexical.build(doc_chunks(spark, d))
+    return index.postings.join(index.terms.select("term", "df"), "term").select("doc_id", "chunk_no", "term", "tf", "df")
+
+
+@query(f"WITH {S.BM25} SELECT n_docs, round(avgdl, 6) AS avgdl FROM st")
+def k2_corpus_statistics(spark, d):
+    return lexical.build(doc_chunks(spark, d)).stats.select("n_docs", F.round("avgdl", 6).alias("avgdl"))
+
+
+@query(f"WITH {S.BM25} SELECT term, df, round(idf, 6) AS idf FROM idf")
+def k3_idf(spark, d):
+    return lexical.build(doc_chunks(spark, d)).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"WITH {S.BM25} SELECT query_id, doc_id, chunk_no, round(score, 6) AS score FROM bm")
+def k4_bm25_scores(spark, d):
+    return lexical.scores(lexical.build(doc_chunks(spark, d)), asked(spark, d)).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {S.bm25_top(5)} SELECT query_id, doc_id, chunk_no, rank::INT rank, round(score, 6) AS score FROM kw")
+def k5_bm25_topk(spark, d):
+    return bm25_hits(spark, d, 5).select("query_id", "doc_id", "chunk_no", "rank", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {S.BM25} SELECT term, round(coalesce(idf, 0), 6) AS idf FROM (SELECT DISTINCT term FROM qt) LEFT JOIN idf USING (term)")
+def k6_idf_report(spark, d):
+    chosen = lexical.query_terms(asked(spark, d)).select("term").distinct()
+    return lexical.idf_report(lexical.build(doc_chunks(spark, d)), chosen).withColumn("idf", F.round("idf", 6))
+
+
+@query(f"WITH {S.BM25} SELECT term, round(idf, 6) AS idf, NULL::BIGINT ties FROM (SELECT * FROM idf ORDER BY idf, term LIMIT 5) UNION ALL SELECT NULL, round(idf, 6), count(*) FROM idf WHERE idf = (SELECT max(idf) FROM idf) GROUP BY 2")
+def k6_idf_extremes(spark, d):
+    return lexical.idf_extremes(lexical.build(doc_chunks(spark, d))).withColumn("idf", F.round("idf", 6))
+
+
+# fusion: documents as one chunk each, vectors paired by vec_id = doc_id, a query's vector by its number
+
+_DOCS = f"""{S.BM25.replace(S.chunks("documents", "doc_id"), "SELECT doc_id, 0 chunk_no, text FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)")},
+vs AS (SELECT item_id query_id, a.vec_id doc_id, {S.COSINE} score FROM benchmark JOIN embeddings q ON q.vec_id = item_id, embeddings a WHERE a.vec_id IN (SELECT doc_id FROM documents)),
+bo AS (SELECT vs.query_id, vs.doc_id, vs.score v, coalesce(bm.score, 0) w FROM vs LEFT JOIN bm ON bm.query_id = vs.query_id AND bm.doc_id = vs.doc_id),
+nm AS (SELECT *, CASE WHEN max(v) OVER q = 0 THEN 0 ELSE v / max(v) OVER q END vector, CASE WHEN max(w) OVER q = 0 THEN 0 ELSE w / max(w) OVER q END keyword FROM bo WINDOW q AS (PARTITION BY query_id)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(vector, 9) DESC, doc_id) rv, row_number() OVER (PARTITION BY query_id ORDER BY round(keyword, 9) DESC, doc_id) rk FROM nm)"""
+
+
+def _lists(spark, d) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, d, "embeddings")
+    docs = table(spark, d, "documents").join(e.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.lit(0).alias("chunk_no"), "text")
+    keyword = lexical.scores(lexical.build(docs), asked(spark, d)).select("query_id", "doc_id", "score")
+    queries = asked(spark, d).join(e.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id").select("query_id", F.col("embedding").alias("q"))
+    paired = e.join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    every = paired.crossJoin(F.broadcast(queries)) if queries.count() <= vectors.BLOCK else paired.crossJoin(queries)
+    return every.select("query_id", F.col("vec_id").alias("doc_id"), vectors.cosine(F.col("embedding"), F.col("q")).alias("score")), keyword
+
+
+@query(f"WITH {_DOCS} SELECT query_id, doc_id, round(vector, 6) AS norm FROM nm")
+def f1_normalize(spark, d):
+    return fusion.normalize(_lists(spark, d)[0]).select("query_id", "doc_id", F.round("norm", 6).alias("norm"))
+
+
+@query(f"WITH {_DOCS} SELECT query_id, doc_id, rv::INT rank FROM rk")
+def f2_ranks(spark, d):
+    return fusion.ranks(fusion.normalize(_lists(spark, d)[0]), ["doc_id"], "norm").select("query_id", "doc_id", "rank")
+
+
+@query(f"WITH {_DOCS}, kr AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) r FROM bm) SELECT query_id, doc_id, round(1.0 / (60 + rv) + coalesce(1.0 / (60 + r), 0), 6) AS score FROM rk LEFT JOIN kr USING (query_id, doc_id)")
+def f3_rrf(spark, d):
+    vector, keyword = _lists(spark, d)
+    lists = [fusion.ranks(fusion.normalize(vector), ["doc_id"], "norm"), fusion.ranks(keyword.join(vector.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi"), ["doc_id"])]
+    return fusion.rrf(lists, ["doc_id"]).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_DOCS} SELECT query_id, doc_id, round(0.5 * vector + 0.5 * keyword, 6) AS blend50, round(0.9 * vector + (1 - 0.9) * keyword, 6) AS blend90 FROM nm")
+def f4_blend(spark, d):
+    vector, keyword = _lists(spark, d)
+    both = fusion.normalize(vector).join(fusion.normalize(keyword, to="kw").select("query_id", "doc_id", "kw"), ["query_id", "doc_id"], "left")
+    w = lambda x: F.round(fusion.blend(F.col("norm"), F.col("kw"), x), 6)
+    return both.select("query_id", "doc_id", w(0.5).alias("blend50"), w(0.9).alias("blend90"))
+
+
+@query(
+    f"""WITH {_DOCS}, al AS (SELECT query_id, doc_id, unnest(['vector', 'keyword', 'blend50', 'rrf', 'blend90']) AS method,
+ unnest([vector, keyword, 0.5 * vector + 0.5 * keyword, 1.0 / (60 + rv) + 1.0 / (60 + rk), 0.9 * vector + (1 - 0.9) * keyword]::DOUBLE[]) score FROM rk)
+SELECT query_id, method, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id, method ORDER BY round(score, 9) DESC, doc_id)::INT rank FROM al QUALIFY rank <= 3"""
+)
+def f5_compare_methods(spark, d):
+    return fusion.compared(*_lists(spark, d), ["doc_id"]).select("query_id", "method", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+# reranking, prompts, citations: hits of BM25 with their text and source
+
+_HITS = f"{S.bm25_top(8)}, h AS (SELECT query_id, doc_id, chunk_no, rank, score, c.text, source FROM kw JOIN c USING (doc_id, chunk_no) JOIN documents d USING (doc_id))"
+_REPLY = "CASE WHEN query_id % 4 = 3 THEN '' ELSE (query_id % 11) || ', ' || (query_id % 5) || ' then [' || (query_id % 3) || ']' END"
+
+
+@query(f"WITH {_HITS} SELECT query_id, doc_id, chunk_no, row_number() OVER (PARTITION BY query_id ORDER BY length(text) DESC, rank)::INT rank FROM h QUALIFY rank() OVER (PARTITION BY query_id ORDER BY length(text) DESC, rank) <= 3")
+def r1_two_stage(spark, d):
+    hits = named(bm25_hits(spark, d, 8), spark, d)
+    return expand.two_stage(hits, F.length("text").cast("double"), lexical.KEY).select("query_id", "doc_id", "chunk_no", "rank")
+
+
+@query(f"WITH {_HITS} SELECT query_id, string_agg('[' || rank || '] ' || left(replace(text, chr(10), ' '), 200), chr(10) ORDER BY rank) AS listing FROM h GROUP BY query_id")
+def r2_listing(spark, d):
+    return expand.listing(named(bm25_hits(spark, d, 8), spark, d))
+
+
+@query(
+    f"""WITH {_HITS}, n AS (SELECT query_id, max(rank) n FROM h GROUP BY 1),
+m AS (SELECT query_id, x, min(i) i FROM (SELECT query_id, n, unnest(l)::INT x, unnest(range(0, len(l))) i FROM (SELECT query_id, n, regexp_extract_all({_REPLY}, '\\d+') l FROM n)) WHERE x BETWEEN 1 AND n GROUP BY ALL)
+SELECT query_id, doc_id, chunk_no, rank::INT rank, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(i, 1000), rank)::INT new_rank FROM h LEFT JOIN m ON m.query_id = h.query_id AND x = rank QUALIFY new_rank <= 3""".replace("SELECT query_id, doc_id, chunk_no, rank::INT", "SELECT h.query_id, doc_id, chunk_no, rank::INT").replace("PARTITION BY query_id ORDER BY coalesce", "PARTITION BY h.query_id ORDER BY coalesce")
+)
+def r3_apply_reply(spark, d):
+    q = asked(spark, d)
+    replies = q.select("query_id", F.expr(_REPLY).alias("reply"))
+    return expand.apply_reply(bm25_hits(spark, d, 8), replies).select("query_id", "doc_id", "chunk_no", "rank", "new_rank")
+
+
+@query(
+    f"""WITH {_HITS}, p AS (SELECT query_id, string_agg('[' || rank || '] (source: ' || coalesce(source, '?') || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) x FROM h WHERE rank <= 4 GROUP BY 1)
+SELECT item_id query_id, 'Context:' || chr(10) || coalesce(x, '') || chr(10) || chr(10) || 'Question: ' || text AS prompt FROM benchmark LEFT JOIN p ON query_id = item_id"""
+)
+def p1_build_prompt(spark, d):
+    return prompt.build_prompt(asked(spark, d), named(bm25_hits(spark, d, 4), spark, d))
+
+
+_ANSWER = "'see [' || (query_id % 7) || '] and [' || (query_id % 12) || '], again [' || (query_id % 7) || ']'"
+
+
+@query(f"WITH {_HITS}, a AS (SELECT query_id, unnest(regexp_extract_all(x, '\\[(\\d+)\\]', 1))::INT n FROM (SELECT query_id, {_ANSWER} x FROM (SELECT DISTINCT item_id query_id FROM benchmark))) SELECT a.query_id, n, count(*) times, source FROM a LEFT JOIN h ON h.query_id = a.query_id AND rank = n GROUP BY ALL")
+def p3_citations(spark, d):
+    answers = asked(spark, d).select("query_id", F.expr(_ANSWER).alias("answer"))
+    return prompt.citations(answers, named(bm25_hits(spark, d, 8), spark, d).select("query_id", "rank", "source"))
+
+
+@query(f"WITH {_HITS}, a AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(x, '\\[(\\d+)\\]', 1))::INT n FROM (SELECT query_id, {_ANSWER} x FROM (SELECT DISTINCT item_id query_id FROM benchmark))) SELECT query_id, n FROM a WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.query_id = a.query_id AND rank = n)")
+def p3_dangling(spark, d):
+    answers = asked(spark, d).select("query_id", F.expr(_ANSWER).alias("answer"))
+    return prompt.dangling(answers, bm25_hits(spark, d, 8))
+
+
+@query(None)
+def p4_snippets(spark, d):
+    return prompt.snippets(named(bm25_hits(spark, d, 4), spark, d), asked(spark, d)).select("query_id", "doc_id", "chunk_no", "snippet")
+
+
+# evaluation: expected are the sources of documents that hold an item
+
+_GOLD = "g AS (SELECT DISTINCT item_id query_id, source FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
+_RANKS = f"{_HITS}, {_GOLD}, fr AS (SELECT g.query_id, coalesce(min(rank), 0)::INT first_rank FROM g LEFT JOIN h ON h.query_id = g.query_id AND h.source = g.source GROUP BY 1)"
+
+
+def gold(spark, d) -> DataFrame:
+    items, docs = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item")), table(spark, d, "documents")
+    items = F.broadcast(items) if items.count() <= vectors.BLOCK else items
+    return docs.join(items, docs["text"].contains(F.col("item"))).select("query_id", "source").distinct()
+
+
+def _first_ranks(spark, d) -> DataFrame:
+    return evaluate.first_hit_rank(gold(spark, d), named(bm25_hits(spark, d, 8), spark, d))
+
+
+@query(f"WITH {_RANKS} SELECT query_id, first_rank FROM fr")
+def e1_first_hit_rank(spark, d):
+    return _first_ranks(spark, d)
+
+
+@query(f"WITH {_RANKS} SELECT count(*) n, round(avg(CASE WHEN first_rank > 0 THEN 1.0 ELSE 0 END), 6)::DOUBLE hit_rate, round(avg(CASE WHEN first_rank > 0 THEN 1.0 / first_rank ELSE 0 END), 6)::DOUBLE mrr FROM fr")
+def e2_hit_rate_mrr(spark, d):
+    return evaluate.retrieval_quality(_first_ranks(spark, d))
+
+
+def _answers(spark, d) -> DataFrame:
+    """Each question's first hit as its answer, the item's first two words as the expected fact."""
+    first = named(bm25_hits(spark, d, 1), spark, d).select("query_id", F.upper("text").alias("answer"))
+    return asked(spark, d).select("query_id", F.substring_index("text", " ", 2).alias("fact")).join(first, "query_id", "left")
+
+
+_CORRECT = "ac AS (SELECT item_id query_id, coalesce(contains(lower(upper(h.text)), lower(array_to_string(string_split(b.text, ' ')[1:2], ' '))), false) correct FROM benchmark b LEFT JOIN h ON h.query_id = item_id AND rank = 1)"
+
+
+@query(f"WITH {_HITS}, {_CORRECT} SELECT query_id, correct FROM ac")
+def e3_answer_correct(spark, d):
+    return evaluate.answer_correct(_answers(spark, d)).select("query_id", "correct")
+
+
+@query(f"WITH {_RANKS}, {_CORRECT} SELECT query_id, first_rank > 0 AS retrieved, first_rank, correct FROM fr JOIN ac USING (query_id)")
+def e4_report(spark, d):
+    return evaluate.report(_first_ranks(spark, d), _answers(spark, d))
+
+
+@query(f"WITH {_HITS}, {_GOLD}, fr AS (SELECT k, g.query_id, coalesce(min(CASE WHEN rank <= k THEN rank END), 0) first_rank FROM g CROSS JOIN (SELECT unnest([1, 3, 8]) k) LEFT JOIN h ON h.query_id = g.query_id AND h.source = g.source GROUP BY ALL) SELECT k::INT k, count(*) n, round(avg(CASE WHEN first_rank > 0 THEN 1.0 ELSE 0 END), 6)::DOUBLE hit_rate, round(avg(CASE WHEN first_rank > 0 THEN 1.0 / first_rank ELSE 0 END), 6)::DOUBLE mrr FROM fr GROUP BY k")
+def e5_knob_sweep(spark, d):
+    hits = evaluate.at_several_k(named(bm25_hits(spark, d, 8), spark, d), [1, 3, 8])
+    return evaluate.retrieval_quality(evaluate.first_hit_rank(gold(spark, d), hits, ("k",)), ("k",))
+
+
+_PROBED = f"""{S.ivf(16)}, sc AS (SELECT query_id, a.vec_id, probe_rank, list_cosine_similarity(a.embedding::DOUBLE[], q.embedding::DOUBLE[]) score FROM prb JOIN asg a USING (cluster_id) JOIN embeddings q ON q.vec_id = query_id),
+ex AS ({S.knn(10)})"""
+
+
+def _index(spark, d):
+    e = table(spark, d, "embeddings")
+    centers = ann.centroids(e, 16)
+    return ann.assigned(e, centers), centers
+
+
+@query(f"WITH {_PROBED}, ap AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) r FROM sc WHERE probe_rank <= 4 QUALIFY r <= 10) SELECT ex.query_id, round(avg(CASE WHEN ap.vec_id IS NULL THEN 0.0 ELSE 1 END), 6)::DOUBLE recall FROM ex LEFT JOIN ap ON ap.query_id = ex.query_id AND ap.vec_id = ex.vec_id GROUP BY 1")
+def e6_recall(spark, d):
+    index, centers = _index(spark, d)
+    q = vector_queries(spark, d)
+    found = evaluate.recall(vectors.knn(table(spark, d, "embeddings"), q, 10), ann.ivf_search(index, centers, q, 10, 4))
+    return found.withColumn("recall", F.round("recall", 6))
+
+
+# approximate search
+
+
+@query(f"WITH {S.ivf(16)} SELECT cluster_id::BIGINT cluster_id, vec_id FROM asg")
+def a1_ivf_assigned(spark, d):
+    return _index(spark, d)[0].select(F.col("cluster_id").cast("long").alias("cluster_id"), "vec_id")
+
+
+@query(f"WITH {_PROBED} SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id)::INT rank FROM sc WHERE probe_rank <= 4 QUALIFY rank <= 5")
+def a2_ivf_search(spark, d):
+    index, centers = _index(spark, d)
+    return ann.ivf_search(index, centers, vector_queries(spark, d)).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {S.ivf(16)}, z AS (SELECT cluster_id, count(*) size FROM asg GROUP BY 1) SELECT n_probe::INT n_probe, query_id, sum(size)::BIGINT scanned FROM prb JOIN z USING (cluster_id), (SELECT unnest([1, 2, 4, 8, 16]) n_probe) WHERE probe_rank <= n_probe GROUP BY ALL")
+def a3_vectors_scanned(spark, d):
+    return ann.vectors_scanned(*_index(spark, d), vector_queries(spark, d), [1, 2, 4, 8, 16])
+
+
+@query(
+    f"""WITH {_PROBED}, np AS (SELECT unnest([1, 2, 4, 8, 16]) n_probe), z AS (SELECT cluster_id, count(*) size FROM asg GROUP BY 1),
+ap AS (SELECT n_probe, query_id, vec_id, row_number() OVER (PARTITION BY n_probe, query_id ORDER BY round(score, 9) DESC, vec_id) r FROM sc, np WHERE probe_rank <= n_probe QUALIFY r <= 10),
+rc AS (SELECT n_probe, avg(x) recall FROM (SELECT np.n_probe, ex.query_id, avg(CASE WHEN ap.vec_id IS NULL THEN 0.0 ELSE 1 END) x FROM ex CROSS JOIN np LEFT JOIN ap ON ap.n_probe = np.n_probe AND ap.query_id = ex.query_id AND ap.vec_id = ex.vec_id GROUP BY ALL) GROUP BY 1),
+sn AS (SELECT n_probe, avg(s) scanned FROM (SELECT n_probe, query_id, sum(size) s FROM prb JOIN z USING (cluster_id), np WHERE probe_rank <= n_probe GROUP BY ALL) GROUP BY 1)
+SELECT n_probe::INT n_probe, round(scanned, 6)::DOUBLE scanned, round(recall, 6)::DOUBLE recall FROM sn JOIN rc USING (n_probe)"""
+)
+def a4_recall_dial(spark, d):
+    q = vector_queries(spark, d)
+    return ann.recall_dial(*_index(spark, d), q, vectors.knn(table(spark, d, "embeddings"), q, 10), [1, 2, 4, 8, 16])
