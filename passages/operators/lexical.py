@@ -17,7 +17,7 @@ BROADCAST_TERMS = 200_000
 
 @dataclass
 class Index:
-    """``postings`` (key, term, tf), ``lengths`` (key, dl) of all chunks, ``stats`` (n_docs, avgdl; one row), ``terms`` (term, df, idf)."""
+    """``postings`` (key, dl, term, tf), ``lengths`` (key, dl) of all chunks, ``stats`` (n_docs, avgdl; one row), ``terms`` (term, df, idf)."""
 
     postings: DataFrame
     lengths: DataFrame
@@ -28,7 +28,7 @@ class Index:
 def build(chunks: DataFrame, text: str = "text") -> Index:
     """Term statistics of chunks. For large tables write ``postings`` and ``lengths`` before using them repeatedly."""
     split = chunks.select(*KEY, tokens(F.col(text)).alias("tokens"))
-    postings = split.select(*KEY, F.explode("tokens").alias("term")).groupBy(*KEY, "term").agg(F.count("*").alias("tf"))
+    postings = split.select(*KEY, F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy(*KEY, "dl", "term").agg(F.count("*").alias("tf"))
     lengths = split.select(*KEY, F.size("tokens").alias("dl"))
     stats = lengths.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
@@ -44,10 +44,11 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def scores(index: Index, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, key, score) of chunks that hold a query term; all others score 0."""
     terms = query_terms(queries)
-    wanted = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
+    few = terms.count() <= BROADCAST_TERMS
+    wanted = F.broadcast(terms) if few else terms
     matched = index.postings.join(wanted, "term")
-    idf = index.terms.join(terms.select("term").distinct(), "term", "left_semi")
-    weighed = matched.join(idf, "term").join(index.lengths, KEY).crossJoin(F.broadcast(index.stats))
+    idf = index.terms.join(wanted.select("term").distinct(), "term", "left_semi")
+    weighed = matched.join(F.broadcast(idf) if few else idf, "term").crossJoin(F.broadcast(index.stats))
     norm = F.when(F.col("avgdl") > 0, k1 * (1 - b + b * F.col("dl") / F.when(F.col("avgdl") > 0, F.col("avgdl")))).otherwise(k1)
     return weighed.groupBy("query_id", *KEY).agg(F.sum(F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)).alias("score"))
 
