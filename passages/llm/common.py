@@ -65,6 +65,12 @@ def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def without(docs: DataFrame, gone: DataFrame, label: str) -> DataFrame:
+    """``docs`` without the rows whose ids, as :func:`with_row_id` gives them, are in ``gone`` (row_id)."""
+    stored = written(gone.select(F.col("row_id").alias("__row")), label)
+    return with_row_id(docs, "__row").join(small(stored, stored.count()), "__row", "left_anti").drop("__row")
+
+
 def salt(n: int, *by: Column) -> Column:
     return F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
 

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passages.llm.common import salt, small, with_row_id, written
+from passages.llm.common import salt, small, with_row_id, without, written
 
 # Country suffixes of addresses and the language they speak for.
 SUFFIX_LANGUAGE = {
@@ -114,7 +114,7 @@ def identify(docs: DataFrame, text: str = "text", declared: str = "lang", host:
     """``docs`` without ``text``, with ``row_id``, ``language``, ``posterior``, ``text_language`` and ``accepted``."""
     rows = with_row_id(docs)
     langs, model = fit(rows, text, declared, s)
-    carried = [c for c in docs.columns if c not in (text, "language", "posterior", "text_language", "accepted")]
+    carried = [c for c in docs.columns if c not in (text, "row_id", "language", "posterior", "text_language", "accepted")]
     if not langs:
         lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
         none = F.lit(None).cast("string")
@@ -183,9 +183,7 @@ def identify(docs: DataFrame, text: str = "text", declared: str = "lang", host:
 
 def accepted(docs: DataFrame, **how) -> DataFrame:
     """``docs`` without the rows that :func:`identify` rejects."""
-    rows = with_row_id(docs)
-    rejected = written(identify(docs, **how).filter(~F.col("accepted")).select("row_id"), "language-rejected")
-    return rows.join(small(rejected, rejected.count()), "row_id", "left_anti").drop("row_id")
+    return without(docs, identify(docs, **how).filter(~F.col("accepted")), "language-rejected")
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passages.llm.common import salt, small, with_group_min, with_row_id, written
+from passages.llm.common import salt, small, with_group_min, with_row_id, without, written
 from passages.llm.graph import connected_components
 
 
@@ -225,10 +225,21 @@ def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """``docs`` with the first row of each component of near duplicates only."""
-    gone = written(near_duplicates(docs, s).filter(~F.col("first")).select("row_id"), "minhash-gone")
-    return with_row_id(docs).join(small(gone, gone.count()), "row_id", "left_anti").drop("row_id")
+    return without(docs, near_duplicates(docs, s).filter(~F.col("first")), "minhash-gone")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """Two-word shingles: per document its set's size, its component and whether it is kept."""
     return near_duplicates(docs, Settings(words=2)).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+REPORT_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') l FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(l[i:i+1], ' ') g FROM (SELECT doc_id, l, unnest(range(1, greatest(len(l), 2))) i FROM w WHERE len(l) > 0)),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY 1),
+o AS (SELECT a.doc_id a, b.doc_id b, count(*) c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+t AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT a, b FROM t UNION SELECT r.a, t.b FROM r JOIN t ON r.b = t.a)
+SELECT w.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(min(r.b), w.doc_id)) AS component_id, w.doc_id = least(w.doc_id, coalesce(min(r.b), w.doc_id)) AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.a = w.doc_id GROUP BY w.doc_id"""

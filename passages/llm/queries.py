@@ -19,6 +19,10 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_warc": warc.REPORT_SQL,
     "op6_decontamination": decontamination.REPORT_SQL,
     "op4_license_scan": licenses.report_sql(),
+    "op8_secret_scan": secrets.report_sql(),
+    "op9_minhash": near_duplicates.REPORT_SQL,
+    "op10_embedding_dedup": embeddings.REPORT_SQL,
 }

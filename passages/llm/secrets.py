@@ -182,3 +182,24 @@ def secret_report(docs: DataFrame) -> DataFrame:
         F.sha2(_joined(F.filter(spans, lambda s: s["kind"].isin(*kinds))), 256).alias("base_sha256"),
         _joined(spans).alias("spans"),
     )
+
+
+def report_sql(rules: tuple[Rule, ...] = RULES) -> str:
+    """DuckDB SQL: each match's place from the lengths of matches and of the pieces between them."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    length = lambda part: f"coalesce(list_sum(list_transform({part}, lambda x: length(x))), 0)"
+    parts = []
+    for no, r in enumerate(rules):
+        rx = quoted(r.pattern)
+        parts.append(f"SELECT doc_id, text, {no} AS no, {quoted(r.kind)} AS kind, {r.least} AS least, regexp_extract_all(text, {rx}) m, regexp_extract_all(text, {rx}, {r.group}) g, string_split_regex(text, {rx}) p FROM docs WHERE regexp_matches(text, {rx})")
+    kinds = [r.kind for r in BASE_RULES]
+    joined = lambda where: f"coalesce(string_agg(kind || ':' || st || ':' || en, ',' ORDER BY st, no) FILTER ({where}), '')"
+    base = "kind IN (" + ", ".join(map(quoted, kinds)) + ")"
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS ({" UNION ALL ".join(parts)}),
+k AS (SELECT *, unnest(range(1, len(m) + 1)) i FROM m),
+s AS (SELECT doc_id, no, kind, least, length(g[i]) judged, ({length("p[1:i]")} + {length("m[1:i-1]")})::BIGINT st, length(m[i]) size FROM k),
+f AS (SELECT doc_id, no, kind, st, st + size en FROM s WHERE judged >= least)
+SELECT d.doc_id, {", ".join(f"count(*) FILTER (kind = {quoted(x)}) AS n_{x}" for x in kinds)}, sha256({joined(base)}) AS base_sha256, {joined("kind IS NOT NULL")} AS spans
+FROM docs d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id"""

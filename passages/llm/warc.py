@@ -185,3 +185,12 @@ def report(pages: DataFrame) -> DataFrame:
     """Writes all pages, reads the archives back and returns what they hold."""
     index = write_archive(pages, scratch_path(pages.sparkSession, "warc"))
     return read_archive(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+REPORT_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') h FROM pages),
+f AS (SELECT page_id, h, unhex(sha1(h))::BIT::VARCHAR bits, row_number() OVER (PARTITION BY h ORDER BY page_id) r, min(page_id) OVER (PARTITION BY h) low FROM p)
+SELECT page_id, strlen(h) AS payload_bytes,
+ array_to_string(list_transform(range(0, 32), lambda i: substr('{_BASE32}', 1 + {" + ".join(f"{16 >> b} * (substr(bits, (5 * i + {b + 1})::BIGINT, 1) = '1')::INT" for b in range(5))}, 1)), '') AS payload_digest,
+ CASE WHEN r = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN r > 1 THEN low END AS refers_to FROM f"""
