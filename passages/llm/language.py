@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from passages.functions.text import html_to_text
 from passages.llm.common import salt, small, with_row_id, without, written
 
 # Country suffixes of addresses and the language they speak for.
@@ -186,6 +187,18 @@ def accepted(docs: DataFrame, **how) -> DataFrame:
     return without(docs, identify(docs, **how).filter(~F.col("accepted")), "language-rejected")
 
 
+def page_evidence(pages: DataFrame) -> DataFrame:
+    """(page_id, text, lang, source) of web pages: visible text, declared markup language, host of the address."""
+    declared, host = F.regexp_extract("html", r"(?i)<html[^>]*\blang=[\"']?([a-z-]+)", 1), F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1)
+    none = lambda c: F.when(c != "", c)
+    return pages.select("page_id", html_to_text(F.col("html")).alias("text"), none(declared).alias("lang"), none(host).alias("source"))
+
+
+def page_report(pages: DataFrame) -> DataFrame:
+    """The same as :func:`report` for web pages, whose addresses have suffixes and domains."""
+    return identify(page_evidence(pages)).select("page_id", F.col("lang").alias("declared"), "language", "posterior", "text_language", "accepted")
+
+
 def report(docs: DataFrame) -> DataFrame:
     """Per document its language, posterior, the text's own best language and whether it is accepted."""
     return identify(docs.select("doc_id", "text", "lang", "source")).select("doc_id", F.col("lang").alias("declared"), "language", "posterior", "text_language", "accepted")

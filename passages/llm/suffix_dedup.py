@@ -38,7 +38,7 @@ from passages.llm.near_duplicates import _by_cell, _mixed
 @dataclass(frozen=True)
 class Settings:
     span: int = 400  #: bytes of a string that may not repeat
-    gram: int = 200  #: bytes of an anchor
+    gram: int = 300  #: bytes of an anchor
     cell: int = 1024  #: contexts of an anchor that are sorted together at most, about
     bucket: int = 1 << 20  #: spans of dealt anchors that are compared together, about
 
@@ -50,19 +50,25 @@ def _raw(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+_up = _down = np.ones(1, dtype=np.uint64)
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64."""
-    base = 0x9E3779B97F4A7C15 | 1
-    inverse = pow(base, -1, 1 << 64)
-    up, down = np.full(n, base, dtype=np.uint64), np.full(n, inverse, dtype=np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+    """The first n powers of an odd base and of its inverse modulo 2**64, kept for the next text."""
+    global _up, _down
+    if len(_up) < n:
+        base = 0x9E3779B97F4A7C15
+        up, down = np.full(2 * n, base, dtype=np.uint64), np.full(2 * n, pow(base, -1, 1 << 64), dtype=np.uint64)
+        up[0] = down[0] = 1
+        _up, _down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    return _up[:n], _down[:n]
 
 
 def rolling(data: np.ndarray, size: int) -> np.ndarray:
     """64-bit hash of each run of ``size`` bytes."""
     up, down = _powers(len(data) + 1)
-    total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)))
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((data + np.uint64(1)) * up[:-1], out=total[1:])
     n = len(data) - size + 1
     return _mixed((total[size:] - total[:n]) * down[:n])
 
@@ -130,19 +136,28 @@ def suffix_order(data: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray
     direct = wanted[rising[wanted]]
     order = direct[np.argsort(words[direct], kind="stable")]
     group = np.concatenate(([0], np.cumsum(words[order[1:]] != words[order[:-1]]))) if len(order) else np.empty(0, dtype=np.int64)
-    for d in range(8, depth, 8):
+    blocks = rolling(data, 64)
+    for block in range(8, depth, 64):
         if not len(order):
             break
         same = group[1:] == group[:-1]
-        tied = np.flatnonzero(np.append(same, False) | np.append(False, same))
-        if not len(tied):
-            break
-        keys, groups = words[order[tied] + d], group[tied]
-        by = np.lexsort((keys, groups))
-        order[tied], keys = order[tied][by], keys[by]
-        parted = np.zeros(len(order), dtype=np.int64)
-        parted[tied[1:]] = (keys[1:] != keys[:-1]) & (groups[1:] == groups[:-1])
-        group = group + np.cumsum(parted)
+        # ties that are equal throughout the next 64 bytes need no sorting there
+        here = blocks[np.minimum(order + block, len(blocks) - 1)]
+        differ = np.flatnonzero(same & (here[1:] != here[:-1]))
+        open_ = np.zeros(group[-1] + 1, dtype=bool)
+        open_[group[differ]] = True
+        tied = np.flatnonzero((np.append(same, False) | np.append(False, same)) & open_[group])
+        for d in range(block, min(block + 64, depth), 8):
+            if not len(tied):
+                break
+            keys, groups = words[order[tied] + d], group[tied]
+            by = np.lexsort((keys, groups))
+            order[tied], keys = order[tied][by], keys[by]
+            parted = np.zeros(len(order), dtype=np.int64)
+            parted[tied[1:]] = (keys[1:] != keys[:-1]) & (groups[1:] == groups[:-1])
+            group = group + np.cumsum(parted)
+            own = group[tied]
+            tied = tied[np.append(own[1:] == own[:-1], False) | np.append(False, own[1:] == own[:-1])]
 
     # stage two: scan the buckets of first bytes; a place's predecessor, if falling, is next in its own bucket
     first = data[order] if len(order) else np.empty(0, dtype=np.uint8)
@@ -196,7 +211,10 @@ def repeated_spans(contexts: list[bytes], rows: np.ndarray, lows: np.ndarray, ma
     words = np.zeros(len(data) - 8, dtype=np.uint64)
     for i in range(8):
         words = (words << np.uint64(8)) | data[i : len(data) - 8 + i]
-    equal = np.arange(max(0, len(place) - 1))
+    blocks = rolling(data, 64)
+    ends = blocks[np.minimum(place + span - 64, len(blocks) - 1)] if span >= 64 else blocks[place] * np.uint64(0)
+    starts_ = blocks[place] if span >= 64 else ends
+    equal = np.flatnonzero((starts_[1:] == starts_[:-1]) & (ends[1:] == ends[:-1]))  # the others cannot be equal
     for d in [*range(0, span - 7, 8), span - 8]:
         equal = equal[words[place[equal] + d] == words[place[equal + 1] + d]]
     new = np.ones(len(place), dtype=bool)
@@ -206,7 +224,7 @@ def repeated_spans(contexts: list[bytes], rows: np.ndarray, lows: np.ndarray, ma
     offset = place - begins[owner]
     if not len(place):
         return owner, offset, run, np.empty(0, dtype=bool)
-    ident = np.unique(np.stack([rows[owner], lows[owner] + offset]), axis=1, return_inverse=True)[1].ravel()
+    ident = (np.unique(rows, return_inverse=True)[1].astype(np.int64)[owner] << 36) + lows[owner] + offset
     cuts = np.flatnonzero(new)
     twice = (np.minimum.reduceat(ident, cuts) != np.maximum.reduceat(ident, cuts)) | np.maximum.reduceat(many[owner], cuts)
     return owner, offset, run, twice[run]
@@ -271,7 +289,7 @@ def _kept(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def repeats_removed(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Per row of ``docs``: row_id, doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     rows = with_row_id(docs.select("doc_id", "text"))
-    scanned = written(rows.mapInPandas(partial(_scanned, s=s), "row_id long, doc_id long, n_bytes long, sha string, anchor array<long>, place array<long>, context array<long>"), "suffix-anchors")
+    scanned = written(rows.mapInPandas(partial(_scanned, s=s), "row_id long, doc_id long, n_bytes long, sha string, anchor array<long>, place array<int>, context array<long>"), "suffix-anchors")
     each = scanned.select("row_id", "n_bytes", F.explode(F.arrays_zip("anchor", "place", "context")).alias("x")).select("row_id", "n_bytes", "x.*")
     twice = written(each.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "suffix-twice")
     found = written(each.join(small(twice, twice.count()), "anchor", "left_semi"), "suffix-found")

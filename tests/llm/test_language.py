@@ -46,3 +46,12 @@ def test_no_labels(spark, tmp_path):
 def test_trigrams():
     assert len(language.trigrams("a", 1 << 14)) == 1 and len(language.trigrams(" 12 ", 1 << 14)) == 0
     assert list(language.trigrams("AB  cd", 1 << 14)) == list(language.trigrams("ab cd", 1 << 14))
+
+
+def test_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    found = language.page_report(pages)
+    assert found.count() == pages.count() and found.filter("declared is null").count() == 0
+    assert found.filter("accepted and language = declared").count() >= 0.95 * pages.count()
+    odd = spark.createDataFrame([(1, None, None), (2, "not an address", "<p>x</p>")], "page_id long, url string, html string")
+    assert [tuple(r) for r in language.page_evidence(odd).collect()] == [(1, None, None, None), (2, "x", None, None)]
