@@ -65,6 +65,13 @@ def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def with_lists(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """``rows`` (row_id, ...) joined with stored ``lists`` (row_id, arrays). Only ids are broadcast, if they are few; the
+    arrays meet the rows that are left in a shuffled join."""
+    ids = lists.select("row_id")
+    return rows.join(small(ids, ids.count()), "row_id", "left_semi").join(lists, "row_id")
+
+
 def without(docs: DataFrame, gone: DataFrame, label: str) -> DataFrame:
     """``docs`` without the rows whose ids, as :func:`with_row_id` gives them, are in ``gone`` (row_id)."""
     stored = written(gone.select(F.col("row_id").alias("__row")), label)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passages.llm.common import small, with_row_id, written
+from passages.llm.common import small, with_lists, with_row_id, written
 from passages.llm.near_duplicates import _by_cell, _mixed
 
 
@@ -311,8 +311,7 @@ def repeats_removed(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     cell = F.when(hot, F.xxhash64("anchor", part)).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(max(1, n_going // s.cell))))
     lists = going.groupBy("row_id").agg(F.collect_list(F.struct(cell.alias("cell"), hot.alias("hot"), (F.col("n") > 1).alias("many"), "place")).alias("wanted"))
     lists = written(lists, "suffix-lists")
-    texts = rows.select("row_id", "text").join(small(lists, lists.count()), "row_id")
-    contexts = texts.mapInPandas(partial(_cut_out, s=s), "cell long, hot boolean, many boolean, row_id long, low long, bytes binary")
+    contexts = with_lists(rows.select("row_id", "text"), lists).mapInPandas(partial(_cut_out, s=s), "cell long, hot boolean, many boolean, row_id long, low long, bytes binary")
     n = max(2 * docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     n_hot = going.filter(hot).count() * (before + 1)
     schema = "row_id long, start long, end long, bucket long, packed binary"
@@ -323,7 +322,7 @@ def repeats_removed(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     every = covered.unionByName(made.filter("bucket < 0").select("row_id", "start", "end")).unionByName(met)
     spans = written(every.groupBy("row_id").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "suffix-spans")
-    cut = rows.select("row_id", "text").join(small(spans, spans.count()), "row_id").mapInPandas(_kept, "row_id long, n_removed long, n_spans long, kept_sha256 string")
+    cut = with_lists(rows.select("row_id", "text"), spans).mapInPandas(_kept, "row_id long, n_removed long, n_spans long, kept_sha256 string")
     done = scanned.select("row_id", "doc_id", "n_bytes", "sha").join(cut, "row_id", "left")
     none = F.lit(0).cast("long")
     return done.select("row_id", "doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
