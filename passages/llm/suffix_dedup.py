@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passages.llm.common import small, with_lists, with_row_id, written
+from passages.llm.common import with_lists, with_row_id, written
 from passages.llm.near_duplicates import _by_cell, _mixed
 
 
@@ -276,7 +276,7 @@ def _kept(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for row_id, text, spans in zip(frame["row_id"], frame["text"], frame["spans"]):
             raw, kept, removed, n, done = _raw(text), [], 0, 0, -1
-            for start, end in sorted((x["start"], x["end"]) for x in spans):
+            for start, end in sorted((x["start"], min(x["end"], len(raw))) for x in spans):
                 if start > done:
                     kept.append(raw[max(done, 0) : start])
                     n += 1
@@ -290,16 +290,16 @@ def repeats_removed(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Per row of ``docs``: row_id, doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     rows = with_row_id(docs.select("doc_id", "text"))
     scanned = written(rows.mapInPandas(partial(_scanned, s=s), "row_id long, doc_id long, n_bytes long, sha string, anchor array<long>, place array<int>, context array<long>"), "suffix-anchors")
-    each = scanned.select("row_id", "n_bytes", F.explode(F.arrays_zip("anchor", "place", "context")).alias("x")).select("row_id", "n_bytes", "x.*")
+    each = scanned.select("row_id", F.explode(F.arrays_zip("anchor", "place", "context")).alias("x")).select("row_id", "x.*")
     twice = written(each.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "suffix-twice")
-    found = written(each.join(small(twice, twice.count()), "anchor", "left_semi"), "suffix-found")
+    found = written(each.join(twice, "anchor", "left_semi"), "suffix-found")
 
     # kinds of contexts of each anchor
     kinds = found.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("row_id", "place")).alias("one"))
     kinds = written(kinds, "suffix-kinds")
     whole = found.join(kinds.filter("n > 1").select("anchor", "context"), ["anchor", "context"], "left_semi")
     before = s.span - s.gram
-    covered = whole.select("row_id", F.greatest(F.col("place") - before, F.lit(0)).alias("start"), F.least(F.col("place") + s.span, "n_bytes").alias("end")).filter(F.col("end") - F.col("start") >= s.span)
+    covered = whole.select("row_id", F.greatest(F.col("place") - before, F.lit(0)).cast("long").alias("start"), (F.col("place") + s.span).cast("long").alias("end"))
 
     # anchors with a single context beside others go to cells
     sizes = kinds.groupBy("anchor").agg(F.count("*").alias("size"), F.min("n").alias("least")).filter("size > 1 and least = 1")
