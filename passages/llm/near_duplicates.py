@@ -166,7 +166,8 @@ def compared(cells: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
 def proposals(nodes: DataFrame) -> DataFrame:
     """(node, rep, tables): the representatives that meet a node in tables. ``nodes``: node, vals."""
     each = nodes.select("node", F.posexplode("vals").alias("no", "val"))
-    shared = with_group_min(each, ["no", "val"], "node", ["node"], ("low", "n")).filter("n > 1")
+    often = written(each.groupBy("no", "val").agg(F.count("*").alias("n")).filter("n > 1").select("no", "val"), "minhash-often")
+    shared = each.join(often, ["no", "val"], "left_semi")
     lists = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("no", "val"))).alias("v")).filter(F.size("v") > 1)
     first = lists.select("node", "v", F.posexplode("v").alias("i", "x"))
     pairs = first.select("node", "x", F.explode(F.slice("v", F.col("i") + 2, F.greatest(F.size("v") - F.col("i") - 1, F.lit(0)))).alias("y"))
@@ -182,7 +183,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     signed = written(rows.mapInPandas(partial(_signed, s=s), "row_id long, doc_id long, n int, digest binary, vals array<long>"), "minhash")
     linkable = signed.filter("n > 0")
     classed = written(with_group_min(linkable.select("row_id", "doc_id", "digest"), ["digest"], "row_id", ["row_id"], ("node", "copies")).select("row_id", "node"), "minhash-classes")
-    nodes = signed.select("row_id", "vals").join(classed.filter("row_id = node").select("row_id"), "row_id").select(F.col("row_id").alias("node"), "vals")
+    nodes = written(signed.select("row_id", "vals").join(classed.filter("row_id = node").select("row_id"), "row_id").select(F.col("row_id").alias("node"), "vals"), "minhash-nodes")
     proposed = written(proposals(nodes), "minhash-proposals")
     involved = written(proposed.select("node").unionByName(proposed.select(F.col("rep").alias("node"))).distinct(), "minhash-involved")
     texts = rows.select(F.col("row_id").alias("node"), "text").join(small(involved, involved.count()), "node")
