@@ -48,7 +48,7 @@ class Words(dict):
     """
 
     _TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-    most = 300_000
+    most = 200_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
