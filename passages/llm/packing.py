@@ -43,8 +43,8 @@ class Words(dict):
     """Ids of each word, as little-endian bytes, kept while words repeat; emptied when grown large.
 
     The tokenizer splits at white space and, there, into runs of letters, single digits and runs of other
-    characters; so a text's ids are those of its words in a row, and a word of letters with
-    punctuation after it is two. Letters go straight to the model; everything else through the whole tokenizer.
+    characters; so a text's ids are those of its words in a row, and a word that ends in an ASCII letter or
+    digit with punctuation after it is two (another character before may be of the same run). Letters go straight to the model; everything else through the whole tokenizer.
     """
 
     _TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -63,7 +63,7 @@ class Words(dict):
         if len(self) > self.most:
             self.clear()
         core = word.rstrip(self._TAIL)
-        if core and len(core) < len(word):
+        if len(core) < len(word) and core[-1:].isalnum():  # of bytes: ASCII only
             ids = self[core] + self[word[len(core) :]]
         else:
             ids = self._ids(word)

@@ -26,6 +26,12 @@ def test_words_equal_whole_texts(spark):
     assert words.of(None) == b""
 
 
+def test_punctuation_after_punctuation_is_one_run():
+    words, whole = packing.Words(public_tokenizers.path("word_bpe_49k.json")), tokenizer()
+    for t in ["'hello',", "dogs'.", "“end”).", "d’accord»,", "»,", "x',y'.", "été, naïf”! 12', a1). ½. ²,", "o'.'", "a…?!", "日本。, 本,", "e\u0301, \u0301."]:
+        assert words.of(t) == b"".join(i.to_bytes(4, "little") for i in whole.encode(t, add_special_tokens=False).ids), t
+
+
 def test_report(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     odd = spark.createDataFrame([(10_000 + i, t) for i, t in enumerate([*ODD, None, "", "word " * 9000])], "doc_id long, text string")
