@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passages.llm.common import salt, small, with_group_min, with_row_id, without, written
+from passages.llm.common import small, with_group_min, with_row_id, without, written
 from passages.llm.graph import connected_components
 
 
@@ -40,7 +40,7 @@ class Settings:
     percent: int = 80  #: linked if 100 * intersection >= percent * union
     collections: int = 32  #: small hash collections; each pair of them is a table
     rows: int = 4  #: minima in a collection
-    cell: int = 512  #: most targets, and most queries, of one comparison cell
+    cell: int = 512  #: most targets, and most queries, of one comparison cell (on average over a group's cells, which are dealt by hash)
 
 
 class _Hashes(dict):
@@ -176,6 +176,15 @@ def proposals(nodes: DataFrame) -> DataFrame:
     return met.select("node", F.col("low.node").alias("rep")).filter("node <> rep").groupBy("node", "rep").agg(F.count("*").alias("tables"))
 
 
+def first_cells(best: DataFrame, s: Settings) -> DataFrame:
+    """(cell, query, node): the nodes of each representative dealt to 64 cells, or to more where these would hold over ``s.cell``; the
+    representative is the query of each. ``best``: node, rep."""
+    counted = with_group_min(best, ["rep"], "node", ["node"], ("low", "n"))
+    parts = F.greatest(F.lit(64), F.ceil(F.col("n") / s.cell))
+    dealt = counted.select("node", "rep", F.xxhash64("rep", F.pmod(F.xxhash64("node", F.lit("part")), parts)).alias("cell"))
+    return dealt.select("cell", F.lit(False).alias("query"), "node").unionByName(dealt.select("cell", F.lit(True).alias("query"), F.col("rep").alias("node")).distinct())
+
+
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Per row of ``docs``: row_id, doc_id, n_shingles, component_id (smallest doc_id reachable by links), and
     ``first``: whether it is its component's first row by doc_id, then place."""
@@ -189,11 +198,9 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     texts = rows.select(F.col("row_id").alias("node"), "text").join(small(involved, involved.count()), "node")
     sets = written(texts.mapInPandas(partial(_sets, words=s.words), "node long, hashes binary"), "minhash-sets")
 
-    # round one: each node with its likeliest representative; a representative's nodes are dealt to cells
+    # round one: each node with its likeliest representative
     best = proposed.groupBy("node").agg(F.max_by("rep", F.struct("tables", F.xxhash64("rep"))).alias("rep"))
-    best = best.withColumn("part", F.floor(salt(1 << 20, F.col("node")) / F.lit((1 << 20) / 64))).withColumn("cell", F.xxhash64("rep", "part"))
-    cells = best.select("cell", F.lit(False).alias("query"), "node").unionByName(best.select("cell", F.lit(True).alias("query"), F.col("rep").alias("node")).distinct())
-    links = written(compared(cells, sets, s), "minhash-links")
+    links = written(compared(first_cells(best, s), sets, s), "minhash-links")
     families = written(_labelled(involved, links), "minhash-families")
 
     # round two: proposals that still lead out of the own family

@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 from passages.llm import near_duplicates as nd
 from passages.llm.graph import connected_components
@@ -62,6 +63,22 @@ def test_cells_smaller_than_families(spark, tmp_path):
     assert sorted((r.doc_id, r.component_id) for r in found.collect()) == [(d, c) for d, _, c, _ in brute(rows, 2)]
 
 
+def test_first_cells_grow_in_number_not_in_size(spark):
+    best = spark.range(1, 20_001).selectExpr("id node", "IF(id <= 19990, 0L, -id) rep")
+    rows = nd.first_cells(best, nd.Settings(cell=10)).collect()
+    targets, queries = Counter(r.cell for r in rows if not r.query), Counter(r.cell for r in rows if r.query)
+    assert sum(targets.values()) == 20_000 and max(targets.values()) <= 40
+    assert queries.keys() == targets.keys() and max(queries.values()) == 1
+
+
+def test_more_cells_than_parts(spark, tmp_path):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(f"x{i}" if j == k else w for j, w in enumerate(base))) for i in range(200) for k in [rng.randrange(60)]]
+    found = nd.near_duplicates(frame(spark, tmp_path, rows), nd.Settings(words=2, cell=2))
+    assert sorted((r.doc_id, r.component_id) for r in found.collect()) == [(d, c) for d, _, c, _ in brute(rows, 2)]
+
+
 def test_deduplicated_keeps_one_of_repeated_rows(spark, tmp_path):
     rows = [(3, "a b c d e f"), (3, "a b c d e f"), (1, "a b c d e f"), (2, None), (2, None), (4, "x")]
     assert sorted(r.doc_id for r in nd.deduplicated(frame(spark, tmp_path, rows)).collect()) == [1, 2, 2, 4]
