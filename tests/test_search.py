@@ -70,6 +70,29 @@ def test_knn_equals_the_native_form(spark, monkeypatch):
         vectors.knn(vecs(spark, [(1, [1, 2])]), q, 1).collect()
 
 
+def test_granted_knn_has_no_most_values(spark):
+    n = 10_050
+    v = spark.range(n).selectExpr("id vec_id", "CAST(id AS INT) label", "array(1F, CAST(id AS FLOAT)) embedding")
+    q = spark.range(n).selectExpr("id query_id", "array(1F, 0F) embedding")
+    got = vectors.granted_knn(v, q, spark.range(n).selectExpr("id query_id", "CAST(id AS INT) label"), "label").collect()
+    assert sorted((r.query_id, r.vec_id, r["rank"]) for r in got) == [(i, i, 1) for i in range(n)]
+
+
+def test_granted_knn_in_small_cells(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CELL", 7)
+    rng = np.random.default_rng(4)
+    m, label = rng.integers(-2, 3, (300, 3)).astype(float), np.where(np.arange(300) < 200, 0, rng.integers(1, 5, 300))
+    v = spark.createDataFrame([(i, int(label[i]) if i % 50 else None, m[i].tolist() if i % 41 else None) for i in range(300)], "vec_id long, label int, embedding array<double>")
+    q = vecs(spark, [(i, rng.standard_normal(3)) for i in range(30)] + [(99, None)], "query_id")
+    allowed = [(i, g) for i in range(30) for g in ([0, 2], [0, 1, 2, 3], [4, 4, 77], [])[i % 4]] + [(99, 0), (500, 0), (3, None), (3, 1 << 40)]
+    grants = spark.createDataFrame(allowed, "query_id long, label long")
+    got = {(r.query_id, r.vec_id): (r["rank"], round(r.score, 9)) for r in vectors.granted_knn(v, q, grants, "label", 6).collect()}
+    pairs = v.join(grants.distinct(), "label").join(q.select("query_id", F.col("embedding").alias("q")), "query_id").filter("embedding IS NOT NULL AND q IS NOT NULL")
+    want = top_k(pairs.select("query_id", "vec_id", vectors.cosine(F.col("embedding"), F.col("q")).alias("score")), ["query_id"], "score", ["vec_id"], 6).collect()
+    assert got == {(r.query_id, r.vec_id): (r["rank"], round(r.score, 9)) for r in want} and len(got) == len(want) > 100
+    assert vectors.granted_knn(v, q, grants.limit(0), "label").count() == 0 == vectors.granted_knn(v.limit(0), q, grants, "label").count()
+
+
 def test_ties_do_not_depend_on_partitions(spark):
     df = spark.createDataFrame([(1, float(i % 3), i) for i in range(40)], "q int, s double, key int")
     want = [r.key for r in top_k(df, ["q"], "s", ["key"], 5).orderBy("rank").collect()]
