@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html as html_lib
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,13 +50,17 @@ def html_to_text(html: Column) -> Column:
         out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?(?:</{tag}\s*>|\z)", " ")
     out = F.regexp_replace(out, r"(?s)<!--.*?-->", " ")
     out = F.regexp_replace(out, r"(?s)<[!/?a-zA-Z][^>]*>", " ")
-    for name, char in ENTITIES.items():
-        out = F.regexp_replace(out, f"&{name};?", char)
-    return clean(out)
+    return clean(unescape_udf()(out))
+
+
+def unescape_udf():
+    """Arrow UDF: every named or numeric character reference of HTML decoded, once."""
 
+    @F.pandas_udf("string")
+    def unescape(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: html_lib.unescape(t) if t is not None and "&" in t else t)
 
-# Character entities, the ampersand last so that nothing is decoded twice.
-ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "#39": "'", "nbsp": "\u00a0", "copy": "©", "middot": "·", "amp": "&"}
+    return unescape
 
 
 def category_of(source: Column, rules: list[tuple[list[str], str]], default: str = "general") -> Column:

@@ -1,5 +1,7 @@
 """Text semantics, chunkers and HTML, against plain Python on hand-made cases."""
 
+import html
+import html.entities
 import re
 
 import pytest
@@ -36,6 +38,12 @@ def test_html(spark):
     assert column(spark, pages, T.html_to_text) == ["Hi there", "x", "a", "a b", '&lt; <b> " ©', "1 < 2 and 3", "T n", ""]
 
 
+def test_every_character_reference(spark):
+    names = [f"a&{name}b" for name in html.entities.html5]
+    texts = [*names, "&eacute;&uuml;&Uuml; &#8217;&mdash;&#xE9;&#XE9; &#0; &#x80; &#xD800; &amp;eacute; &notit; &eacute &am &nosuch; &", None]
+    assert column(spark, texts, T.html_to_text) == [t and " ".join(html.unescape(t).split()) for t in texts]
+
+
 def test_categories(spark):
     got = column(spark, ["Billing.md", "plan-security.md", "PRIVACY.txt", "x", None], lambda c: T.category_of(c, T.CATEGORY_RULES))
     assert got == ["billing", "billing", "security", "general", "general"]
