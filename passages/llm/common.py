@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from itertools import count
 
+import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which all executors share. Where it is unset, as in
-    tests, a temporary folder becomes the session's checkpoint folder."""
+    """The folder in ``spark.checkpoint.dir``, which all executors share. Where it is unset and all runs on this
+    machine, as in tests, a temporary folder becomes the session's checkpoint folder; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="passages-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -53,11 +59,38 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _file_code(files: list[str]) -> tuple[int, str]:
+    """(bits, salt) for which the first ``bits`` bits of the hash of salt and path tell all files apart."""
+    paths = [re.sub(_SCHEME, "", f) for f in files]
+    bits = 2 * max(1, len(paths)).bit_length()
+    for salt_ in map("{}:".format, count()):
+        if len({xxhash.xxh64_intdigest((salt_ + p).encode(), 42) >> (64 - bits) for p in paths}) == len(set(paths)):
+            return bits, salt_
+
+
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:/+"
+
+
+def placed(df: DataFrame) -> DataFrame:
+    """``df`` itself if it reads Parquet files, at most filtered or projected, so that each row has a file and a place
+    there; anything else is written to the shared folder first."""
+    try:
+        df.select("_metadata.file_path", "_metadata.row_index")
+        return df
+    except AnalysisException:
+        return written(df, "rows")
+
+
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """Adds a long that tells rows apart even where ids repeat or are null. It depends on the row's
-    place in the input, so ``df`` must be a plain read of stored files, which gives the same places
-    each time; write a shuffled frame with :func:`written` first."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    """Adds a long that tells rows apart even where other ids repeat or are null: the file's hash, as long as it takes to
+    tell all files of ``df`` apart, and the row's number in it. It does not depend on how the read is split, so
+    two jobs agree on it whatever executors come and go. See :func:`placed` for what ``df`` may be."""
+    df = placed(df)
+    bits, salt_ = _file_code(df.inputFiles())
+    code = F.xxhash64(F.concat(F.lit(salt_), F.regexp_replace("_metadata.file_path", _SCHEME, "")))
+    at, most = F.col("_metadata.row_index"), 1 << (63 - bits)
+    number = F.when(at < most, at).otherwise(F.raise_error(F.lit(f"a file has more than {most} rows")))
+    return df.withColumn(name, F.shiftleft(F.shiftrightunsigned(code, 64 - bits), 63 - bits).bitwiseOR(number))
 
 
 def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:

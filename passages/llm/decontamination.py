@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from passages.llm.common import small, with_row_id, without, written
+from passages.llm.common import placed, small, with_row_id, without, written
 
 
 @dataclass(frozen=True)
@@ -148,6 +148,7 @@ def _hashed_at(k: int) -> Column:
 
 def decontaminated(docs: DataFrame, items: DataFrame, s: Settings = Settings()) -> DataFrame:
     """``docs`` without the rows that hold a window similar to an item."""
+    docs = placed(docs)
     return without(docs, leaks(docs, items, s).select("row_id").distinct(), "decontam-leaks")
 
 

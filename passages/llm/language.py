@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passages.functions.text import html_to_text
-from passages.llm.common import salt, small, with_row_id, without, written
+from passages.llm.common import placed, salt, small, with_row_id, without, written
 
 # Country suffixes of addresses and the language they speak for.
 SUFFIX_LANGUAGE = {
@@ -184,6 +184,7 @@ def identify(docs: DataFrame, text: str = "text", declared: str = "lang", host:
 
 def accepted(docs: DataFrame, **how) -> DataFrame:
     """``docs`` without the rows that :func:`identify` rejects."""
+    docs = placed(docs)
     return without(docs, identify(docs, **how).filter(~F.col("accepted")), "language-rejected")
 
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passages.llm.common import small, with_group_min, with_row_id, without, written
+from passages.llm.common import placed, small, with_group_min, with_row_id, without, written
 from passages.llm.graph import connected_components
 
 
@@ -233,6 +233,7 @@ def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """``docs`` with the first row of each component of near duplicates only."""
+    docs = placed(docs)
     return without(docs, near_duplicates(docs, s).filter(~F.col("first")), "minhash-gone")
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from passages.llm.common import written
+from passages.llm.common import with_row_id, written
 
 
 @dataclass(frozen=True)
@@ -204,7 +204,7 @@ def packed(parts: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces, which come from :func:`pieces`."""
     stored = written(parts, "pieces")
     n_cells = max(1, -(-stored.count() // s.cell))
-    keyed = stored.withColumn("uid", F.monotonically_increasing_id()).withColumn("cell", F.pmod(F.xxhash64("uid"), F.lit(n_cells)))
+    keyed = with_row_id(stored, "uid").withColumn("cell", F.pmod(F.xxhash64("uid"), F.lit(n_cells)))
     items = keyed.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("uid", F.col("length").cast("int").alias("length")))).alias("items"))  # about s.cell in each
     items = written(items, "cells")
     state = items.select("cell", F.explode(F.sequence(F.lit(0), F.lit(s.islands - 1))).alias("island"), F.col("items.length").alias("lengths"), F.lit(None).cast("array<int>").alias("own"), F.lit(None).cast("array<int>").alias("guest"))
