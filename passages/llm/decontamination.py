@@ -6,7 +6,7 @@ items are compared as multisets of 5-word shingles: sum of minima over sum of ma
 1. Anchors: a window that similar misses at most a fifth of the item's shingles, so it holds one of any set
    that weighs more. Each item's rarest such set is looked up in all documents; only windows that
    hold an anchor, all of them, are fingerprinted. Nothing is lost by this.
-2. Fingerprints: 64-bit SimHash of a window's shingles, counted in 16 sums of four 16-bit lanes.
+2. Fingerprints: 64-bit SimHash of a window's shingles, counted in 32 sums of two 32-bit lanes.
 3. Multi-index: in 8 blocks of 8 bits, two fingerprints within ``radius`` differ by ``radius // 8`` bits at
    most in some block. The items' index holds all values so close, and a join on (item, block, value)
    finds every pair within the radius. At similarity 0.8 a pair of fingerprints differs by 9.7 bits
@@ -39,8 +39,9 @@ class Settings:
     radius: int = 23  #: bits that fingerprints of a candidate pair may differ by
 
 
-_LANES = 0x0001000100010001
+_LANES = 0x0000000100000001
 _BLOCKS = 8
+_PART = 4  # words of a document that are hashed together, times the item's
 
 
 def words_of(text: Column) -> Column:
@@ -52,18 +53,14 @@ def _shingle(words: Column, at: Column, k: int) -> Column:
 
 
 def fingerprint(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """SimHash ``fp`` of the long ``hash`` of all rows of each key. Up to 32,767 rows a key fit the lanes."""
-    sums = [F.sum(F.shiftrightunsigned("hash", i).bitwiseAND(F.lit(_LANES))).alias(f"s{i}") for i in range(16)]
+    """SimHash ``fp`` of the long ``hash`` of all rows of each key: a bit is set if more than half of the hashes have it."""
+    sums = [F.sum(F.shiftrightunsigned("hash", i).bitwiseAND(F.lit(_LANES))).alias(f"s{i}") for i in range(32)]
     counted = rows.groupBy(*keys).agg(*sums, F.count("*").alias("n_shingles"))
-    bits = []
-    for i in range(16):
-        for lane in range(4):
-            count = F.shiftrightunsigned(f"s{i}", 16 * lane).bitwiseAND(F.lit(0xFFFF))
-            bits.append(F.shiftleft(F.when(count * 2 > F.col("n_shingles"), F.lit(1)).otherwise(F.lit(0)).cast("long"), i + 16 * lane))
-    fp = bits[0]
-    for bit in bits[1:]:
-        fp = fp.bitwiseOR(bit)
-    return counted.select(*keys, "n_shingles", fp.alias("fp"))
+    half, one, none = F.col("n_shingles") / 2, F.lit(1).cast("long"), F.lit(0).cast("long")
+    bit = lambda count, i: F.when(count > half, F.call_function("shiftleft", one, i)).otherwise(none)
+    pair = lambda both, i: bit(both.bitwiseAND(F.lit(0xFFFFFFFF)), i).bitwiseOR(bit(F.shiftrightunsigned(both, 32), i + 32))
+    bits = F.transform(F.array(*[F.col(f"s{i}") for i in range(32)]), pair)
+    return counted.select(*keys, "n_shingles", F.aggregate(bits, none, lambda a, x: a.bitwiseOR(x)).alias("fp"))
 
 
 def _block(fp: Column, block: Column) -> Column:
@@ -103,45 +100,53 @@ def leaks(docs: DataFrame, items: DataFrame, s: Settings = Settings()) -> DataFr
         places = at.select("row_id", "pos", _shingle(F.col("w"), F.col("pos"), k).alias("hash"))
         hits = places.join(small(anchors.filter(F.col("k") == k).drop("k"), n_shingles), "hash")
         starts = hits.select("row_id", "irow", "n", F.explode(F.sequence(F.greatest(F.col("pos") - F.col("n") + k, F.lit(0)), F.col("pos"))).alias("start"))
-        found = written(starts.groupBy("row_id", "irow", "n").agg(F.sort_array(F.collect_set("start")).alias("starts")), "decontam-starts")
+        # a part of a document has few times the item's words, so long documents and many hits make more rows, not longer ones
+        parts = starts.withColumn("part", F.floor(F.col("start") / (_PART * F.col("n"))))
+        found = written(parts.groupBy("row_id", "irow", "n", "part").agg(F.sort_array(F.collect_set("start")).alias("starts")), "decontam-starts")
         low, high = F.col("starts")[0], F.least(F.array_max("starts") + F.col("n") - k, F.col("nw") - k)
-        near = rows.join(small(found, found.count()), "row_id")
-        part = near.select("row_id", "doc_id", "irow", "n", F.lit(k).alias("k"), low.alias("low"), "starts", F.sequence(low, high).alias("at"), "w")
+        near = rows.join(small(found, _n_starts(found)), "row_id")
+        part = near.select("row_id", "doc_id", "irow", "n", "part", F.lit(k).alias("k"), low.alias("low"), "starts", F.sequence(low, high).alias("at"), "w")
         part = part.withColumn("region", _hashed_at(k)).drop("at", "w")
         regions = part if regions is None else regions.unionByName(part)
     if regions is None:
         return docs.sparkSession.createDataFrame([], "row_id long, doc_id long, item_id long, start int, overlap long, union_size long")
-    regions = written(regions, "decontam-regions").repartition("row_id", "irow")
+    regions = written(regions, "decontam-regions").repartition("row_id", "irow", "part")
 
     def shingled(windows: DataFrame) -> DataFrame:
-        each = windows.select("row_id", "irow", "n", "k", "low", "region", F.explode("starts").alias("start"))
+        each = windows.select("row_id", "irow", "part", "n", "k", "low", "region", F.explode("starts").alias("start"))
         first = F.col("start") - F.col("low")
         last = F.least(first + F.col("n") - F.col("k"), F.size("region") - 1)
-        return each.select("row_id", "irow", "start", "region", F.explode(F.sequence(first, last)).alias("j")).select("row_id", "irow", "start", F.get("region", F.col("j")).alias("hash"))
+        return each.select("row_id", "irow", "part", "start", "region", F.explode(F.sequence(first, last)).alias("j")).select("row_id", "irow", "part", "start", F.get("region", F.col("j")).alias("hash"))
 
-    windows = fingerprint(shingled(regions), ["row_id", "irow", "start"])
+    windows = fingerprint(shingled(regions), ["row_id", "irow", "part", "start"])
     near_masks = [sum(1 << b for b in c) for d in range(s.radius // _BLOCKS + 1) for c in combinations(range(8), d)]
     blocks = F.explode(F.sequence(F.lit(0), F.lit(_BLOCKS - 1))).alias("block")
     index = item_fps.select("irow", "fp", blocks).select("irow", F.col("fp").alias("item_fp"), "block", F.explode(F.array(*[F.lit(m) for m in near_masks])).alias("mask"), _block(F.col("fp"), F.col("block")).alias("own"))
     index = index.select("irow", "item_fp", "block", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
-    probes = windows.select("row_id", "irow", "start", "fp", blocks).withColumn("value", _block(F.col("fp"), F.col("block")))
+    probes = windows.select("row_id", "irow", "part", "start", "fp", blocks).withColumn("value", _block(F.col("fp"), F.col("block")))
     met = probes.join(small(index, n_shingles * _BLOCKS * len(near_masks)), ["irow", "block", "value"])
     met = met.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= s.radius)
-    candidates = written(met.groupBy("row_id", "irow").agg(F.collect_set("start").alias("starts")), "decontam-candidates")
+    candidates = written(met.groupBy("row_id", "irow", "part").agg(F.collect_set("start").alias("starts")), "decontam-candidates")
 
-    again = regions.drop("starts").join(small(candidates, candidates.count()), ["row_id", "irow"])
-    counts = shingled(again).groupBy("row_id", "irow", "start", "hash").agg(F.count("*").alias("c"))
-    sizes = counts.groupBy("row_id", "irow", "start").agg(F.sum("c").alias("size"))
+    again = regions.drop("starts").join(small(candidates, _n_starts(candidates)), ["row_id", "irow", "part"])
+    window = ["row_id", "irow", "part", "start"]
+    counts = shingled(again).groupBy(*window, "hash").agg(F.count("*").alias("c"))
+    sizes = counts.groupBy(*window).agg(F.sum("c").alias("size"))
     known = shingles.select("irow", "hash", F.col("c").alias("ci"))
-    shared = counts.join(small(known, n_shingles), ["irow", "hash"]).groupBy("row_id", "irow", "start").agg(F.sum(F.least("c", "ci")).alias("overlap"))
+    shared = counts.join(small(known, n_shingles), ["irow", "hash"]).groupBy(*window).agg(F.sum(F.least("c", "ci")).alias("overlap"))
     per_item = shingles.select("irow", "item_id", (F.col("n") - F.col("k") + 1).cast("long").alias("total")).distinct()
-    scored = shared.join(sizes, ["row_id", "irow", "start"]).join(small(per_item, n_shingles), "irow")
+    scored = shared.join(sizes, window).join(small(per_item, n_shingles), "irow")
     scored = scored.withColumn("union_size", F.col("size") + F.col("total") - F.col("overlap")).filter(F.col("overlap") * 100 >= F.col("union_size") * s.percent)
     best = scored.groupBy("row_id", "irow", "item_id").agg(F.max(F.struct((F.col("overlap") / F.col("union_size")).alias("sim"), (-F.col("start")).alias("neg"), "overlap", "union_size")).alias("b"))
-    ids = regions.select("row_id", "irow", "doc_id")
+    ids = regions.select("row_id", "irow", "doc_id").distinct()
     return best.join(ids, ["row_id", "irow"]).select("row_id", "doc_id", "item_id", (-F.col("b.neg")).alias("start"), "b.overlap", "b.union_size")
 
 
+def _n_starts(lists: DataFrame) -> int:
+    """Rows and starts in them: what a broadcast of lists would hold."""
+    return lists.agg(F.count("*") + F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()[0]
+
+
 def _hashed_at(k: int) -> Column:
     return F.transform("at", lambda i: _shingle(F.col("w"), i, k))
 

@@ -171,9 +171,9 @@ def proposals(nodes: DataFrame) -> DataFrame:
     lists = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("no", "val"))).alias("v")).filter(F.size("v") > 1)
     first = lists.select("node", "v", F.posexplode("v").alias("i", "x"))
     pairs = first.select("node", "x", F.explode(F.slice("v", F.col("i") + 2, F.greatest(F.size("v") - F.col("i") - 1, F.lit(0)))).alias("y"))
-    keys = pairs.select("node", F.xxhash64("x.no", "x.val", "y.no", "y.val").alias("key"), F.struct(F.xxhash64("node").alias("p"), "node").alias("prio"))
-    met = with_group_min(keys, ["key"], "prio", ["node"], ("low", "n")).filter("n > 1")
-    return met.select("node", F.col("low.node").alias("rep")).filter("node <> rep").groupBy("node", "rep").agg(F.count("*").alias("tables"))
+    keys = pairs.select("node", F.xxhash64("x.no", "x.val", "y.no", "y.val").alias("key"))
+    met = with_group_min(keys, ["key"], "node", ["node"], ("rep", "n")).filter("n > 1")
+    return met.select("node", "rep").filter("node <> rep").groupBy("node", "rep").agg(F.count("*").alias("tables"))
 
 
 def first_cells(best: DataFrame, s: Settings) -> DataFrame:
@@ -216,8 +216,9 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         dealt(left, "qs", "ts").select(F.xxhash64("to", "mine", "theirs").alias("cell"), F.lit(True).alias("query"), "node")
         .unionByName(dealt(members, "ts", "qs").select(F.xxhash64("to", "theirs", "mine").alias("cell"), F.lit(False).alias("query"), "node"))
     )
-    more = compared(cells, sets, s)
-    families = _labelled(involved, links.unionByName(more))
+    more = written(compared(cells, sets, s), "minhash-more")
+    if not more.isEmpty():
+        families = _joined_families(families, more)
 
     labels = classed.join(families, "node", "left").select("row_id", F.coalesce("family", "node").alias("family"))
     whole = signed.select("row_id", "doc_id", F.col("n").cast("long").alias("n_shingles")).join(labels, "row_id", "left").withColumn("family", F.coalesce("family", "row_id"))
@@ -231,6 +232,13 @@ def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("family"))
 
 
+def _joined_families(families: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, family) after ``links`` (a, b) between families: only these become a graph, of families."""
+    of = lambda end: families.select(F.col("node").alias(end), F.col("family").alias(f"of_{end}"))
+    joined = connected_components(links.join(of("a"), "a").join(of("b"), "b"), "of_a", "of_b").withColumnRenamed("node", "family")
+    return families.join(small(joined, joined.count()), "family", "left").select("node", F.coalesce("component", "family").alias("family"))
+
+
 def deduplicated(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """``docs`` with the first row of each component of near duplicates only."""
     docs = placed(docs)

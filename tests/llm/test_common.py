@@ -2,8 +2,11 @@
 
 import random
 
-from passages.llm import decontamination, language, near_duplicates
-from passages.llm.common import shared_dir, with_group_min, with_row_id, without, written
+import pytest
+from pyspark.sql import DataFrameWriter
+
+from passages.llm import decontamination, embeddings, language, near_duplicates, packing, secrets, suffix_dedup, warc
+from passages.llm.common import _file_code, shared_dir, table, with_group_min, with_row_id, without, written
 
 
 def test_with_group_min(spark):
@@ -29,3 +32,53 @@ def test_removal_keeps_clashing_columns(spark, tmp_path):
 
 def test_shared_dir_is_set_once(spark):
     assert shared_dir(spark) == shared_dir(spark)
+
+
+D = "/root/testdata/sf0.001"
+
+
+def test_row_ids_are_apart_and_stay(spark, tmp_path):
+    spark.range(1000).repartition(7).write.parquet(f"{tmp_path}/a b+c%")
+    read = lambda: {r.id: r.row_id for r in with_row_id(spark.read.parquet(f"{tmp_path}/a b+c%").select("id")).collect()}
+    ids = read()
+    assert len(set(ids.values())) == 1000 and min(ids.values()) >= 0
+    spark.conf.set("spark.sql.files.minPartitionNum", "64")
+    assert read() == ids
+    spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert with_row_id(spark.range(9).distinct()).select("row_id").distinct().count() == 9  # no file: written first
+    bits, salt = _file_code([f"hdfs://h/d/part-{i}" for i in range(3000)])
+    assert bits == 24 and salt.endswith(":")
+
+
+OPERATORS = {
+    "warc": lambda s, d: warc.report(d("pages")),
+    "suffix": lambda s, d: suffix_dedup.report(d("documents")),
+    "packing": lambda s, d: packing.report(d("documents")).select("doc_id", "piece", "start", "length", "ids_crc32"),
+    "decontamination": lambda s, d: decontamination.report(d("documents"), d("benchmark")),
+    "secrets": lambda s, d: secrets.secret_report(d("documents")),
+    "embeddings": lambda s, d: embeddings.report(d("embeddings")),
+    "deduplicated": lambda s, d: near_duplicates.deduplicated(d("documents")),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_rows_do_not_depend_on_splits(name, spark, tmp_path, monkeypatch):
+    """The number of read splits changes after every table that an operator writes."""
+
+    def many(t):
+        table(spark, D, t).repartition(9).write.parquet(f"{tmp_path}/{t}")
+        return lambda: spark.read.parquet(f"{tmp_path}/{t}")
+
+    tables = {t: many(t) for t in ("documents", "pages", "benchmark", "embeddings")}
+    run = lambda: sorted(map(repr, OPERATORS[name](spark, lambda t: tables[t]()).collect()))
+    want, write, turn = run(), DataFrameWriter.parquet, iter(range(10_000))
+
+    def changing(self, *a, **b):
+        write(self, *a, **b)
+        spark.conf.set("spark.sql.files.minPartitionNum", str((64, 2, 17)[next(turn) % 3]))
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", changing)
+    try:
+        assert run() == want
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")

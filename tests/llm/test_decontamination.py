@@ -74,3 +74,24 @@ def test_removal_and_empty_tables(spark, tmp_path):
     assert sorted(r.doc_id for r in dc.decontaminated(d, i).collect()) == sorted(x for x, _ in docs if x not in found)
     assert dc.report(d.limit(0), i).count() == 0
     assert dc.report(d, i.limit(0)).count() == 0 and dc.decontaminated(d, i.limit(0)).count() == len(docs)
+
+
+def test_fingerprints_of_many_shingles(spark):
+    rows = spark.range(90_000).selectExpr("id % 2 AS k", "xxhash64(id) AS hash").union(spark.range(40_000).selectExpr("2L AS k", "-1L AS hash"))
+    held = {}
+    for r in rows.collect():
+        held.setdefault(r.k, []).append(r.hash)
+    for r in dc.fingerprint(rows, ["k"]).collect():
+        own = held[r.k]
+        assert r.n_shingles == len(own) and r.fp & (2**64 - 1) == sum((sum(h >> b & 1 for h in own) * 2 > len(own)) << b for b in range(64))
+
+
+def test_parts_of_a_document_with_many_hits(spark, tmp_path):
+    rng = random.Random(5)
+    item = [f"u{i}" for i in range(20)]
+    w = []
+    for _ in range(30):
+        w += [rng.choice("abcdefgh") for _ in range(rng.randint(0, 200))] + (item if rng.random() < 0.3 else item[:15] + item[16:])
+    docs, items = [(1, " ".join(w)), (2, "z " * 700 + " ".join(item))], [(1, " ".join(item)), (2, " ".join(item[3:18]))]
+    got = dc.report(*tables(spark, tmp_path, docs, items)).collect()
+    assert sorted(((r.doc_id, r.item_id, r.start, r.overlap, r.union_size) for r in got), key=str) == brute(docs, items)
