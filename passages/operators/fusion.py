@@ -34,15 +34,31 @@ def blend(vector: Column, keyword: Column, weight: float) -> Column:
 
 
 METHODS = ("vector", "keyword", "blend50", "rrf", "blend90")
-
-
-def compared(vector: DataFrame, keyword: DataFrame, keys: list[str], top: int = 3, k: int = 60) -> DataFrame:
-    """(query_id, method, rank, keys, score): the first hits of each query under five methods. ``vector`` has a score
-    for every candidate; one that ``keyword`` lacks scored 0 there."""
-    both = vector.select("query_id", *keys, F.col("score").alias("v")).join(keyword.select("query_id", *keys, F.col("score").alias("w")), ["query_id", *keys], "left").fillna(0.0, ["w"])
-    both = normalize(normalize(both, "v", "vector"), "w", "keyword")
-    both = ranks(ranks(both, keys, "vector", "rv"), keys, "keyword", "rk")
-    both = both.withColumn("blend50", blend(F.col("vector"), F.col("keyword"), 0.5)).withColumn("blend90", blend(F.col("vector"), F.col("keyword"), 0.9))
-    both = both.withColumn("rrf", 1.0 / (k + F.col("rv")) + 1.0 / (k + F.col("rk")))
-    long = both.unpivot(["query_id", *keys], list(METHODS), "method", "score")
-    return top_k(long, ["query_id", "method"], "score", keys, top)
+#: Rows of each list that fusion looks at, for each query.
+POOL = 100
+
+
+def pooled(lists: DataFrame, keys: list[str], pool: int = POOL) -> DataFrame:
+    """(query_id, keys, score, norm, rank) of the first ``pool`` rows of each query's list. The largest score is in the
+    pool, so ``norm`` is that of the whole list; ranks are those of the normalized scores."""
+    first = normalize(top_k(lists.select("query_id", *keys, "score"), ["query_id"], "score", keys, pool).drop("rank"))
+    return ranks(first, keys, "norm")
+
+
+def fused(vector: DataFrame, keyword: DataFrame, keys: list[str], k: int = 60) -> DataFrame:
+    """(query_id, keys, vector, keyword, blend50, blend90, rrf) of all rows of two pooled lists. A row that one list lacks has
+    the score 0 there and adds nothing for it to ``rrf``: that is the pooled form of fusing whole lists."""
+    side = lambda x, name: x.select("query_id", *keys, F.col("norm").alias(name), F.col("rank").alias(f"{name}_rank"))
+    both = side(vector, "vector").join(side(keyword, "keyword"), ["query_id", *keys], "full_outer")
+    part = lambda name: F.coalesce(1.0 / (k + F.col(f"{name}_rank")), F.lit(0.0))
+    v, w = F.col("vector"), F.col("keyword")
+    return both.select(
+        "query_id", *keys, F.coalesce(v, F.lit(0.0)).alias("vector"), F.coalesce(w, F.lit(0.0)).alias("keyword"),
+        blend(v, w, 0.5).alias("blend50"), blend(v, w, 0.9).alias("blend90"), (part("vector") + part("keyword")).alias("rrf"),
+    )
+
+
+def compared(vector: DataFrame, keyword: DataFrame, keys: list[str], top: int = 3, k: int = 60, pool: int = POOL) -> DataFrame:
+    """(query_id, method, rank, keys, score): the first hits of each query under five methods, among the pools of both lists."""
+    both = fused(pooled(vector, keys, pool), pooled(keyword, keys, pool), keys, k)
+    return top_k(both.unpivot(["query_id", *keys], list(METHODS), "method", "score"), ["query_id", "method"], "score", keys, top)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -17,23 +18,32 @@ BROADCAST_TERMS = 200_000
 
 @dataclass
 class Index:
-    """``postings`` (key, dl, term, tf), ``lengths`` (key, dl) of all chunks, ``stats`` (n_docs, avgdl; one row), ``terms`` (term, df, idf)."""
+    """``split`` (key, dl, tokens) of all chunks and ``stats`` (n_docs, avgdl; one row)."""
 
-    postings: DataFrame
-    lengths: DataFrame
+    split: DataFrame
     stats: DataFrame
-    terms: DataFrame
 
+    def postings(self, terms: DataFrame | None = None) -> DataFrame:
+        """(key, dl, term, tf), of ``terms`` (term) only if given: others are left out before they are counted."""
+        each = self.split.select(*KEY, "dl", F.explode("tokens").alias("term"))
+        if terms is not None:
+            each = each.join(terms, "term", "left_semi")
+        return each.groupBy(*KEY, "dl", "term").agg(F.count("*").alias("tf"))
 
-def build(chunks: DataFrame, text: str = "text") -> Index:
-    """Term statistics of chunks. For large tables write ``postings`` and ``lengths`` before using them repeatedly."""
-    split = chunks.select(*KEY, tokens(F.col(text)).alias("tokens"))
-    postings = split.select(*KEY, F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy(*KEY, "dl", "term").agg(F.count("*").alias("tf"))
-    lengths = split.select(*KEY, F.size("tokens").alias("dl"))
-    stats = lengths.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return Index(postings, lengths, stats, df.crossJoin(F.broadcast(stats)).select("term", "df", idf.alias("idf")))  # stats is one row
+    def terms(self, postings: DataFrame | None = None) -> DataFrame:
+        """(term, df, idf) of all terms, or of those in ``postings``."""
+        df = (self.postings() if postings is None else postings).groupBy("term").agg(F.count("*").alias("df"))
+        idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        return df.crossJoin(F.broadcast(self.stats)).select("term", "df", idf.alias("idf"))  # stats is one row
+
+
+def build(chunks: DataFrame, text: str = "text", keep: Callable[[DataFrame, str], DataFrame] | None = None) -> Index:
+    """The index of chunks. ``keep(table, label)`` may store the tokens, so that what reads them does not cut and
+    split the texts again (:func:`passages.sources.scratch.written`)."""
+    words = tokens(F.col(text))
+    split = chunks.select(*KEY, F.size(words).alias("dl"), words.alias("tokens"))
+    split = keep(split, "tokens") if keep else split
+    return Index(split, split.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl")))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -45,10 +55,9 @@ def scores(index: Index, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -
     """(query_id, key, score) of chunks that hold a query term; all others score 0."""
     terms = query_terms(queries)
     few = terms.count() <= BROADCAST_TERMS
-    wanted = F.broadcast(terms) if few else terms
-    matched = index.postings.join(wanted, "term")
-    idf = index.terms.join(wanted.select("term").distinct(), "term", "left_semi")
-    weighed = matched.join(F.broadcast(idf) if few else idf, "term").crossJoin(F.broadcast(index.stats))
+    small = F.broadcast if few else lambda x: x
+    postings = index.postings(small(terms.select("term").distinct()))
+    weighed = postings.join(small(terms), "term").join(small(index.terms(postings)), "term").crossJoin(F.broadcast(index.stats))
     norm = F.when(F.col("avgdl") > 0, k1 * (1 - b + b * F.col("dl") / F.when(F.col("avgdl") > 0, F.col("avgdl")))).otherwise(k1)
     return weighed.groupBy("query_id", *KEY).agg(F.sum(F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)).alias("score"))
 
@@ -57,19 +66,22 @@ def bm25_top_k(index: Index, queries: DataFrame, k: int = 5, **how) -> DataFrame
     """(query_id, key, score, rank): exactly k chunks for each query; those of score 0 fill up in the order of
     keys. The first k chunks by key suffice: those among them that are no hits follow all hits."""
     best = top_k(scores(index, queries, **how), ["query_id"], "score", KEY, k).drop("rank")
-    first = index.lengths.select(*KEY).orderBy(*KEY).limit(k)
-    fill = queries.select("query_id").distinct().crossJoin(F.broadcast(first))  # k rows
-    fill = fill.join(best.select("query_id", *KEY), ["query_id", *KEY], "left_anti").withColumn("score", F.lit(0.0))
-    return top_k(best.unionByName(fill), ["query_id"], "score", KEY, k)
+    first = index.split.select(*KEY).orderBy(*KEY).limit(k)
+    fill = queries.select("query_id").distinct().crossJoin(F.broadcast(first)).withColumn("score", F.lit(0.0))  # k rows
+    # a filled row that is also a hit loses against itself
+    both = best.unionByName(fill).groupBy("query_id", *KEY).agg(F.max("score").alias("score"))
+    return top_k(both, ["query_id"], "score", KEY, k)
 
 
 def idf_report(index: Index, chosen: DataFrame) -> DataFrame:
     """(term, idf) of chosen terms, 0 if absent."""
-    return chosen.join(index.terms.select("term", "idf"), "term", "left").select("term", F.coalesce("idf", F.lit(0.0)).alias("idf"))
+    known = index.terms(index.postings(chosen.select("term").distinct()))
+    return chosen.join(known, "term", "left").select("term", F.coalesce("idf", F.lit(0.0)).alias("idf"))
 
 
 def idf_extremes(index: Index, n: int = 5) -> DataFrame:
     """The ``n`` lowest idf by (idf, term) as (term, idf, ties), and a row with a null term for how many terms tie at the highest."""
-    low = index.terms.orderBy("idf", "term").limit(n).select("term", "idf", F.lit(None).cast("long").alias("ties"))
-    top = index.terms.groupBy("idf").agg(F.count("*").alias("ties")).orderBy(F.col("idf").desc()).limit(1)
+    terms = index.terms()
+    low = terms.orderBy("idf", "term").limit(n).select("term", "idf", F.lit(None).cast("long").alias("ties"))
+    top = terms.groupBy("idf").agg(F.count("*").alias("ties")).orderBy(F.col("idf").desc()).limit(1)
     return low.unionByName(top.select(F.lit(None).cast("string").alias("term"), "idf", "ties"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passages.functions import models
 from passages.functions import text as T
-from passages.operators import ann, chunk, evaluate, expand, fusion, lexical, prompt, vectors
+from passages.operators import ann, answer, chunk, evaluate, expand, fusion, lexical, prompt, vectors
 from passages.plans import sql as S
-from passages.sources import corpus
+from passages.sources import corpus, index, scratch
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -48,13 +50,19 @@ def vector_queries(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
+def bm25_index(spark: SparkSession, d: str) -> lexical.Index:
+    return lexical.build(doc_chunks(spark, d), keep=scratch.written)
+
+
 def bm25_hits(spark: SparkSession, d: str, k: int) -> DataFrame:
-    return lexical.bm25_top_k(lexical.build(doc_chunks(spark, d)), asked(spark, d), k)
+    return lexical.bm25_top_k(bm25_index(spark, d), asked(spark, d), k)
 
 
 def named(hits: DataFrame, spark: SparkSession, d: str) -> DataFrame:
-    """Hits with the text of their chunk and the source of their document."""
-    return hits.join(doc_chunks(spark, d), ["doc_id", "chunk_no"]).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    """Hits with the text of their chunk and the source of their document; only documents with hits are cut."""
+    hits = scratch.written(hits, "hits")
+    docs = table(spark, d, "documents").join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
+    return hits.join(chunk.chunk_words(docs.select("doc_id", "source", "text")), ["doc_id", "chunk_no"])
 
 
 # sources and cleaning
@@ -65,6 +73,46 @@ def s2_from_table(spark, d):
     return corpus.from_table(table(spark, d, "documents"), "text", "source")
 
 
+def _records(spark, d) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    return e.select("vec_id", F.concat(F.lit("vector "), F.col("vec_id").cast("string")).alias("text"), F.col("embedding").alias("vector"), F.when(F.col("label") > 4, F.create_map(F.lit("label"), F.col("label").cast("string"))).alias("metadata"))
+
+
+_RECORDS = "vec_id, 'vector ' || vec_id AS text, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total"
+
+
+def _seen(records: DataFrame) -> list:
+    return ["vec_id", "text", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double")), 6).alias("total")]
+
+
+@query(f"SELECT {_RECORDS}, NULL::VARCHAR AS category FROM embeddings UNION ALL SELECT {_RECORDS}, 'again' FROM embeddings WHERE label = 3")
+def s3_add(spark, d):
+    records = _records(spark, d)
+    more = records.join(table(spark, d, "embeddings").filter("label = 3").select("vec_id"), "vec_id", "left_semi")
+    both = index.checked(index.appended(records, more.withColumn("category", F.lit("again"))), 64)
+    return both.select(*_seen(both), "category")
+
+
+@query(f"SELECT {_RECORDS}, CASE WHEN label > 4 THEN label::VARCHAR END AS label, coalesce((label > 4)::INT, 0) AS n_metadata FROM embeddings")
+def s5_save_and_load(spark, d):
+    path = scratch.scratch_path(spark, "records")
+    index.save(_records(spark, d), path)
+    found = index.load(spark, path)
+    return found.select(*_seen(found), F.try_element_at("metadata", F.lit("label")).alias("label"), F.size("metadata").alias("n_metadata"))
+
+
+@query(f"SELECT turn::INT turn, turn <> 1 AS built, {_RECORDS} FROM embeddings, (SELECT unnest([0, 1, 2]) turn) WHERE turn < 2 OR label = 3")
+def s6_build_or_load(spark, d):
+    """Built, loaded again under the same header, built anew under another."""
+    path, records, out = scratch.scratch_path(spark, "index"), _records(spark, d), None
+    chosen = records.join(table(spark, d, "embeddings").filter("label = 3").select("vec_id"), "vec_id", "left_semi")
+    for turn, (labels, build) in enumerate([("all", records), ("all", records), ("3", chosen)]):
+        found, built = index.build_or_load(spark, path, {"labels": labels}, lambda build=build: build)
+        part = found.select(F.lit(turn).alias("turn"), F.lit(built).alias("built"), *_seen(found))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query(f"SELECT page_id, {S.clean('html')} AS cleaned FROM pages")
 def i1_clean(spark, d):
     return table(spark, d, "pages").select("page_id", T.clean(F.col("html")).alias("cleaned"))
@@ -147,9 +195,25 @@ def v2_knn(spark, d):
     return vectors.knn(table(spark, d, "embeddings"), vector_queries(spark, d)).withColumn("score", F.round("score", 6))
 
 
-@query(f"SELECT query_id, vec_id, rank::INT rank, round(score, 6) AS score FROM ({S.knn(4)})")
+def _embedder():
+    return models.hashing_embedder(64)
+
+
+_EMBEDDED = f"""e AS ({S.hashed("documents", "doc_id")}), q AS ({S.hashed("benchmark", "item_id")}),
+n AS (SELECT item_id query_id, doc_id, list_cosine_similarity(e.v::DOUBLE[], q.v::DOUBLE[]) score, row_number() OVER (PARTITION BY item_id ORDER BY round(list_cosine_similarity(e.v::DOUBLE[], q.v::DOUBLE[]), 9) DESC, doc_id) rank FROM e, q QUALIFY rank <= 4)"""
+
+
+@query(f"WITH {_EMBEDDED} SELECT query_id, doc_id, rank::INT rank, round(score, 6) AS score FROM n")
 def v3_retrieve(spark, d):
-    return vectors.knn(table(spark, d, "embeddings"), vector_queries(spark, d), 4).withColumn("score", F.round("score", 6))
+    """Questions and documents embedded by words, which stands in for a user's model."""
+    docs = answer.embedded(table(spark, d, "documents").select("doc_id", "text"), _embedder, "document")
+    return answer.retrieve(asked(spark, d), docs, _embedder, key="doc_id").select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT doc_id, dim::INT dim, round(x::DOUBLE, 6) AS x FROM (SELECT doc_id, unnest(range(0, 64)) dim, unnest(v) x FROM ({S.hashed('documents', 'doc_id')})) WHERE x <> 0")
+def u1_embed(spark, d):
+    made = table(spark, d, "documents").select("doc_id", models.embed_udf(_embedder)(F.col("text")).alias("v"))
+    return made.select("doc_id", F.posexplode("v").alias("dim", "x")).filter("x <> 0").select("doc_id", "dim", F.round(F.col("x").cast("double"), 6).alias("x"))
 
 
 @query(f"SELECT query_id, vec_id, rank::INT rank, round(score, 6) AS score FROM ({S.knn(5, where='a.label IN (1, 2)')})")
@@ -213,10 +277,15 @@ def k1_tokenize(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(T.tokens(F.col("text")), " ").alias("tokens"))
 
 
-@query(f"WITH {S.BM25} SELECT doc_id, chunk_no, term, tf, df FROM post JOIN idf USING (term)")
+@query(f"WITH {S.BM25} SELECT doc_id, chunk_no, count(*) n_terms, sum(tf)::BIGINT dl, sum(tf * tf)::BIGINT tf2, sum(df)::BIGINT df_sum, sum(tf * df * length(term))::BIGINT mixed FROM post JOIN idf USING (term) GROUP BY ALL")
 def k2_term_statistics(spark, d):
-    index = lexical.build(doc_chunks(spark, d))
-    return index.postings.join(index.terms.select("term", "df"), "term").select("doc_id", "chunk_no", "term", "tf", "df")
+    """All term and document frequencies, summed up by chunk."""
+    built = bm25_index(spark, d)
+    postings = built.postings()
+    each = postings.join(built.terms(postings).select("term", "df"), "term")
+    total = lambda x, name: F.sum(x).cast("long").alias(name)
+    tf, df = F.col("tf"), F.col("df")
+    return each.groupBy(*lexical.KEY).agg(F.count("*").alias("n_terms"), total(tf, "dl"), total(tf * tf, "tf2"), total(df, "df_sum"), total(tf * df * F.length("term"), "mixed"))
 
 
 @query(f"WITH {S.BM25} SELECT n_docs, round(avgdl, 6) AS avgdl FROM st")
@@ -226,12 +295,12 @@ def k2_corpus_statistics(spark, d):
 
 @query(f"WITH {S.BM25} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def k3_idf(spark, d):
-    return lexical.build(doc_chunks(spark, d)).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    return lexical.build(doc_chunks(spark, d)).terms().select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {S.BM25} SELECT query_id, doc_id, chunk_no, round(score, 6) AS score FROM bm")
 def k4_bm25_scores(spark, d):
-    return lexical.scores(lexical.build(doc_chunks(spark, d)), asked(spark, d)).withColumn("score", F.round("score", 6))
+    return lexical.scores(bm25_index(spark, d), asked(spark, d)).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {S.bm25_top(5)} SELECT query_id, doc_id, chunk_no, rank::INT rank, round(score, 6) AS score FROM kw")
@@ -242,61 +311,66 @@ def k5_bm25_topk(spark, d):
 @query(f"WITH {S.BM25} SELECT term, round(coalesce(idf, 0), 6) AS idf FROM (SELECT DISTINCT term FROM qt) LEFT JOIN idf USING (term)")
 def k6_idf_report(spark, d):
     chosen = lexical.query_terms(asked(spark, d)).select("term").distinct()
-    return lexical.idf_report(lexical.build(doc_chunks(spark, d)), chosen).withColumn("idf", F.round("idf", 6))
+    return lexical.idf_report(bm25_index(spark, d), chosen).withColumn("idf", F.round("idf", 6))
 
 
 @query(f"WITH {S.BM25} SELECT term, round(idf, 6) AS idf, NULL::BIGINT ties FROM (SELECT * FROM idf ORDER BY idf, term LIMIT 5) UNION ALL SELECT NULL, round(idf, 6), count(*) FROM idf WHERE idf = (SELECT max(idf) FROM idf) GROUP BY 2")
 def k6_idf_extremes(spark, d):
-    return lexical.idf_extremes(lexical.build(doc_chunks(spark, d))).withColumn("idf", F.round("idf", 6))
+    return lexical.idf_extremes(bm25_index(spark, d)).withColumn("idf", F.round("idf", 6))
 
 
-# fusion: documents as one chunk each, vectors paired by vec_id = doc_id, a query's vector by its number
+# fusion: the vectors near a query's (by its number) and the documents that hold its words, whole; a vector and a document of the same number are one row
 
-_DOCS = f"""{S.BM25.replace(S.chunks("documents", "doc_id"), "SELECT doc_id, 0 chunk_no, text FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)")},
-vs AS (SELECT item_id query_id, a.vec_id doc_id, {S.COSINE} score FROM benchmark JOIN embeddings q ON q.vec_id = item_id, embeddings a WHERE a.vec_id IN (SELECT doc_id FROM documents)),
-bo AS (SELECT vs.query_id, vs.doc_id, vs.score v, coalesce(bm.score, 0) w FROM vs LEFT JOIN bm ON bm.query_id = vs.query_id AND bm.doc_id = vs.doc_id),
-nm AS (SELECT *, CASE WHEN max(v) OVER q = 0 THEN 0 ELSE v / max(v) OVER q END vector, CASE WHEN max(w) OVER q = 0 THEN 0 ELSE w / max(w) OVER q END keyword FROM bo WINDOW q AS (PARTITION BY query_id)),
-rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(vector, 9) DESC, doc_id) rv, row_number() OVER (PARTITION BY query_id ORDER BY round(keyword, 9) DESC, doc_id) rk FROM nm)"""
+_LISTS = f"""{S.BM25.replace(S.chunks("documents", "doc_id"), "SELECT doc_id, 0 chunk_no, text FROM documents")},
+vs AS (SELECT query_id, vec_id doc_id, score FROM ({S.knn(100, "vec_id IN (SELECT item_id FROM benchmark)")})),
+vp AS ({S.pooled("vs")}), kp AS ({S.pooled("bm")}),
+fu AS (SELECT query_id, doc_id, coalesce(vp.norm, 0) vector, coalesce(kp.norm, 0) keyword, coalesce(1.0 / (60 + vp.r), 0) + coalesce(1.0 / (60 + kp.r), 0) rrf,
+ 0.5 * coalesce(vp.norm, 0) + 0.5 * coalesce(kp.norm, 0) blend50, 0.9 * coalesce(vp.norm, 0) + (1 - 0.9) * coalesce(kp.norm, 0) blend90 FROM vp FULL JOIN kp USING (query_id, doc_id))"""
+_BOTH = "(SELECT 'vector' AS list, * FROM vp UNION ALL SELECT 'keyword', * FROM kp)"
 
 
 def _lists(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(query_id, doc_id, score) of the nearest vectors and of all documents that hold a query term."""
     e = table(spark, d, "embeddings")
-    docs = table(spark, d, "documents").join(e.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.lit(0).alias("chunk_no"), "text")
-    keyword = lexical.scores(lexical.build(docs), asked(spark, d)).select("query_id", "doc_id", "score")
-    queries = asked(spark, d).join(e.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id").select("query_id", F.col("embedding").alias("q"))
-    paired = e.join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
-    every = paired.crossJoin(F.broadcast(queries)) if queries.count() <= vectors.BLOCK else paired.crossJoin(queries)
-    return every.select("query_id", F.col("vec_id").alias("doc_id"), vectors.cosine(F.col("embedding"), F.col("q")).alias("score")), keyword
+    queries = e.join(asked(spark, d).select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "embedding")
+    vector = vectors.knn(e, queries, fusion.POOL).select("query_id", F.col("vec_id").alias("doc_id"), "score")
+    docs = table(spark, d, "documents").select("doc_id", F.lit(0).alias("chunk_no"), "text")
+    keyword = lexical.scores(lexical.build(docs, keep=scratch.written), asked(spark, d)).select("query_id", "doc_id", "score")
+    return vector, keyword
+
+
+def _pools(spark, d) -> list[tuple[str, DataFrame]]:
+    return [(name, fusion.pooled(x, ["doc_id"])) for name, x in zip(("vector", "keyword"), _lists(spark, d))]
+
 
+def _both(spark, d, value) -> DataFrame:
+    parts = [x.select("query_id", F.lit(name).alias("list"), "doc_id", value) for name, x in _pools(spark, d)]
+    return parts[0].unionByName(parts[1])
 
-@query(f"WITH {_DOCS} SELECT query_id, doc_id, round(vector, 6) AS norm FROM nm")
+
+@query(f"WITH {_LISTS} SELECT query_id, list, doc_id, round(norm, 6) AS norm FROM {_BOTH}")
 def f1_normalize(spark, d):
-    return fusion.normalize(_lists(spark, d)[0]).select("query_id", "doc_id", F.round("norm", 6).alias("norm"))
+    return _both(spark, d, F.round("norm", 6).alias("norm"))
 
 
-@query(f"WITH {_DOCS} SELECT query_id, doc_id, rv::INT rank FROM rk")
+@query(f"WITH {_LISTS} SELECT query_id, list, doc_id, r::INT rank FROM {_BOTH}")
 def f2_ranks(spark, d):
-    return fusion.ranks(fusion.normalize(_lists(spark, d)[0]), ["doc_id"], "norm").select("query_id", "doc_id", "rank")
+    return _both(spark, d, F.col("rank"))
 
 
-@query(f"WITH {_DOCS}, kr AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) r FROM bm) SELECT query_id, doc_id, round(1.0 / (60 + rv) + coalesce(1.0 / (60 + r), 0), 6) AS score FROM rk LEFT JOIN kr USING (query_id, doc_id)")
+@query(f"WITH {_LISTS} SELECT query_id, doc_id, round(rrf, 6)::DOUBLE AS score FROM fu")
 def f3_rrf(spark, d):
-    vector, keyword = _lists(spark, d)
-    lists = [fusion.ranks(fusion.normalize(vector), ["doc_id"], "norm"), fusion.ranks(keyword.join(vector.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi"), ["doc_id"])]
-    return fusion.rrf(lists, ["doc_id"]).withColumn("score", F.round("score", 6))
+    return fusion.rrf([x for _, x in _pools(spark, d)], ["doc_id"]).withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH {_DOCS} SELECT query_id, doc_id, round(0.5 * vector + 0.5 * keyword, 6) AS blend50, round(0.9 * vector + (1 - 0.9) * keyword, 6) AS blend90 FROM nm")
+@query(f"WITH {_LISTS} SELECT query_id, doc_id, round(blend50, 6) AS blend50, round(blend90, 6) AS blend90 FROM fu")
 def f4_blend(spark, d):
-    vector, keyword = _lists(spark, d)
-    both = fusion.normalize(vector).join(fusion.normalize(keyword, to="kw").select("query_id", "doc_id", "kw"), ["query_id", "doc_id"], "left")
-    w = lambda x: F.round(fusion.blend(F.col("norm"), F.col("kw"), x), 6)
-    return both.select("query_id", "doc_id", w(0.5).alias("blend50"), w(0.9).alias("blend90"))
+    pools = dict(_pools(spark, d))
+    return fusion.fused(pools["vector"], pools["keyword"], ["doc_id"]).select("query_id", "doc_id", F.round("blend50", 6).alias("blend50"), F.round("blend90", 6).alias("blend90"))
 
 
 @query(
-    f"""WITH {_DOCS}, al AS (SELECT query_id, doc_id, unnest(['vector', 'keyword', 'blend50', 'rrf', 'blend90']) AS method,
- unnest([vector, keyword, 0.5 * vector + 0.5 * keyword, 1.0 / (60 + rv) + 1.0 / (60 + rk), 0.9 * vector + (1 - 0.9) * keyword]::DOUBLE[]) score FROM rk)
+    f"""WITH {_LISTS}, al AS (SELECT query_id, doc_id, unnest(['vector', 'keyword', 'blend50', 'rrf', 'blend90']) AS method, unnest([vector, keyword, blend50, rrf, blend90]::DOUBLE[]) score FROM fu)
 SELECT query_id, method, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id, method ORDER BY round(score, 9) DESC, doc_id)::INT rank FROM al QUALIFY rank <= 3"""
 )
 def f5_compare_methods(spark, d):
@@ -315,6 +389,23 @@ def r1_two_stage(spark, d):
     return expand.two_stage(hits, F.length("text").cast("double"), lexical.KEY).select("query_id", "doc_id", "chunk_no", "rank")
 
 
+@query(f"WITH {_HITS}, o AS (SELECT query_id, doc_id, chunk_no, h.rank first, len(list_intersect(list_distinct({S.words('lower(h.text)')}), list_distinct({S.words('lower(b.text)')}))) x FROM h JOIN benchmark b ON item_id = query_id) SELECT query_id, doc_id, chunk_no, row_number() OVER (PARTITION BY query_id ORDER BY x DESC, first)::INT rank FROM o QUALIFY rank <= 3")
+def u3_rerank(spark, d):
+    """The count of common words, which stands in for a user's pair scorer."""
+    common = models.score_udf(lambda q, t: pd.Series([float(len(set(a.lower().split()) & set(b.lower().split()))) for a, b in zip(q, t)]))
+    hits = named(bm25_hits(spark, d, 8), spark, d).join(asked(spark, d).select("query_id", F.col("text").alias("q")), "query_id")
+    return expand.two_stage(hits, common(F.col("q"), F.col("text")), lexical.KEY).select("query_id", "doc_id", "chunk_no", "rank")
+
+
+@query(f"WITH {S.bm25_top(5)} SELECT turn::INT turn, query_id, doc_id, chunk_no, rank::INT rank, round(score, 6) AS score FROM kw, (SELECT unnest([0, 1]) turn)")
+def s7_hits_sink(spark, d):
+    """The trace of two searches, appended to one table."""
+    path, hits = scratch.scratch_path(spark, "trace"), scratch.written(bm25_hits(spark, d, 5), "hits")
+    for turn in range(2):
+        index.save_hits(hits.select(F.lit(turn).alias("turn"), "query_id", "doc_id", "chunk_no", "rank", F.round("score", 6).alias("score")), path)
+    return spark.read.parquet(path)
+
+
 @query(f"WITH {_HITS} SELECT query_id, string_agg('[' || rank || '] ' || left(replace(text, chr(10), ' '), 200), chr(10) ORDER BY rank) AS listing FROM h GROUP BY query_id")
 def r2_listing(spark, d):
     return expand.listing(named(bm25_hits(spark, d, 8), spark, d))
@@ -354,7 +445,17 @@ def p3_dangling(spark, d):
     return prompt.dangling(answers, bm25_hits(spark, d, 8))
 
 
-@query(None)
+_STOP = ", ".join(f"'{w}'" for w in sorted(prompt.STOP_WORDS))
+_SNIPPETS = f"""WITH {_HITS}, a AS (SELECT item_id query_id, list_distinct(list_concat(l, list_transform(l, lambda w: regexp_replace(w, 's$', '')))) w FROM
+ (SELECT item_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), lambda w: length(w) > 2 AND w NOT IN ({_STOP})) l FROM benchmark)),
+t AS (SELECT query_id, doc_id, chunk_no, w, {S.clean("text")} f FROM h JOIN a USING (query_id) WHERE rank <= 4),
+p AS (SELECT query_id, doc_id, chunk_no, flatten(list_transform(w, lambda x: list_filter(range(1, length(f) + 1), lambda i: substr(lower(f), i, length(x)) = x))) p FROM t),
+b AS (SELECT query_id, doc_id, chunk_no, x FROM (SELECT query_id, doc_id, chunk_no, p, unnest(list_distinct(p)) x FROM p) QUALIFY row_number() OVER (PARTITION BY query_id, doc_id, chunk_no ORDER BY len(list_filter(p, lambda y: abs(y - x) <= 37)) DESC, x) = 1),
+s AS (SELECT query_id, doc_id, chunk_no, f, length(f) n, coalesce(greatest(least(x + 36, length(f)) - 75, 0), 0) skip FROM t LEFT JOIN b USING (query_id, doc_id, chunk_no))
+SELECT query_id, doc_id, chunk_no, CASE WHEN n <= 75 THEN f ELSE CASE WHEN skip > 0 THEN '...' ELSE '' END || substr(f, skip + 1, 75) || CASE WHEN skip + 75 < n THEN '...' ELSE '' END END AS snippet FROM s"""
+
+
+@query(_SNIPPETS)
 def p4_snippets(spark, d):
     return prompt.snippets(named(bm25_hits(spark, d, 4), spark, d), asked(spark, d)).select("query_id", "doc_id", "chunk_no", "snippet")
 
@@ -366,9 +467,8 @@ _RANKS = f"{_HITS}, {_GOLD}, fr AS (SELECT g.query_id, coalesce(min(rank), 0)::I
 
 
 def gold(spark, d) -> DataFrame:
-    items, docs = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item")), table(spark, d, "documents")
-    items = F.broadcast(items) if items.count() <= vectors.BLOCK else items
-    return docs.join(items, docs["text"].contains(F.col("item"))).select("query_id", "source").distinct()
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
+    return evaluate.containing(table(spark, d, "documents").select("source", "text"), items, vectors.BLOCK).select("query_id", "source").distinct()
 
 
 def _first_ranks(spark, d) -> DataFrame:

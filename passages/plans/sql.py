@@ -41,6 +41,16 @@ MARKDOWN = "SELECT conv_id, string_agg('## ' || role || chr(10) || text, chr(10)
 SECTIONS = f"""SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT section_no, role heading, body FROM
  (SELECT conv_id, turn, role, {strip("replace(text, chr(13), '')")} body FROM conversations) WHERE body <> ''"""
 
+def hashed(table: str, key: str, text: str = "text", dim_bits: int = 6) -> str:
+    """SELECT of key and its hashing vector ``v``, as models.hashing_embedder makes it."""
+    digit = lambda at: f"('0x' || substr(h, {at}, 2))::INT"
+    return f"""SELECT {key}, array_agg((CASE WHEN norm > 0 THEN coalesce(x, 0) / norm ELSE 0 END)::FLOAT ORDER BY dim) v FROM
+ (SELECT {key}, unnest(range(0, {1 << dim_bits})) dim FROM {table}) LEFT JOIN
+ (SELECT {key}, dim, x, sqrt(sum(x * x) OVER (PARTITION BY {key})) norm FROM
+  (SELECT {key}, {digit(1)} & {(1 << dim_bits) - 1} dim, sum(CASE WHEN {digit(15)} >= 128 THEN 1.0 ELSE -1.0 END)::DOUBLE x FROM
+   (SELECT {key}, md5(unnest({words(f"lower({text})")})) h FROM {table}) GROUP BY ALL)) USING ({key}, dim) GROUP BY {key}"""
+
+
 #: Parts for WITH: c (chunks), tok, post, len_, st, idf, qt, bm (scores), kw (top k with zero fill).
 BM25 = f"""c AS ({chunks("documents", "doc_id")}),
 tok AS (SELECT doc_id, chunk_no, regexp_extract_all(lower(text), '{TOKEN}') t FROM c),
@@ -69,6 +79,13 @@ def knn(k: int, queries: str = "vec_id % 50 = 0", where: str = "true") -> str:
  FROM embeddings a, (SELECT * FROM embeddings WHERE {queries}) q WHERE {where} QUALIFY rank <= {k}"""
 
 
+def pooled(lists: str, pool: int = 100) -> str:
+    """SELECT of query_id, doc_id, norm and rank of each query's first rows."""
+    return f"""SELECT query_id, doc_id, norm, row_number() OVER (PARTITION BY query_id ORDER BY round(norm, 9) DESC, doc_id) r FROM
+ (SELECT query_id, doc_id, CASE WHEN max(score) OVER q = 0 THEN 0 ELSE score / max(score) OVER q END norm FROM
+  (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) p FROM {lists}) WHERE p <= {pool} WINDOW q AS (PARTITION BY query_id))"""
+
+
 def ivf(clusters: int, seed: int = 0) -> str:
     """Parts for WITH: cen (cluster_id, v), asg (cluster_id, vec_id, embedding), prb (query_id, cluster_id, probe_rank)."""
     cos = "list_cosine_similarity(e.embedding::DOUBLE[], cen.v::DOUBLE[])"

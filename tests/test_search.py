@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from passages.functions import models
-from passages.operators import ann, evaluate, expand, fusion, lexical, prompt, vectors
+from passages.operators import ann, answer, evaluate, expand, fusion, lexical, prompt, vectors
 from passages.operators.topk import top_k
 
 CHUNKS = [(1, 0, "the xx-1 error code"), (1, 1, ""), (2, 0, "notes and the export of notes"), (2, 1, "the xx-1 error code"), (3, 0, "plans"), (3, 1, None)]
@@ -151,12 +151,16 @@ def test_prompts_and_citations(spark):
     assert [(r.query_id, r.n) for r in prompt.dangling(answers, hits).collect()] == [(1, 9)]
 
 
-def test_snippet():
+def test_snippets(spark):
     text = "alpha " * 30 + "the export of notes " + "omega " * 30
-    got = prompt.snippet(text, "how do I export my notes?", 40)
-    assert "export of notes" in got and got.startswith("...") and got.endswith("...") and len(got) <= 46
-    assert prompt.snippet("short", "x") == "short" and prompt.snippet(None, "x") is None
-    assert prompt.snippet(text, "zzz", 10) == text[:10] + "..."
+    show = lambda t, q, width=75: prompt.snippets(spark.createDataFrame([(1, t)], "query_id int, text string"), spark.createDataFrame([(1, q)], "query_id int, text string"), width).first().snippet
+    got = show(text, "how do I export my notes?", 40)
+    assert "export of notes" in got and got.startswith("...") and got.endswith("...") and len(got) == 46
+    assert show("short  x", "x") == "short x" and show(None, "x") is None and show("", None) == ""
+    assert show(text, "zzz", 10) == text[:10] + "..." and show(text, None, 10) == text[:10] + "..."
+    assert show("key " + "b " * 60, "keys") == ("key " + "b " * 60)[:75] + "..."  # found without its s, at the start
+    assert show("b " * 60 + "key", "the key") == "..." + ("b " * 60 + "key")[-75:]
+    assert show("one " + "b " * 60 + "one two one " + "c " * 60, "one two", 30)[3:-3].count("one two one") == 1
 
 
 def test_measures(spark):
@@ -179,3 +183,44 @@ def test_models(spark):
     assert df.limit(1).select(models.generate_udf(lambda: lambda s, u, n: u.upper())(F.col("t")).alias("o")).first().o == "A B"
     overlap = models.score_udf(lambda q, t: pd.Series([float(len(set(a.split()) & set(b.split()))) for a, b in zip(q, t)]))
     assert df.limit(1).select(overlap(F.lit("b c"), F.col("t")).alias("o")).first().o == 1.0
+
+
+def test_answers_and_drafts(spark):
+    texts = ["invoices are due in thirty days", "exports hold all notes", "the xx-1 code means no network"]
+    calls = spark.sparkContext.accumulator(0)
+
+    def make_embed():
+        inner = models.hashing_embedder(64)
+
+        def embed(batch, input_type):
+            calls.add(len(batch))
+            return inner([t + (" invoices" if input_type == "document" and t == "draft" else "") for t in batch], input_type)
+
+        return embed
+
+    passages = answer.embedded(spark.createDataFrame([(i, f"s{i}", t) for i, t in enumerate(texts)], "vec_id long, source string, text string"), make_embed, "document")
+    questions = spark.createDataFrame([(1, "when are invoices due"), (2, "what means xx-1"), (3, None)], "query_id long, text string")
+    got = {(r.query_id, r["rank"]): r.vec_id for r in answer.retrieve(questions, passages, make_embed, 1).collect()}
+    assert got == {(1, 1): 0, (2, 1): 2}
+    before = calls.value
+    answers, hits = answer.answer(questions, passages, make_embed, lambda: lambda system, user, n: f"{n}|{system[:8]}|{user.splitlines()[1]} [1]", 1, 99)
+    said = {r.query_id: r.answer for r in answers.collect()}
+    assert said[1] == "99|Use only|[1] (source: s0) [1]" and said[3] == "99|Use only| [1]" and calls.value == before + 2  # each question once
+    cited = {(r.query_id, r.source) for r in prompt.citations(answers, hits).collect()}
+    assert (1, "s0") in cited and (2, "s2") in cited and (3, None) in cited
+    drafted = answer.hyde(questions.filter("query_id = 2"), passages, lambda: lambda s, u, n: "draft", make_embed, 1).collect()
+    assert [(r.query_id, r.vec_id) for r in drafted] == [(2, 0)]
+
+
+def test_containing(spark):
+    docs = spark.createDataFrame([(1, "xa b c d e f gz  h"), (2, "a b c d e f g"), (3, "b c d e f"), (4, None), (5, "")], "doc_id int, text string")
+    items = spark.createDataFrame([(1, "a b c d e f g"), (2, "c d"), (3, "q r s t u v w"), (4, None), (5, "a b  c d e f g")], "query_id int, item string")
+    assert sorted((r.doc_id, r.query_id) for r in evaluate.containing(docs, items).collect()) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 2)]
+
+
+def test_fused_pools(spark):
+    v = spark.createDataFrame([(1, i, 1.0 - i / 10) for i in range(6)], "query_id int, key int, score double")
+    w = spark.createDataFrame([(1, 5, 8.0), (1, 9, 4.0), (2, 1, 1.0)], "query_id int, key int, score double")
+    got = {(r.query_id, r.key): r for r in fusion.fused(fusion.pooled(v, ["key"], 2), fusion.pooled(w, ["key"], 2), ["key"]).collect()}
+    assert sorted(got) == [(1, 0), (1, 1), (1, 5), (1, 9), (2, 1)]
+    assert got[1, 1].vector == pytest.approx(0.9) and got[1, 1].rrf == pytest.approx(1 / 62) and got[1, 9].blend90 == pytest.approx(0.05)
