@@ -9,8 +9,8 @@ revisits that name it. Bundles go to a folder that driver and executors share. A
 new names and only what it returns enters the index, so a repeated task leaves at most an unused file.
 
 Defined results: a null html is an empty payload; payloads shorter than ``least_bytes`` are all responses;
-repeated rows are records of their own; an empty table gives no bundle and an empty index; ``pages`` must be
-a plain read of stored files (see ``common.with_row_id``).
+repeated rows are records of their own; an empty table gives no bundle and an empty index; for
+``pages`` see ``common.placed``.
 """
 
 from __future__ import annotations
@@ -41,15 +41,15 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page: str, record_id: str, url: str | None, payload: bytes, refers_to: str | None, date: str) -> bytes:
-    """One WARC record; a revisit, which holds HTTP headers only, if ``refers_to`` is given."""
+def record(page: str, record_id: str, url: str | None, payload: bytes, refers_to: str | None, first_page: str | None, date: str) -> bytes:
+    """One WARC record; a revisit, which holds HTTP headers only, if ``refers_to``, the first record's id, is given."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     target = (url or "").replace("\r", "%0D").replace("\n", "%0A")
     lines = [
         "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{record_id}>", f"WARC-Date: {date}",
         f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{payload_digest(payload)}", f"X-Page: {page}",
-        *([] if refers_to is None else [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: <{refers_to}>"]),
+        *([] if refers_to is None else [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: <{refers_to}>", f"X-Refers-To-Page: {first_page}"]),
         "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}",
     ]
     return "\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -66,8 +66,12 @@ def parsed(raw: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[:size]
 
 
-def page_urn(page_id) -> str:
-    return "urn:page:" + ("" if page_id is None else str(int(page_id)))
+def record_urn(row_id: int) -> str:
+    return uuid.uuid5(uuid.NAMESPACE_URL, f"row:{row_id}").urn
+
+
+def _number(page_id) -> str:
+    return "" if pd.isna(page_id) else str(int(page_id))
 
 
 class Bundle:
@@ -119,8 +123,8 @@ def _write(frames: Iterator[pd.DataFrame], folder: str, frame_bytes: int, bundle
         for row_id, page_id, url, html, first, first_row in zip(*[batch[c] for c in ("row_id", "page_id", "url", "html", "first", "first_row")]):
             bundle = bundle or Bundle(folder, level)
             payload = (html or "").encode("utf-8", "surrogatepass")
-            revisit, record_id = not pd.isna(first_row), uuid.uuid5(uuid.NAMESPACE_URL, f"row:{row_id}").urn
-            raw = record(page_urn(None if pd.isna(page_id) else page_id), record_id, url, payload, page_urn(None if pd.isna(first) else first) if revisit else None, date)
+            revisit, record_id = first_row >= 0, record_urn(row_id)
+            raw = record(_number(page_id), record_id, url, payload, record_urn(first_row) if revisit else None, _number(first), date)
             rows.append((row_id, None if pd.isna(page_id) else int(page_id), record_id, "revisit" if revisit else "response", bundle.uri, len(bundle.sizes), size, len(raw)))
             held.append(raw)
             size += len(raw)
@@ -159,7 +163,7 @@ def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             revisit = headers["WARC-Type"] == "revisit"
             if not revisit and (len(payload) != size or payload_digest(payload) != said):
                 raise ValueError(f"damaged payload in {uri}")
-            page, first = (headers.get(k, "").strip("<>").removeprefix("urn:page:") for k in ("X-Page", "WARC-Refers-To"))
+            page, first = (headers.get(k, "") for k in ("X-Page", "X-Refers-To-Page"))
             out.append((row_id, int(page) if page else None, size, said, headers["WARC-Type"], int(first) if first else None))
         yield pd.DataFrame(out, columns=["row_id", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]).astype({"page_id": "Int64", "refers_to": "Int64"})
 
@@ -171,7 +175,7 @@ def write_archive(pages: DataFrame, folder: str, least_bytes: int = 0, frame_byt
     keys = rows.filter(F.octet_length(html) >= least_bytes).select("row_id", F.struct("page_id", "row_id").alias("id"), F.sha1(html.cast("binary")).alias("sha"), F.octet_length(html).alias("bytes"))
     first = with_group_min(keys, ["sha", "bytes"], "id", ["row_id"], ("low", "n")).filter("low.row_id <> row_id")
     revisits = written(first.select("row_id", F.col("low.page_id").alias("first"), F.col("low.row_id").alias("first_row")), "warc-revisits")
-    known = rows.join(small(revisits, revisits.count()), "row_id", "left")
+    known = rows.join(small(revisits, revisits.count()), "row_id", "left").withColumn("first_row", F.coalesce("first_row", F.lit(-1).cast("long")))
     return written(known.mapInPandas(partial(_write, folder=folder, frame_bytes=frame_bytes, bundle_bytes=bundle_bytes, date=date, level=level), INDEX), "warc-index")
 
 

@@ -48,3 +48,16 @@ def test_frames_and_bundles(spark, tmp_path):
     files, path = fs.FileSystem.from_uri(found[0].bundle)
     whole = zstandard.ZstdDecompressor().stream_reader(files.open_input_stream(path, compression=None), read_across_frames=True).read()
     assert whole.count(b"WARC/1.1\r\n") == sum(r.bundle == found[0].bundle for r in found)
+
+
+def test_revisits_name_records_of_the_archive(spark, tmp_path):
+    index = {r.record_id: r for r in warc.write_archive(frame(spark, tmp_path, rows()), scratch_path(spark, "w")).collect()}
+    n = 0
+    for r in index.values():
+        headers, _ = warc.parsed(warc.Frames(r.bundle).read(r.frame)[r.offset : r.offset + r.length])
+        if r.record_type == "revisit":
+            first = index[headers["WARC-Refers-To"].strip("<>")]
+            said, _ = warc.parsed(warc.Frames(first.bundle).read(first.frame)[first.offset : first.offset + first.length])
+            assert first.record_type == "response" and said["WARC-Payload-Digest"] == headers["WARC-Payload-Digest"]
+            n += 1
+    assert n > 20
