@@ -3,15 +3,17 @@
 For each row four kinds of evidence are multiplied: the likelihood of the text under byte-trigram
 models, the declared markup language, the language that an address suffix stands for, and a prior of
 the row's host. Host priors are smoothed hierarchically: a host's counts shrink to its domain's, these
-to the suffix's, these to the whole corpus; all are grouped sums of the text posteriors of all rows.
+to the suffix's, these to the whole corpus; all are grouped sums of the text posteriors of all rows. A row's own
+posterior is taken out of all four, so its text counts once.
 
 The text models are fitted on a bounded sample of rows that declare their language (``Settings.fit_rows``
-rows for each language, on average); all other statistics cover every row.
+rows for each language, on average, for the ``Settings.languages`` that most rows declare); all other statistics
+cover every row. Of a declaration such as ``de-AT`` or ``pt_BR`` the primary part counts, if it has two or three letters.
 
 Defined results: rows whose text is null, empty or without letters, or fits a uniform model better than
 any language, are not accepted (language ``und`` for the former); null declarations and hosts give no evidence; ties go to the
 first language by name; repeated rows count each; if no row declares a language, every text with letters is
-accepted with a null language. ``docs`` must be a plain read of stored files (see ``common.with_row_id``).
+accepted with a null language; other columns pass unchanged. For ``docs`` see ``common.placed``.
 """
 
 from __future__ import annotations
@@ -40,6 +42,7 @@ SUFFIX_LANGUAGE = {
 
 @dataclass(frozen=True)
 class Settings:
+    languages: int = 64  #: most languages with a text model
     fit_rows: int = 400  #: labelled rows of each language for the text models, on average
     buckets: int = 1 << 14  #: hash buckets of byte trigrams
     mixed: float = 0.1  #: share of the uniform model mixed into each language's
@@ -89,11 +92,17 @@ def _scorer(model: np.ndarray, buckets: int):
     return score
 
 
+def primary(tag: Column) -> Column:
+    """The primary part of a language tag, lower-cased; null if it is none of two or three letters."""
+    part = F.lower(F.regexp_extract(tag, r"^[ \t\r\n]*([A-Za-z]{2,3})(?![A-Za-z0-9])", 1))
+    return F.when(part != "", part)
+
+
 def fit(rows: DataFrame, text: str, declared: str, s: Settings) -> tuple[list[str], np.ndarray]:
     """Languages and log probabilities (buckets x languages). The driver gets at most ``buckets`` sums a language."""
-    labelled = rows.filter(F.col(declared).isNotNull()).select(F.lower(declared).alias("lang"), F.col(text).alias("text"), "row_id")
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("rows"))
-    drawn = labelled.join(F.broadcast(sizes), "lang").filter(F.pmod(F.xxhash64("row_id"), F.lit(1 << 30)) < F.lit(float(1 << 30)) * s.fit_rows / F.col("rows"))
+    labelled = rows.select(primary(F.col(declared)).alias("lang"), F.col(text).alias("text"), "__row").filter("lang IS NOT NULL")
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(s.languages)
+    drawn = labelled.join(F.broadcast(sizes), "lang").filter(F.pmod(F.xxhash64("__row"), F.lit(1 << 30)) < F.lit(float(1 << 30)) * s.fit_rows / F.col("rows"))
     counts = drawn.select("lang", "text").mapInPandas(partial(_counted, buckets=s.buckets), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counts["lang"].unique())
     share = np.zeros((s.buckets, len(langs)))
@@ -111,56 +120,52 @@ def _normalised(logs: list[Column]) -> list[Column]:
     return [x / total for x in each]
 
 
-def identify(docs: DataFrame, text: str = "text", declared: str = "lang", host: str = "source", s: Settings = Settings()) -> DataFrame:
-    """``docs`` without ``text``, with ``row_id``, ``language``, ``posterior``, ``text_language`` and ``accepted``."""
-    rows = with_row_id(docs)
+def _identified(docs: DataFrame, text: str, declared: str, host: str, s: Settings) -> DataFrame:
+    """:func:`identify` with the rows' ids as ``__row``."""
+    rows = with_row_id(docs, "__row")
     langs, model = fit(rows, text, declared, s)
-    carried = [c for c in docs.columns if c not in (text, "row_id", "language", "posterior", "text_language", "accepted")]
+    carried = [c for c in docs.columns if c not in (text, "language", "posterior", "text_language", "accepted")]
     if not langs:
         lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
         none = F.lit(None).cast("string")
-        return rows.select(*carried, "row_id", none.alias("language"), F.lit(None).cast("double").alias("posterior"), none.alias("text_language"), lettered.alias("accepted"))
+        return rows.select(*carried, "__row", none.alias("language"), F.lit(None).cast("double").alias("posterior"), none.alias("text_language"), lettered.alias("accepted"))
     score = F.pandas_udf(_scorer(model, s.buckets), "n int, mean array<double>")
     address = F.lower(F.coalesce(F.col(host), F.lit("")))
     labels = F.split(address, r"\.")
+    n_langs = range(len(langs))
+    weight = F.least(F.col("__t.n"), F.lit(s.effective))
+    own = F.when(F.col("__t.n") > 0, F.array(*_normalised([weight * F.col("__t.mean")[i] for i in n_langs]))).otherwise(F.array(*[F.lit(0.0) for _ in n_langs]))
     scored = rows.withColumn("__t", score(F.col(text))).select(
-        *carried, "row_id", F.col("__t.n").alias("__n"), F.col("__t.mean").alias("__mean"), F.lower(declared).alias("__said"),
+        *carried, "__row", F.col("__t.n").alias("__n"), F.col("__t.mean").alias("__mean"), own.alias("__own"), primary(F.col(declared)).alias("__said"),
         address.alias("__host"),
         F.when(F.size(labels) > 1, F.concat_ws(".", F.element_at(labels, -2), F.element_at(labels, -1))).otherwise("").alias("__domain"),
         F.when(F.size(labels) > 1, F.element_at(labels, -1)).otherwise("").alias("__suffix"),
-    ).withColumn("__salt", salt(64, F.col("row_id")))
+    ).withColumn("__salt", salt(64, F.col("__row")))
     scored = written(scored, "language-scores")
-    n_langs = range(len(langs))
-    weight = F.least(F.col("__n"), F.lit(s.effective))
-    text_logs = [weight * F.col("__mean")[i] for i in n_langs]
-    text_posterior = _normalised(text_logs)
 
     # grouped sums: by host and salt, then up the hierarchy
-    sums = [F.sum(F.when(F.col("__n") > 0, p).otherwise(0.0)).alias(f"c{i}") for i, p in enumerate(text_posterior)]
-    parts = scored.groupBy("__host", "__domain", "__suffix", "__salt").agg(*sums)
+    parts = scored.groupBy("__host", "__domain", "__suffix", "__salt").agg(*[F.sum(F.col("__own")[i]).alias(f"c{i}") for i in n_langs])
     up = lambda df, keys: df.groupBy(*keys).agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in n_langs])
     hosts = written(up(parts, ["__host", "__domain", "__suffix"]), "language-hosts")
-    domains, suffixes, everything = up(hosts, ["__domain", "__suffix"]), up(hosts, ["__suffix"]), up(hosts, [])
-
-    def shrunk(child: DataFrame, parent: DataFrame, keys: list[str], first: bool = False) -> DataFrame:
-        """Shares ``p`` of the child's counts, smoothed with its parent's shares."""
-        own = F.aggregate(F.array(*[F.col(f"c{i}") for i in n_langs]), F.lit(0.0), lambda a, x: a + x)
-        if first:
-            return child.select(*[((F.col(f"c{i}") + 1) / (own + len(langs))).alias(f"q{i}") for i in n_langs])
-        joined = child.join(parent, keys) if keys else child.crossJoin(F.broadcast(parent))  # the parent is then one row
-        return joined.withColumn("__own", own).select(*[c for c in child.columns if c[:2] == "__"], *[((F.col(f"c{i}") + s.shrink * F.col(f"q{i}")) / (F.col("__own") + s.shrink)).alias(f"p{i}") for i in n_langs])
-
-    as_parent = lambda df: df.withColumnsRenamed({f"p{i}": f"q{i}" for i in n_langs})
     n_hosts = hosts.count()
-    by_all = shrunk(everything, everything, [], first=True)
-    by_suffix = as_parent(shrunk(suffixes, by_all, []))
-    by_domain = as_parent(shrunk(domains, small(by_suffix, n_hosts), ["__suffix"])).drop("__suffix")
-    by_host = shrunk(hosts, small(by_domain, n_hosts), ["__domain"])
-    priors = parts.select("__host", "__salt").join(small(by_host.select("__host", *[f"p{i}" for i in n_langs]), n_hosts), "__host")
-
-    suffix_language = F.create_map(*[F.lit(x) for kv in SUFFIX_LANGUAGE.items() for x in kv])
-    meant = F.try_element_at(suffix_language, F.col("__suffix"))
-    said = F.substring_index(F.col("__said"), "-", 1)
+    as_array = lambda df, name: df.select(*[c for c in df.columns if c[:2] == "__"], F.array(*[F.col(f"c{i}") for i in n_langs]).alias(name))
+    levels = as_array(hosts, "__by_host").join(small(as_array(up(hosts, ["__domain", "__suffix"]), "__by_domain"), n_hosts), ["__domain", "__suffix"])
+    suffixes = written(as_array(up(hosts, ["__suffix"]), "__by_suffix"), "language-suffixes")  # a suffix may have a third of all hosts
+    levels = levels.join(small(suffixes, suffixes.count()), "__suffix").crossJoin(F.broadcast(as_array(up(hosts, []), "__by_all")))  # the last is one row
+    counts = ["__by_all", "__by_suffix", "__by_domain", "__by_host"]
+    priors = parts.select("__host", "__salt").join(small(levels.select("__host", *counts), n_hosts), "__host")
+
+    def prior(i: int) -> Column:
+        """The smoothed share of a language among the other rows: of all, of the suffix, of the domain, of the host."""
+        own, out = F.col("__own")[i], F.lit(1.0 / len(langs))
+        mass = F.when(F.col("__n") > 0, 1.0).otherwise(0.0)
+        for name in counts:
+            k = float(len(langs)) if name == "__by_all" else s.shrink
+            total = F.aggregate(name, F.lit(0.0), lambda a, x: a + x)
+            out = (F.greatest(F.col(name)[i] - own, F.lit(0.0)) + k * out) / (F.greatest(total - mass, F.lit(0.0)) + k)
+        return out
+
+    meant = F.try_element_at(F.create_map(*[F.lit(x) for kv in SUFFIX_LANGUAGE.items() for x in kv]), F.col("__suffix"))
 
     def evidence(by: Column, lang: str, trust: float) -> Column:
         if len(langs) == 1:
@@ -168,13 +173,15 @@ def identify(docs: DataFrame, text: str = "text", declared: str = "lang", host:
         off = float(np.log((1 - trust) / (len(langs) - 1)))
         return F.when(by.isin(*langs), F.when(by == lang, float(np.log(trust))).otherwise(off)).otherwise(0.0)
 
-    logs = [text_logs[i] + F.log(f"p{i}") + evidence(said, lang, s.declared_trust) + evidence(meant, lang, s.suffix_trust) for i, lang in enumerate(langs)]
-    fused = scored.join(priors, ["__host", "__salt"]).withColumn("__post", F.array(*_normalised(logs)))
+    text_weight = F.least(F.col("__n"), F.lit(s.effective))
+    joined = scored.join(priors, ["__host", "__salt"]).withColumn("__meant", meant)
+    logs = joined.withColumns({f"__log{i}": text_weight * F.col("__mean")[i] + F.log(prior(i)) + evidence(F.col("__said"), lang, s.declared_trust) + evidence(F.col("__meant"), lang, s.suffix_trust) for i, lang in enumerate(langs)})
+    fused = logs.withColumn("__post", F.array(*_normalised([F.col(f"__log{i}") for i in n_langs])))
     best, best_text = F.array_max("__post"), F.array_max("__mean")
     names = F.array(*[F.lit(x) for x in langs])
     lettered = F.col("__n") > 0
     return fused.select(
-        *carried, "row_id",
+        *carried, "__row",
         F.when(lettered, names[(F.array_position("__post", best) - 1).cast("int")]).otherwise("und").alias("language"),
         F.when(lettered, F.round(best, 6)).otherwise(0.0).alias("posterior"),
         F.when(lettered, names[(F.array_position("__mean", best_text) - 1).cast("int")]).otherwise("und").alias("text_language"),
@@ -182,15 +189,21 @@ def identify(docs: DataFrame, text: str = "text", declared: str = "lang", host:
     )
 
 
-def accepted(docs: DataFrame, **how) -> DataFrame:
+def identify(docs: DataFrame, text: str = "text", declared: str = "lang", host: str = "source", s: Settings = Settings()) -> DataFrame:
+    """``docs`` without ``text``, with ``language``, ``posterior``, ``text_language`` and ``accepted``, which replace such columns."""
+    return _identified(docs, text, declared, host, s).drop("__row")
+
+
+def accepted(docs: DataFrame, text: str = "text", declared: str = "lang", host: str = "source", s: Settings = Settings()) -> DataFrame:
     """``docs`` without the rows that :func:`identify` rejects."""
     docs = placed(docs)
-    return without(docs, identify(docs, **how).filter(~F.col("accepted")), "language-rejected")
+    gone = _identified(docs, text, declared, host, s).filter(~F.col("accepted"))
+    return without(docs, gone.select(F.col("__row").alias("row_id")), "language-rejected")
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
     """(page_id, text, lang, source) of web pages: visible text, declared markup language, host of the address."""
-    declared, host = F.regexp_extract("html", r"(?i)<html[^>]*\blang=[\"']?([a-z-]+)", 1), F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1)
+    declared, host = F.regexp_extract("html", r"(?i)<html[^>]*\blang=[\"']?([a-z_-]+)", 1), F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1)
     none = lambda c: F.when(c != "", c)
     return pages.select("page_id", html_to_text(F.col("html")).alias("text"), none(declared).alias("lang"), none(host).alias("source"))
 
