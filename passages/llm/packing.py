@@ -3,8 +3,9 @@
 Pieces are dealt at random to cells of bounded size. Each cell is packed by several islands, each with a
 population of packings. Crossover injects whole well-filled bins of one parent into the other, removes
 the bins that hold their documents again, and places the displaced ones by best fit. After each round
-every island gets the best packing of its neighbour. A cell stops at the lower bound of its bins, and loses
-less than one bin to another dealing, so the loss stays below one in some thousand bins at any size.
+every island gets the best packing of its neighbour. A cell stops at the lower bound of its bins. Then the emptiest
+bin of each cell is opened and its pieces are packed again with those of other cells, in fewer cells each time,
+until one cell is left: what the cells lose by rounding up their bins is won back.
 
 Defined results: a null or empty text is one piece, the end id alone; repeated rows are packed each;
 an empty table gives no rows.
@@ -88,6 +89,7 @@ class Words(dict):
 
 
 _words: dict[str, Words] = {}
+_LEVELS = 8  # cells are packed again in fewer cells so often at most; each time they are some hundred times fewer
 
 
 def _pieces(frames: Iterator[pd.DataFrame], s: Settings, path: str) -> Iterator[pd.DataFrame]:
@@ -200,12 +202,10 @@ def _evolved(frames: Iterator[pd.DataFrame], s: Settings, turn: int) -> Iterator
             yield pd.DataFrame({"cell": [cell], "island": [island], "lengths": [lengths], "own": [owner], "bins": [max(owner, default=-1) + 1]})
 
 
-def packed(parts: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to pieces, which come from :func:`pieces`."""
-    stored = written(parts, "pieces")
-    n_cells = max(1, -(-stored.count() // s.cell))
-    keyed = with_row_id(stored, "uid").withColumn("cell", F.pmod(F.xxhash64("uid"), F.lit(n_cells)))
-    items = keyed.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("uid", F.col("length").cast("int").alias("length")))).alias("items"))  # about s.cell in each
+def _cells_packed(pieces: DataFrame, s: Settings, n_cells: int) -> DataFrame:
+    """(uid, length, cell, bin) of stored ``pieces`` (uid, length), dealt to ``n_cells`` cells that evolve on their own."""
+    dealt = pieces.withColumn("cell", F.pmod(F.xxhash64("uid", F.lit(n_cells)), F.lit(n_cells)))
+    items = dealt.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("uid", F.col("length").cast("int").alias("length")))).alias("items"))  # about s.cell in each
     items = written(items, "cells")
     state = items.select("cell", F.explode(F.sequence(F.lit(0), F.lit(s.islands - 1))).alias("island"), F.col("items.length").alias("lengths"), F.lit(None).cast("array<int>").alias("own"), F.lit(None).cast("array<int>").alias("guest"))
     schema = "cell long, island int, lengths array<int>, own array<int>, bins int"
@@ -215,10 +215,29 @@ def packed(parts: DataFrame, s: Settings = Settings()) -> DataFrame:
         elites = done.select("cell", F.pmod(F.col("island") + 1, F.lit(s.islands)).alias("island"), F.col("own").alias("guest"))
         state = done.drop("bins").join(elites, ["cell", "island"])
     best = done.groupBy("cell").agg(F.min_by("own", F.struct("bins", "island")).alias("own"))
-    placed = items.join(best, "cell").select("cell", F.explode(F.arrays_zip(F.col("items.uid").alias("uid"), F.col("own").alias("bin"))).alias("x"))
-    placed = placed.select(F.col("x.uid").alias("uid"), (F.col("cell") * (1 << 20) + F.col("x.bin")).alias("sequence_id"))
+    placed = items.join(best, "cell").select("cell", F.explode(F.arrays_zip(F.col("items.uid").alias("uid"), F.col("items.length").alias("length"), F.col("own").alias("bin"))).alias("x"))
+    return placed.select("x.uid", "x.length", "cell", "x.bin")
+
+
+def packed(parts: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """Adds ``sequence_id`` and ``offset`` to pieces, which come from :func:`pieces`."""
+    keyed = with_row_id(written(parts, "pieces"), "uid")
+    loose, n_cells, level, done = keyed.select("uid", "length"), max(1, -(-keyed.count() // s.cell)), 0, None
+    while True:
+        found = written(_cells_packed(loose, s, n_cells), "packed").withColumn("sequence_id", (F.col("cell") * (1 << 20) + F.col("bin")) * _LEVELS + level)
+        if n_cells == 1 or level == _LEVELS - 1:
+            kept = found.select("uid", "sequence_id")
+            done = kept if done is None else done.unionByName(kept)
+            break
+        # one bin of each cell, a small share of its pieces
+        fills = found.groupBy("cell", "sequence_id").agg(F.sum("length").alias("fill"), F.count("*").alias("n"))
+        opened = written(fills.groupBy("cell").agg(F.min_by(F.struct("sequence_id", "n"), F.struct("fill", "sequence_id")).alias("b")).select("b.*"), "opened")
+        kept = found.join(opened, "sequence_id", "left_anti").select("uid", "sequence_id")
+        done = kept if done is None else done.unionByName(kept)
+        loose = written(found.join(opened.select("sequence_id"), "sequence_id", "left_semi").select("uid", "length"), "loose")
+        n_cells, level = min(n_cells - 1, max(1, -(-opened.agg(F.sum("n")).first()[0] // s.cell))), level + 1
     before = W.partitionBy("sequence_id").orderBy("uid").rowsBetween(W.unboundedPreceding, -1)
-    return keyed.drop("cell").join(placed, "uid").withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).drop("uid")
+    return keyed.join(done, "uid").withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).drop("uid")
 
 
 def report(docs: DataFrame) -> DataFrame:
