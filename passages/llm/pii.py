@@ -107,8 +107,12 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
                 found.append((at, KINDS.index("url"), m.end()))
                 url_free = m.end()
         elif kind == "iban":
-            if (m := _IBAN.match(text, last + 1)) and _iban_ok(m.group(1)):
-                found.append((m.start(1), KINDS.index("iban"), m.end()))
+            if m := _IBAN.match(text, last + 1):
+                said = m.group(1)
+                while len(said) >= 15 and not _iban_ok(said):  # capitals may follow it
+                    said = said.rpartition(" ")[0]
+                if len(said) >= 15:
+                    found.append((m.start(1), KINDS.index("iban"), m.start(1) + len(said)))
         elif kind == "account":
             if m := _ACCOUNT.match(text, last + 1):
                 found.append((m.start(1), KINDS.index("account"), m.end()))
@@ -160,11 +164,12 @@ def count_of(spans: Column, kind: str) -> Column:
 
 
 def pii_report(docs: DataFrame) -> DataFrame:
-    """Per document its counts by base kind, the digest of its base spans and all of its spans."""
+    """Per document its counts by base kind, the digest of its base spans, all of its spans and their number."""
     spans = F.col("spans")
     return pii_spans(docs.select("doc_id", "text")).select(
         "doc_id",
         *[count_of(spans, k).alias(f"n_{k}") for k in BASE_KINDS],
         F.sha2(joined(spans, BASE_KINDS), 256).alias("base_sha256"),
         joined(spans).alias("spans"),
+        F.size(spans).cast("long").alias("n_spans"),
     )

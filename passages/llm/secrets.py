@@ -1,13 +1,14 @@
 """Secrets in texts by a trigram inverted index, with DataFrame operations only.
 
 Each rule is a regular expression. From it a Boolean query over trigrams is derived: clauses, one of
-which must have all its trigrams in any text that the rule can match. The index holds, for the
-trigrams that any clause names, which rows have them (lower-cased). Intersecting the postings of a
+which must have all its trigrams in any text that the rule can match. The index, a stored table, holds which
+rows have which trigrams (lower-cased), for the trigrams that the clauses of a set of rules name; it serves any
+rules whose trigrams it has, also later. Intersecting the postings of a
 clause gives its candidate rows, and only those are read again and verified with the expression.
 Rules without a mandatory trigram read every row. Spans count code points, end exclusive.
 
-Defined results: a null or empty text has no spans; repeated rows are told apart by their place;
-``docs`` must be a plain read of stored files (see ``common.with_row_id``).
+Defined results: a null or empty text has no spans; repeated rows are told apart by their place; other columns,
+the text too, pass unchanged, but one named ``spans`` is replaced; for ``docs`` see ``common.placed``.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from passages.llm.common import small, with_row_id, written
+from passages.llm.common import placed, small, with_row_id, written
 
 
 @dataclass(frozen=True)
@@ -126,16 +127,23 @@ def _verified(rows: DataFrame, rules: list[Rule], candidate) -> DataFrame:
     return by_match.withColumn("end", end).filter("x.judged >= least").select("row_id", "kind", (F.col("end") - F.col("x.size")).alias("start"), "end")
 
 
-def candidates(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+def trigrams_of(rules: tuple[Rule, ...]) -> list[str]:
+    return sorted({t for r in rules for c in trigram_clauses(r.pattern) for t in c})
+
+
+def trigram_index(docs: DataFrame, trigrams: list[str], text: str = "text") -> DataFrame:
+    """(row_id, trigram): the stored postings of ``trigrams`` in the texts of ``docs``."""
+    low = with_row_id(docs.select(text)).select("row_id", F.lower(text).alias("low"))
+    has = F.filter(F.array(*[F.when(F.col("low").contains(t), F.lit(t)) for t in trigrams]), lambda x: x.isNotNull())
+    return written(low.select("row_id", F.explode(has).alias("trigram")), "secret-index")
+
+
+def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """(row_id, kinds): the rows whose postings fulfil a clause of each of the kinds."""
-    clauses = [(f"{r.kind}/{i}", r.kind, sorted(c)) for r in rules for i, c in enumerate(trigram_clauses(r.pattern))]
-    wanted = sorted({t for _, _, c in clauses for t in c})
-    low = rows.select("row_id", F.lower("__text").alias("low"))
-    has = F.filter(F.array(*[F.when(F.col("low").contains(t), F.lit(t)) for t in wanted]), lambda x: x.isNotNull())
-    postings = low.select("row_id", F.explode(has).alias("trigram"))
-    query = rows.sparkSession.createDataFrame([(c, k, t, len(ts)) for c, k, ts in clauses for t in ts], "clause string, kind string, trigram string, n int")
+    clauses = [(f"{r.kind}/{i}", r.kind, t, len(c)) for r in rules for i, c in enumerate(trigram_clauses(r.pattern)) for t in sorted(c)]
+    query = index.sparkSession.createDataFrame(clauses, "clause string, kind string, trigram string, n int")
     return (
-        postings.join(F.broadcast(query), "trigram")  # as long as the rules, never the data
+        index.join(F.broadcast(query), "trigram")  # as long as the rules, never the data
         .groupBy("row_id", "clause", "kind")
         .agg((F.count("*") == F.first("n")).alias("all"))
         .filter("all")
@@ -144,24 +152,27 @@ def candidates(rows: DataFrame, rules: list[Rule]) -> DataFrame:
     )
 
 
-def secret_spans(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with ``spans``, an array of (start, order of the rule, kind, end), sorted."""
-    rows = with_row_id(docs)
-    texts = rows.select("row_id", F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    indexed = [r for r in rules if trigram_clauses(r.pattern)]
+def secret_spans(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, index: DataFrame | None = None) -> DataFrame:
+    """``docs`` with ``spans``, an array of (start, order of the rule, kind, end), sorted. ``index``: an earlier
+    :func:`trigram_index` of the same files that holds all trigrams of the rules."""
+    docs = placed(docs)
+    texts = with_row_id(docs.select(text)).select("row_id", F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    indexed = tuple(r for r in rules if trigram_clauses(r.pattern))
     scanned = [r for r in rules if r not in indexed]
     found = []
     if scanned:
         found.append(_verified(texts, scanned, lambda r: F.lit(True)))
     if indexed:
-        picked = written(candidates(texts, indexed), "secret-candidates")
+        index = trigram_index(docs, trigrams_of(indexed), text) if index is None else index
+        picked = written(candidates(index, indexed), "secret-candidates")
         again = texts.join(small(picked, picked.count()), "row_id")
         found.append(_verified(again, indexed, lambda r: F.array_contains("kinds", r.kind)))
     spans = found[0] if len(found) == 1 else found[0].unionByName(found[1])
     order = F.array_position(F.array(*[F.lit(r.kind) for r in rules]), F.col("kind"))
     by_row = spans.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("start", order.alias("no"), "kind", "end"))).alias("__spans"))
     none = F.array().cast("array<struct<start:bigint,no:bigint,kind:string,end:bigint>>")
-    return rows.drop(text, "spans").join(by_row, "row_id", "left").withColumn("spans", F.coalesce("__spans", none)).drop("row_id", "__spans")
+    rows = with_row_id(docs.drop("spans"), "__row").join(by_row.withColumnRenamed("row_id", "__row"), "__row", "left")
+    return rows.withColumn("spans", F.coalesce("__spans", none)).drop("__row", "__spans")
 
 
 def _joined(spans: Column) -> Column:
@@ -176,7 +187,7 @@ def secret_report(docs: DataFrame) -> DataFrame:
     """Per document its counts by base kind, the digest of its base spans and all of its spans."""
     kinds = [r.kind for r in BASE_RULES]
     spans = F.col("spans")
-    return secret_spans(docs.select("doc_id", "text")).select(
+    return secret_spans(docs.select("doc_id", "text")).drop("text").select(
         "doc_id",
         *[_count_of(spans, k).alias(f"n_{k}") for k in kinds],
         F.sha2(_joined(F.filter(spans, lambda s: s["kind"].isin(*kinds))), 256).alias("base_sha256"),

@@ -1,9 +1,12 @@
 """PII and secret spans against plain regular expressions; licence digests."""
 
 import hashlib
+import os
 import random
 import re
 
+import pytest
+
 from passages.llm import licenses, pii, secrets
 
 RAW = {
@@ -99,3 +102,57 @@ def test_licences(spark):
     got = sorted((r.doc_id, r.licence_id or "-") for r in licenses.licence_report(df).collect())
     assert got == [(1, "MIT"), (1, "MIT"), (2, "MIT"), (3, "-"), (4, "-"), (5, "-"), (6, "WTFPL")]
     assert licenses.licence_report(df.limit(0)).count() == 0
+
+
+def test_titled_files_and_spellings(spark):
+    known = licenses.KNOWN
+    docs = [(1, "MIT License\n\nCopyright (c) 2021 A B\n\n" + known["MIT"]), (2, "The ISC License (ISC)\n\n" + known["ISC"]), (3, "BSD 3-Clause License\n\nCopyright (c) 2020, C\nAll rights reserved.\n\n" + known["BSD-3-Clause"].replace("copyright holder", "copyright owner")), (4, known["WTFPL"].replace("distribute", "redistribute")), (5, "MIT License\n\nand\n" + known["MIT"]), (6, "ISC License\n" + known["ISC"])]
+    got = {r.doc_id: r.licence_id for r in licenses.licence_report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: "MIT", 2: None, 3: "BSD-3-Clause", 4: None, 5: None, 6: "ISC"}
+    same = spark.createDataFrame([("licence licence sub license", "license license sublicense")], "a string, b string").select(licenses.unified(licenses.F.col("a")).alias("a"), licenses.unified(licenses.F.col("b")).alias("b")).first()
+    assert same.a == same.b
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no folder of licence texts")
+def test_a_folder_of_full_texts(spark):
+    table = licenses.licence_files(spark, "/usr/share/common-licenses")
+    names = {r.licence_id: r.text for r in table.collect()}
+    gpl = names["GPL-3"]
+    docs = spark.createDataFrame([(1, gpl.upper()), (2, re.sub(r"\s+", "\n", names["Apache-2.0"])), (3, gpl[:-40])], "doc_id long, text string")
+    got = {r.doc_id: r.licence_id for r in licenses.licence_lookup(docs, table).collect()}
+    assert got[1] in {n for n, t in names.items() if t == gpl} and got[2] == "Apache-2.0" and got[3] is None
+
+
+def test_secret_index_serves_other_rules_and_columns_stay(spark, tmp_path):
+    rows = [(i, t, i, "x") for i, t in enumerate(texts(5))] + [(0, None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, row_id int, spans string").write.parquet(f"{tmp_path}/d")
+    read = lambda: spark.read.parquet(f"{tmp_path}/d")
+    index = secrets.trigram_index(read(), secrets.trigrams_of(secrets.RULES))
+    rules = tuple(r for r in secrets.RULES if r.kind in ("access", "assign"))
+    found = secrets.secret_spans(read(), rules=rules, index=index)
+    assert sorted(found.columns) == ["doc_id", "row_id", "spans", "text"]
+    seen = lambda df: sorted(((r.doc_id, r.row_id, r.text, str(r.spans)) for r in df.collect()), key=str)
+    assert seen(found) == seen(secrets.secret_spans(read(), rules=rules)) and found.count() == len(rows)
+
+
+def test_capitals_after_an_iban():
+    for t in ("IBAN DE89 3704 0044 0532 0130 00 PAYEE", "IBAN DE89 3704 0044 0532 0130 00 PAY TO ME", "IBAN: DE89370400440532013000 OK"):
+        (s,) = [x for x in pii.find_spans(t) if x[0] == "iban"]
+        assert t[s[1] : s[2]].replace(" ", "") == "DE89370400440532013000"
+    assert not [x for x in pii.find_spans("IBAN DE89 3704 0044 0532 0130 01 PAYEE") if x[0] == "iban"]
+
+
+def test_pii_extra_kinds_against_plain_expressions():
+    rx = {
+        "ssn": re.compile(r"(?:ssn|SSN|Ssn)[ :#=]{0,4}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])"),
+        "account": re.compile(r"(?:account|ACCOUNT|Account|acct|ACCT|Acct)(?:[ ]?(?i:number|num|no|nr)\.?)?[ :#=]{1,4}([0-9](?:[ -]?[0-9]){5,16})(?![0-9])"),
+        "url": re.compile(r"(?:https?|ftp|ssh)://[A-Za-z0-9._~%+-]+(?::[^\s@/]*)?@[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[^\s<>\"']*)?"),
+    }
+    rng = random.Random(8)
+    bits = ["ssn ", "SSN: ", "123-45-6789", "666-12-1234", "account ", "Acct no. ", "account number: ", "1234 5678", "12345", "http://", "ssh://", "u:p@", "me@", "h.example", "/p?q", " ", ",", "x"]
+    for _ in range(5000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randint(1, 9)))
+        found = pii.find_spans(t)
+        for kind, r in rx.items():
+            want = [(m.start(1 if r.groups else 0), m.end()) for m in r.finditer(t) if kind != "ssn" or m[1][:3] not in ("000", "666")]
+            assert [(s, e) for k, s, e in found if k == kind] == want, (kind, t)
