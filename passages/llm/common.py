@@ -1,11 +1,8 @@
-"""What the training-data operators share: row ids, scratch tables in the shared folder, salted joins."""
+"""What the training-data operators share: row ids, salted joins and, from the library, tables in the shared folder."""
 
 from __future__ import annotations
 
-import atexit
 import re
-import tempfile
-import uuid
 from itertools import count
 
 import xxhash
@@ -13,52 +10,16 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passages.sources.scratch import scratch_path, shared_dir, written  # noqa: F401
+
 #: Largest side, in rows of a few dozen bytes, that a join may broadcast after a count.
 BROADCAST_ROWS = 500_000
 
-_cleaned: set[str] = set()
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which all executors share. Where it is unset and all runs on this
-    machine, as in tests, a temporary folder becomes the session's checkpoint folder; on a cluster that is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="passages-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder; the application's paths are deleted when it ends."""
-    root = f"{shared_dir(spark)}/passages-{spark.sparkContext.applicationId}"
-    if root not in _cleaned:
-        _cleaned.add(root)
-        atexit.register(_delete, spark, root)
-    return f"{root}/{label}-{uuid.uuid4().hex}"
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    if jvm is not None and spark.sparkContext._jsc is not None:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table in the shared folder: its lineage ends there, so a lost executor costs no
-    earlier stage, and what it holds (row ids too) stays the same however often it is read."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _file_code(files: list[str]) -> tuple[int, str]:
     """(bits, salt) for which the first ``bits`` bits of the hash of salt and path tell all files apart."""
     paths = [re.sub(_SCHEME, "", f) for f in files]
@@ -105,6 +66,17 @@ def with_lists(rows: DataFrame, lists: DataFrame) -> DataFrame:
     return rows.join(small(ids, ids.count()), "row_id", "left_semi").join(lists, "row_id")
 
 
+def semi_join(rows: DataFrame, counted: DataFrame, on: list[str], hot: int = 10_000) -> DataFrame:
+    """``rows`` whose keys are in ``counted`` (on, n), a stored table. Rows of keys that occur more than ``hot`` times, which are
+    few, stay where they are and meet their keys by broadcast; only the others are dealt by key."""
+    large = counted.filter(F.col("n") > hot).select(*on)
+    if not 0 < large.count() <= BROADCAST_ROWS:
+        return rows.join(counted.select(*on), on, "left_semi")
+    large = F.broadcast(large)
+    others = rows.join(large, on, "left_anti").join(counted.filter(F.col("n") <= hot).select(*on), on, "left_semi")
+    return rows.join(large, on, "left_semi").unionByName(others)
+
+
 def without(docs: DataFrame, gone: DataFrame, label: str) -> DataFrame:
     """``docs`` without the rows whose ids, as :func:`with_row_id` gives them, are in ``gone`` (row_id)."""
     stored = written(gone.select(F.col("row_id").alias("__row")), label)

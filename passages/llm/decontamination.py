@@ -16,8 +16,8 @@ items are compared as multisets of 5-word shingles: sum of minima over sum of ma
 Words are runs of letters and digits, lower-cased. Items of fewer than five words are one shingle.
 
 Defined results: null or empty texts and items without words match nothing; repeated rows of either table are
-compared each; windows of equal similarity give the first; both tables must be plain reads of
-stored files (see ``common.with_row_id``).
+compared each; windows of equal similarity give the first; for both tables
+see ``common.placed``.
 """
 
 from __future__ import annotations

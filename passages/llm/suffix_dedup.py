@@ -14,8 +14,8 @@ A byte goes if a string of ``span`` bytes that covers it also starts anywhere el
 5. The intervals of each document are joined and cut out.
 
 Defined results: null counts as empty; texts shorter than a span keep all bytes; repeated rows are
-occurrences of their own, so all their spans go; an empty table gives no rows. ``docs`` must be a plain
-read of stored files (see ``common.with_row_id``).
+occurrences of their own, so all their spans go; an empty table gives no rows. For ``docs`` see
+``common.placed``.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passages.llm.common import with_lists, with_row_id, written
+from passages.llm.common import semi_join, with_lists, with_row_id, written
 from passages.llm.near_duplicates import _by_cell, _mixed
 
 
@@ -44,6 +44,7 @@ class Settings:
 
 
 _STEP = 1 << 22  # spans of a text that are winnowed at once
+_ROW = 1 << 16  # most anchors in a row
 
 
 def _raw(text: str | None) -> bytes:
@@ -99,24 +100,44 @@ def anchors(raw: bytes, s: Settings) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scanned(frames: Iterator[pd.DataFrame], s: Settings) -> Iterator[pd.DataFrame]:
+    """A row for each document with its anchors; more rows, without the sizes, where these are many."""
     before = s.span - s.gram
     for frame in frames:
         out = []
         for row_id, doc_id, text in zip(frame["row_id"], frame["doc_id"], frame["text"]):
             raw = _raw(text)
             h, at = anchors(raw, s)
-            contexts = [xxhash.xxh3_64_intdigest(raw[max(0, p - before) : p + s.span], min(p, before)) for p in at.tolist()]
-            out.append((row_id, doc_id, len(raw), hashlib.sha256(raw).hexdigest(), h.view(np.int64), at, np.array(contexts, dtype=np.uint64).view(np.int64)))
-        yield pd.DataFrame(out, columns=["row_id", "doc_id", "n_bytes", "sha", "anchor", "place", "context"]).astype({"doc_id": "Int64"})
+            about = (len(raw), hashlib.sha256(raw).hexdigest())
+            for i in range(0, max(1, len(at)), _ROW):
+                part = at[i : i + _ROW]
+                contexts = np.fromiter((xxhash.xxh3_64_intdigest(raw[max(0, p - before) : p + s.span], min(p, before)) for p in part.tolist()), dtype=np.uint64, count=len(part))
+                out.append((row_id, doc_id, *(about if not i else (None, None)), h[i : i + _ROW].view(np.int64), part, contexts.view(np.int64)))
+                if i:
+                    yield _anchor_rows(out)
+                    out = []
+        yield _anchor_rows(out)
+
+
+def _anchor_rows(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["row_id", "doc_id", "n_bytes", "sha", "anchor", "place", "context"]).astype({"doc_id": "Int64", "n_bytes": "Int64"})
 
 
 def _cut_out(frames: Iterator[pd.DataFrame], s: Settings) -> Iterator[pd.DataFrame]:
     """The contexts at the listed places of a text."""
     before = s.span - s.gram
+    names = ["cell", "hot", "many", "row_id", "low", "bytes"]
     for frame in frames:
+        out = []
         for row_id, text, wanted in zip(frame["row_id"], frame["text"], frame["wanted"]):
             raw = _raw(text)
-            yield pd.DataFrame([(w["cell"], w["hot"], w["many"], row_id, max(0, w["place"] - before), raw[max(0, w["place"] - before) : w["place"] + s.span]) for w in wanted], columns=["cell", "hot", "many", "row_id", "low", "bytes"])
+            for w in wanted:
+                low = max(0, w["place"] - before)
+                out.append((w["cell"], w["hot"], w["many"], row_id, low, raw[low : w["place"] + s.span]))
+                if len(out) == 4096:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+        if out:
+            yield pd.DataFrame(out, columns=names)
 
 
 def suffix_order(data: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
@@ -291,13 +312,13 @@ def repeats_removed(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     rows = with_row_id(docs.select("doc_id", "text"))
     scanned = written(rows.mapInPandas(partial(_scanned, s=s), "row_id long, doc_id long, n_bytes long, sha string, anchor array<long>, place array<int>, context array<long>"), "suffix-anchors")
     each = scanned.select("row_id", F.explode(F.arrays_zip("anchor", "place", "context")).alias("x")).select("row_id", "x.*")
-    twice = written(each.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "suffix-twice")
-    found = written(each.join(twice, "anchor", "left_semi"), "suffix-found")
+    twice = written(each.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "suffix-twice")
+    found = written(semi_join(each, twice, ["anchor"]), "suffix-found")
 
     # kinds of contexts of each anchor
     kinds = found.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("row_id", "place")).alias("one"))
     kinds = written(kinds, "suffix-kinds")
-    whole = found.join(kinds.filter("n > 1").select("anchor", "context"), ["anchor", "context"], "left_semi")
+    whole = semi_join(found, kinds.filter("n > 1").select("anchor", "context", "n"), ["anchor", "context"])
     before = s.span - s.gram
     covered = whole.select("row_id", F.greatest(F.col("place") - before, F.lit(0)).cast("long").alias("start"), (F.col("place") + s.span).cast("long").alias("end"))
 
@@ -323,7 +344,7 @@ def repeats_removed(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     every = covered.unionByName(made.filter("bucket < 0").select("row_id", "start", "end")).unionByName(met)
     spans = written(every.groupBy("row_id").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "suffix-spans")
     cut = with_lists(rows.select("row_id", "text"), spans).mapInPandas(_kept, "row_id long, n_removed long, n_spans long, kept_sha256 string")
-    done = scanned.select("row_id", "doc_id", "n_bytes", "sha").join(cut, "row_id", "left")
+    done = scanned.filter("n_bytes IS NOT NULL").select("row_id", "doc_id", "n_bytes", "sha").join(cut, "row_id", "left")
     none = F.lit(0).cast("long")
     return done.select("row_id", "doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
 
