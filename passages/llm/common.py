@@ -33,10 +33,12 @@ _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:/+"
 
 
 def placed(df: DataFrame) -> DataFrame:
-    """``df`` itself if it reads Parquet files, at most filtered or projected, so that each row has a file and a place
-    there; anything else is written to the shared folder first."""
+    """``df`` itself if it reads Parquet files, filtered and projected at most, so that each row has a file and a place
+    there; what comes from joins, groups, unions or memory is written to the shared folder first. Write what
+    ``distinct``, ``limit`` or ``explode`` made of files yourself: its rows would go by the places of the files."""
     try:
-        df.select("_metadata.file_path", "_metadata.row_index")
+        place = df.metadataColumn("_metadata")
+        df.select(place["file_path"], place["row_index"])
         return df
     except AnalysisException:
         return written(df, "rows")
@@ -47,9 +49,10 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     tell all files of ``df`` apart, and the row's number in it. It does not depend on how the read is split, so
     two jobs agree on it whatever executors come and go. See :func:`placed` for what ``df`` may be."""
     df = placed(df)
+    place = df.metadataColumn("_metadata")
     bits, salt_ = _file_code(df.inputFiles())
-    code = F.xxhash64(F.concat(F.lit(salt_), F.regexp_replace("_metadata.file_path", _SCHEME, "")))
-    at, most = F.col("_metadata.row_index"), 1 << (63 - bits)
+    code = F.xxhash64(F.concat(F.lit(salt_), F.regexp_replace(place["file_path"], _SCHEME, "")))
+    at, most = place["row_index"], 1 << (63 - bits)
     number = F.when(at < most, at).otherwise(F.raise_error(F.lit(f"a file has more than {most} rows")))
     return df.withColumn(name, F.shiftleft(F.shiftrightunsigned(code, 64 - bits), 63 - bits).bitwiseOR(number))
 

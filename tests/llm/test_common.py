@@ -45,6 +45,8 @@ def test_row_ids_are_apart_and_stay(spark, tmp_path):
     spark.conf.set("spark.sql.files.minPartitionNum", "64")
     assert read() == ids
     spark.conf.unset("spark.sql.files.minPartitionNum")
+    spark.range(5).selectExpr("id", "'clash' AS _metadata").write.parquet(f"{tmp_path}/m")
+    assert with_row_id(spark.read.parquet(f"{tmp_path}/m")).select("row_id", "_metadata").distinct().count() == 5
     assert with_row_id(spark.range(9).distinct()).select("row_id").distinct().count() == 9  # no file: written first
     bits, salt = _file_code([f"hdfs://h/d/part-{i}" for i in range(3000)])
     assert bits == 24 and salt.endswith(":")
