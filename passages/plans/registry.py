@@ -68,6 +68,15 @@ def named(hits: DataFrame, spark: SparkSession, d: str) -> DataFrame:
 # sources and cleaning
 
 
+@query("SELECT line, count(*) n FROM (SELECT unnest(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) line FROM documents) WHERE line <> '' GROUP BY line")
+def s1_load_corpus(spark, d):
+    """The lines of all documents, written to a folder of text files and loaded from there."""
+    path = scratch.scratch_path(spark, "corpus")
+    table(spark, d, "documents").filter("text IS NOT NULL").select("text").write.option("maxRecordsPerFile", 500).text(path)
+    lines = corpus.load_corpus(spark, path).select(F.explode(F.split("text", "\n")).alias("line"))
+    return lines.filter("line <> ''").groupBy("line").agg(F.count("*").alias("n"))
+
+
 @query("SELECT coalesce(source, '?') AS source, text FROM documents")
 def s2_from_table(spark, d):
     return corpus.from_table(table(spark, d, "documents"), "text", "source")
@@ -210,6 +219,21 @@ def v3_retrieve(spark, d):
     return answer.retrieve(asked(spark, d), docs, _embedder, key="doc_id").select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
+_DRAFTS = "(SELECT conv_id query_id, text FROM conversations WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1)"
+
+
+@query(
+    f"""WITH e AS ({S.hashed("documents", "doc_id")}), t AS {_DRAFTS}, q AS ({S.hashed("t", "query_id")})
+SELECT query_id, doc_id, round(score, 6) AS score, rank::INT rank FROM (SELECT query_id, doc_id, list_cosine_similarity(e.v::DOUBLE[], q.v::DOUBLE[]) score, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(e.v::DOUBLE[], q.v::DOUBLE[]), 9) DESC, doc_id) rank FROM e, q) WHERE rank <= 5"""
+)
+def v8_hyde(spark, d):
+    """Search with drafted answers: the first one of each conversation stands in for a model's draft."""
+    said = table(spark, d, "conversations").filter("role = 'assistant'")
+    drafts = said.groupBy(F.col("conv_id").alias("query_id")).agg(F.min_by("text", "turn").alias("text"))
+    docs = answer.embedded(table(spark, d, "documents").select("doc_id", "text"), _embedder, "document")
+    return answer.by_drafts(drafts, docs, _embedder, key="doc_id").select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
 @query(f"SELECT doc_id, dim::INT dim, round(x::DOUBLE, 6) AS x FROM (SELECT doc_id, unnest(range(0, 64)) dim, unnest(v) x FROM ({S.hashed('documents', 'doc_id')})) WHERE x <> 0")
 def u1_embed(spark, d):
     made = table(spark, d, "documents").select("doc_id", models.embed_udf(_embedder)(F.col("text")).alias("v"))
