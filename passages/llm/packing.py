@@ -240,5 +240,5 @@ def packed(parts: DataFrame, s: Settings = Settings()) -> DataFrame:
     return keyed.join(done, "uid").withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).drop("uid")
 
 
-def report(docs: DataFrame) -> DataFrame:
-    return packed(pieces(docs)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+def report(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    return packed(pieces(docs, s), s).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -16,6 +16,7 @@ QUERIES = {
     "op8_secret_scan": lambda spark, d: secrets.secret_report(table(spark, d, "documents")),
     "op9_minhash": lambda spark, d: near_duplicates.report(table(spark, d, "documents")),
     "op10_embedding_dedup": lambda spark, d: embeddings.report(table(spark, d, "embeddings")),
+    "packing_1024": lambda spark, d: packing.report(table(spark, d, "documents"), packing.Settings(capacity=1024)),
     "pages_language": lambda spark, d: language.page_report(table(spark, d, "pages")),
 }
 
