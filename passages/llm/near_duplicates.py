@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passages.llm.common import placed, semi_join, small, with_group_min, with_row_id, without, written
+from passages.llm.common import placed, small, with_group_min, with_row_id, without, written
 from passages.llm.graph import connected_components
 
 
@@ -166,8 +166,8 @@ def compared(cells: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
 def proposals(nodes: DataFrame) -> DataFrame:
     """(node, rep, tables): the representatives that meet a node in tables. ``nodes``: node, vals."""
     each = nodes.select("node", F.posexplode("vals").alias("no", "val"))
-    often = written(each.groupBy("no", "val").agg(F.count("*").alias("n")).filter("n > 1"), "minhash-often")
-    shared = semi_join(each, often, ["no", "val"])
+    often = written(each.groupBy("no", "val").agg(F.count("*").alias("n")).filter("n > 1").select("no", "val"), "minhash-often")
+    shared = each.join(often, ["no", "val"], "left_semi")  # rows of a hot value are on the side that a skewed join splits
     lists = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("no", "val"))).alias("v")).filter(F.size("v") > 1)
     first = lists.select("node", "v", F.posexplode("v").alias("i", "x"))
     pairs = first.select("node", "x", F.explode(F.slice("v", F.col("i") + 2, F.greatest(F.size("v") - F.col("i") - 1, F.lit(0)))).alias("y"))
