@@ -14,6 +14,7 @@ an empty table gives no rows.
 from __future__ import annotations
 
 import random
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -41,7 +42,8 @@ class Settings:
 
 
 class Words(dict):
-    """Ids of each word, as little-endian bytes, kept while words repeat; emptied when grown large.
+    """Ids of each word, as little-endian bytes, kept while words repeat. When grown large it starts anew and keeps
+    the former words beside it for one more turn, so frequent words stay.
 
     The tokenizer splits at white space and, there, into runs of letters, single digits and runs of other
     characters; so a text's ids are those of its words in a row, and a word that ends in an ASCII letter or
@@ -49,9 +51,10 @@ class Words(dict):
     """
 
     _TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-    most = 200_000
+    most = 100_000
 
     def __init__(self, path: str):
+        self.former: dict[bytes, bytes] = {}
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -62,23 +65,27 @@ class Words(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) > self.most:
+            self.former = dict(self)
             self.clear()
-        core = word.rstrip(self._TAIL)
-        if len(core) < len(word) and core[-1:].isalnum():  # of bytes: ASCII only
-            ids = self[core] + self[word[len(core) :]]
-        else:
-            ids = self._ids(word)
+        ids = self.former.get(word)
+        if ids is None:
+            core = word.rstrip(self._TAIL)
+            if len(core) < len(word) and core[-1:].isalnum():  # of bytes: ASCII only
+                ids = self[core] + self[word[len(core) :]]
+            else:
+                ids = self._ids(word)
         self[word] = ids
         return ids
 
     def _ids(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
-        low = unicodedata.normalize("NFC", text).lower()
-        if low.isalpha() and all(c < "ƀ" for c in text):
+        if word.isalpha():  # of bytes: ASCII letters, in lower case already
+            ids = [t.id for t in self.model.tokenize(text)]
+        elif (low := unicodedata.normalize("NFC", text).lower()).isalpha() and max(text) < "ƀ":
             ids = [t.id for t in self.model.tokenize("".join(map(self.alphabet.__getitem__, low.encode())))]
         else:
             ids = self.whole.encode(text, add_special_tokens=False).ids
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def of(self, text: str | None) -> bytes:
         """All ids of a text."""
