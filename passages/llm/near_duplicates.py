@@ -40,7 +40,7 @@ class Settings:
     percent: int = 80  #: linked if 100 * intersection >= percent * union
     collections: int = 32  #: small hash collections; each pair of them is a table
     rows: int = 4  #: minima in a collection
-    cell: int = 512  #: most targets, and most queries, of one comparison cell (on average over a group's cells, which are dealt by hash)
+    cell: int = 1024  #: most targets, and most queries, of one comparison cell (on average over a group's cells, which are dealt by hash)
 
 
 class _Hashes(dict):
