@@ -16,6 +16,12 @@ KEY = ["doc_id", "chunk_no"]
 BROADCAST_TERMS = 200_000
 
 
+def idf_of(df: DataFrame, stats: DataFrame) -> DataFrame:
+    """(term, df, idf) of document frequencies (term, df) in a corpus of ``stats`` (n_docs)."""
+    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return df.crossJoin(F.broadcast(stats)).select("term", "df", idf.alias("idf"))  # stats is one row
+
+
 @dataclass
 class Index:
     """``split`` (key, dl, tokens) of all chunks and ``stats`` (n_docs, avgdl; one row)."""
@@ -32,9 +38,7 @@ class Index:
 
     def terms(self, postings: DataFrame | None = None) -> DataFrame:
         """(term, df, idf) of all terms, or of those in ``postings``."""
-        df = (self.postings() if postings is None else postings).groupBy("term").agg(F.count("*").alias("df"))
-        idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        return df.crossJoin(F.broadcast(self.stats)).select("term", "df", idf.alias("idf"))  # stats is one row
+        return idf_of((self.postings() if postings is None else postings).groupBy("term").agg(F.count("*").alias("df")), self.stats)
 
 
 def build(chunks: DataFrame, text: str = "text", keep: Callable[[DataFrame, str], DataFrame] | None = None) -> Index:

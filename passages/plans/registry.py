@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passages.functions import models
 from passages.functions import text as T
-from passages.operators import ann, answer, chunk, evaluate, expand, fusion, lexical, prompt, vectors
+from passages.operators import ann, answer, chunk, evaluate, expand, fusion, lexical, postings, prompt, vectors
 from passages.plans import sql as S
 from passages.sources import corpus, index, scratch
 
@@ -50,12 +52,25 @@ def vector_queries(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
-def bm25_index(spark: SparkSession, d: str) -> lexical.Index:
-    return lexical.build(doc_chunks(spark, d), keep=scratch.written)
+def _seen_files(df: DataFrame) -> str:
+    """What tells whether the files that ``df`` reads are those of a former read: their paths, sizes and times."""
+    place = df.metadataColumn("_metadata")
+    files = df.select(F.xxhash64(place["file_path"], place["file_size"], place["file_modification_time"]).alias("h")).distinct()
+    return str(tuple(files.agg(F.count("*"), F.sum(F.col("h").cast("decimal(20,0)"))).first()))
+
+
+def bm25_index(spark: SparkSession, d: str, whole: bool = False) -> postings.Stored:
+    """The stored index of the documents' chunks, or of whole documents, in the application's scratch folder: the first query builds it,
+    later ones load it while the documents' files stay the same."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    made = (lambda: docs.withColumn("chunk_no", F.lit(0))) if whole else (lambda: doc_chunks(spark, d))
+    header = {"documents": d, "files": _seen_files(docs), "chunks": "whole" if whole else "120/20"}
+    path = scratch.stored_path(spark, "bm25-" + hashlib.md5(str(sorted(header.items())).encode()).hexdigest())
+    return postings.build_or_load(spark, path, header, made)[0]
 
 
 def bm25_hits(spark: SparkSession, d: str, k: int) -> DataFrame:
-    return lexical.bm25_top_k(bm25_index(spark, d), asked(spark, d), k)
+    return postings.top(bm25_index(spark, d), asked(spark, d), k)
 
 
 def named(hits: DataFrame, spark: SparkSession, d: str) -> DataFrame:
@@ -305,8 +320,7 @@ def k1_tokenize(spark, d):
 def k2_term_statistics(spark, d):
     """All term and document frequencies, summed up by chunk."""
     built = bm25_index(spark, d)
-    postings = built.postings()
-    each = postings.join(built.terms(postings).select("term", "df"), "term")
+    each = built.postings().join(built.frequencies(), "term")
     total = lambda x, name: F.sum(x).cast("long").alias(name)
     tf, df = F.col("tf"), F.col("df")
     return each.groupBy(*lexical.KEY).agg(F.count("*").alias("n_terms"), total(tf, "dl"), total(tf * tf, "tf2"), total(df, "df_sum"), total(tf * df * F.length("term"), "mixed"))
@@ -314,12 +328,12 @@ def k2_term_statistics(spark, d):
 
 @query(f"WITH {S.BM25} SELECT n_docs, round(avgdl, 6) AS avgdl FROM st")
 def k2_corpus_statistics(spark, d):
-    return lexical.build(doc_chunks(spark, d)).stats.select("n_docs", F.round("avgdl", 6).alias("avgdl"))
+    return bm25_index(spark, d).stats.select("n_docs", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query(f"WITH {S.BM25} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def k3_idf(spark, d):
-    return lexical.build(doc_chunks(spark, d)).terms().select("term", "df", F.round("idf", 6).alias("idf"))
+    return bm25_index(spark, d).terms().select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {S.BM25} SELECT query_id, doc_id, chunk_no, round(score, 6) AS score FROM bm")
@@ -332,6 +346,38 @@ def k5_bm25_topk(spark, d):
     return bm25_hits(spark, d, 5).select("query_id", "doc_id", "chunk_no", "rank", F.round("score", 6).alias("score"))
 
 
+_SHORT = "SELECT item_id query_id, array_to_string(string_split(text, ' ')[1:3], ' ') text FROM benchmark"
+
+
+@query(f"WITH {S.bm25_top(5).replace('(SELECT item_id query_id, unnest', '(SELECT query_id, unnest').replace('term FROM benchmark)', f'term FROM ({_SHORT}))')} SELECT query_id, doc_id, chunk_no, rank::INT rank, round(score, 6) AS score FROM kw")
+def k5_bm25_short(spark, d):
+    """The first three words of each item, which leave out what cannot score enough."""
+    short = asked(spark, d).withColumn("text", F.substring_index("text", " ", 3))
+    return postings.top(bm25_index(spark, d), short, 5).select("query_id", "doc_id", "chunk_no", "rank", F.round("score", 6).alias("score"))
+
+
+@query(None)
+def k5_blocks_skipped(spark, d):
+    """How many shards and blocks the search for each item's rarest word leaves unread."""
+    built = bm25_index(spark, d)
+    known = lexical.query_terms(asked(spark, d)).join(built.terms(), "term")
+    rarest = known.groupBy("query_id").agg(F.min_by("term", F.struct((-F.col("idf")).alias("idf"), "term")).alias("text"))
+    return postings.skipped(postings.searched(built, rarest, 5)[1])
+
+
+_GROWN = S.bm25_top(5).replace("documents", "(SELECT doc_id, text FROM documents WHERE doc_id % 10 <> 7)", 1)
+
+
+@query(f"WITH {_GROWN} SELECT state, query_id, doc_id, chunk_no, rank::INT rank, round(score, 6) AS score FROM kw, (SELECT unnest(['marked', 'compacted']) state)")
+def s3_growing_index(spark, d):
+    """An index of half of the sources, the other half added, a tenth of the documents removed, then compacted: the same hits as of one built of what is left."""
+    chunks, odd = doc_chunks(spark, d), F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1
+    index = postings.build(chunks.filter(~odd), scratch.scratch_path(spark, "bm25"))
+    index = postings.removed(postings.added(index, chunks.filter(odd)), table(spark, d, "documents").filter("doc_id % 10 = 7"))
+    found = [postings.top(x, asked(spark, d), 5).withColumn("state", F.lit(state)) for state, x in (("marked", index), ("compacted", postings.compacted(index)))]
+    return found[0].unionByName(found[1]).select("state", "query_id", "doc_id", "chunk_no", "rank", F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {S.BM25} SELECT term, round(coalesce(idf, 0), 6) AS idf FROM (SELECT DISTINCT term FROM qt) LEFT JOIN idf USING (term)")
 def k6_idf_report(spark, d):
     chosen = lexical.query_terms(asked(spark, d)).select("term").distinct()

@@ -26,11 +26,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder; the application's paths are deleted when it ends."""
+    return stored_path(spark, f"{label}-{uuid.uuid4().hex}")
+
+
+def stored_path(spark: SparkSession, name: str) -> str:
+    """The application's path of this name below the shared folder, for what later queries may find again."""
     root = f"{shared_dir(spark)}/passages-{spark.sparkContext.applicationId}"
     if root not in _cleaned:
         _cleaned.add(root)
         atexit.register(_delete, spark, root)
-    return f"{root}/{label}-{uuid.uuid4().hex}"
+    return f"{root}/{name}"
 
 
 def _delete(spark: SparkSession, path: str) -> None:
