@@ -55,13 +55,19 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
-def scores(index: Index, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, key, score) of chunks that hold a query term; all others score 0."""
+def scores(index: Index, queries: DataFrame, k1: float = 1.5, b: float = 0.75, among: DataFrame | None = None) -> DataFrame:
+    """(query_id, key, score) of chunks that hold a query term, or of those in ``among`` (query_id, key); all others score 0."""
     terms = query_terms(queries)
     few = terms.count() <= BROADCAST_TERMS
     small = F.broadcast if few else lambda x: x
     postings = index.postings(small(terms.select("term").distinct()))
-    weighed = postings.join(small(terms), "term").join(small(index.terms(postings)), "term").crossJoin(F.broadcast(index.stats))
+    known = index.terms(postings)
+    if among is not None:  # document frequencies are of all chunks
+        postings = postings.join(among.select(*KEY).distinct(), KEY, "left_semi")
+    weighed = postings.join(small(terms), "term")
+    if among is not None:
+        weighed = weighed.join(among, ["query_id", *KEY], "left_semi")
+    weighed = weighed.join(small(known), "term").crossJoin(F.broadcast(index.stats))
     norm = F.when(F.col("avgdl") > 0, k1 * (1 - b + b * F.col("dl") / F.when(F.col("avgdl") > 0, F.col("avgdl")))).otherwise(k1)
     return weighed.groupBy("query_id", *KEY).agg(F.sum(F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)).alias("score"))
 

@@ -389,62 +389,59 @@ def k6_idf_extremes(spark, d):
     return lexical.idf_extremes(bm25_index(spark, d)).withColumn("idf", F.round("idf", 6))
 
 
-# fusion: the vectors near a query's (by its number) and the documents that hold its words, whole; a vector and a document of the same number are one row
+# fusion: over all documents, by the vectors of their words and by BM25 of their whole texts
 
-_LISTS = f"""{S.BM25.replace(S.chunks("documents", "doc_id"), "SELECT doc_id, 0 chunk_no, text FROM documents")},
-vs AS (SELECT query_id, vec_id doc_id, score FROM ({S.knn(100, "vec_id IN (SELECT item_id FROM benchmark)")})),
-vp AS ({S.pooled("vs")}), kp AS ({S.pooled("bm")}),
-fu AS (SELECT query_id, doc_id, coalesce(vp.norm, 0) vector, coalesce(kp.norm, 0) keyword, coalesce(1.0 / (60 + vp.r), 0) + coalesce(1.0 / (60 + kp.r), 0) rrf,
- 0.5 * coalesce(vp.norm, 0) + 0.5 * coalesce(kp.norm, 0) blend50, 0.9 * coalesce(vp.norm, 0) + (1 - 0.9) * coalesce(kp.norm, 0) blend90 FROM vp FULL JOIN kp USING (query_id, doc_id))"""
-_BOTH = "(SELECT 'vector' AS list, * FROM vp UNION ALL SELECT 'keyword', * FROM kp)"
+_WHOLE = f"""{S.BM25.replace(S.chunks("documents", "doc_id"), "SELECT doc_id, 0 chunk_no, text FROM documents")},
+e AS MATERIALIZED ({S.hashed("documents", "doc_id")}), q AS MATERIALIZED ({S.hashed("benchmark", "item_id")}),
+ls AS MATERIALIZED (SELECT item_id query_id, e.doc_id, list_cosine_similarity(e.v::DOUBLE[], q.v::DOUBLE[]) v, coalesce(bm.score, 0) w FROM e CROSS JOIN q LEFT JOIN bm ON bm.query_id = item_id AND bm.doc_id = e.doc_id),
+ns AS MATERIALIZED (SELECT query_id, doc_id, v, w, CASE WHEN max(v) OVER g = 0 THEN 0 ELSE v / max(v) OVER g END nv, CASE WHEN max(w) OVER g = 0 THEN 0 ELSE w / max(w) OVER g END nw,
+ row_number() OVER (PARTITION BY query_id ORDER BY round(v, 9) DESC, doc_id) rv, row_number() OVER (PARTITION BY query_id ORDER BY round(w, 9) DESC, doc_id) rw FROM ls WINDOW g AS (PARTITION BY query_id)),
+fu AS (SELECT query_id, doc_id, nv vector, nw keyword, 1.0::DOUBLE / (60 + rv) + 1.0::DOUBLE / (60 + rw) rrf, 0.5 * nv + 0.5 * nw blend50, 0.9 * nv + (1 - 0.9) * nw blend90 FROM ns),
+al AS (SELECT query_id, doc_id, unnest(['vector', 'keyword', 'blend50', 'rrf', 'blend90']) AS method, unnest([vector, keyword, blend50, rrf, blend90]::DOUBLE[]) score FROM fu),
+tp AS (SELECT *, row_number() OVER (PARTITION BY query_id, method ORDER BY round(score, 9) DESC, doc_id) rank FROM al)"""
+_LISTED = "(SELECT query_id, 'vector' AS list, doc_id, nv norm, rv r FROM ns UNION ALL SELECT query_id, 'keyword', doc_id, nw, rw FROM ns)"
 
 
-def _lists(spark, d) -> tuple[DataFrame, DataFrame]:
-    """(query_id, doc_id, score) of the nearest vectors and of all documents that hold a query term."""
-    e = table(spark, d, "embeddings")
-    queries = e.join(asked(spark, d).select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "embedding")
-    vector = vectors.knn(e, queries, fusion.POOL).select("query_id", F.col("vec_id").alias("doc_id"), "score")
-    docs = table(spark, d, "documents").select("doc_id", F.lit(0).alias("chunk_no"), "text")
-    keyword = lexical.scores(lexical.build(docs, keep=scratch.written), asked(spark, d)).select("query_id", "doc_id", "score")
-    return vector, keyword
+def _sources(spark, d) -> tuple[fusion.Source, fusion.Source]:
+    docs = answer.embedded(table(spark, d, "documents").select("doc_id", "text"), _embedder, "document").select("doc_id", "embedding")
+    q = answer.embedded(asked(spark, d), _embedder, "query").select("query_id", "embedding")
+    return fusion.vector_source(docs, q, "doc_id"), fusion.keyword_source(bm25_index(spark, d, whole=True), asked(spark, d))
 
 
-def _pools(spark, d) -> list[tuple[str, DataFrame]]:
-    return [(name, fusion.pooled(x, ["doc_id"])) for name, x in zip(("vector", "keyword"), _lists(spark, d))]
+def _firsts(spark, d) -> list[tuple[str, DataFrame]]:
+    """The first hundred of each list."""
+    return [(name, x.first(asked(spark, d).select("query_id"), fusion.DEPTH)) for name, x in zip(("vector", "keyword"), _sources(spark, d))]
 
 
-def _both(spark, d, value) -> DataFrame:
-    parts = [x.select("query_id", F.lit(name).alias("list"), "doc_id", value) for name, x in _pools(spark, d)]
+@query(f"WITH {_WHOLE} SELECT query_id, list, doc_id, round(norm, 6) AS norm FROM {_LISTED} WHERE r <= 100")
+def f1_normalize(spark, d):
+    parts = [fusion.normalize(x).select("query_id", F.lit(name).alias("list"), "doc_id", F.round("norm", 6).alias("norm")) for name, x in _firsts(spark, d)]
     return parts[0].unionByName(parts[1])
 
 
-@query(f"WITH {_LISTS} SELECT query_id, list, doc_id, round(norm, 6) AS norm FROM {_BOTH}")
-def f1_normalize(spark, d):
-    return _both(spark, d, F.round("norm", 6).alias("norm"))
+@query(f"WITH {_WHOLE} SELECT query_id, list, doc_id, r::INT rank FROM {_LISTED} WHERE r <= 100")
+def f2_ranks(spark, d):
+    parts = [fusion.ranks(x.drop("rank"), ["doc_id"]).select("query_id", F.lit(name).alias("list"), "doc_id", "rank") for name, x in _firsts(spark, d)]
+    return parts[0].unionByName(parts[1])
 
 
-@query(f"WITH {_LISTS} SELECT query_id, list, doc_id, r::INT rank FROM {_BOTH}")
-def f2_ranks(spark, d):
-    return _both(spark, d, F.col("rank"))
+def _fused(spark, d, top: int, methods: tuple[str, ...]) -> DataFrame:
+    return fusion.exact_top(*_sources(spark, d), asked(spark, d), ["doc_id"], top, methods=methods).withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH {_LISTS} SELECT query_id, doc_id, round(rrf, 6)::DOUBLE AS score FROM fu")
+@query(f"WITH {_WHOLE} SELECT query_id, doc_id, round(score, 6) AS score, rank::INT rank FROM tp WHERE method = 'rrf' AND rank <= 10")
 def f3_rrf(spark, d):
-    return fusion.rrf([x for _, x in _pools(spark, d)], ["doc_id"]).withColumn("score", F.round("score", 6))
+    return _fused(spark, d, 10, ("rrf",)).select("query_id", "doc_id", "score", "rank")
 
 
-@query(f"WITH {_LISTS} SELECT query_id, doc_id, round(blend50, 6) AS blend50, round(blend90, 6) AS blend90 FROM fu")
+@query(f"WITH {_WHOLE} SELECT query_id, method, doc_id, round(score, 6) AS score, rank::INT rank FROM tp WHERE method IN ('blend50', 'blend90') AND rank <= 10")
 def f4_blend(spark, d):
-    pools = dict(_pools(spark, d))
-    return fusion.fused(pools["vector"], pools["keyword"], ["doc_id"]).select("query_id", "doc_id", F.round("blend50", 6).alias("blend50"), F.round("blend90", 6).alias("blend90"))
+    return _fused(spark, d, 10, ("blend50", "blend90")).select("query_id", "method", "doc_id", "score", "rank")
 
 
-@query(
-    f"""WITH {_LISTS}, al AS (SELECT query_id, doc_id, unnest(['vector', 'keyword', 'blend50', 'rrf', 'blend90']) AS method, unnest([vector, keyword, blend50, rrf, blend90]::DOUBLE[]) score FROM fu)
-SELECT query_id, method, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id, method ORDER BY round(score, 9) DESC, doc_id)::INT rank FROM al QUALIFY rank <= 3"""
-)
+@query(f"WITH {_WHOLE} SELECT query_id, method, doc_id, round(score, 6) AS score, rank::INT rank FROM tp WHERE rank <= 3")
 def f5_compare_methods(spark, d):
-    return fusion.compared(*_lists(spark, d), ["doc_id"]).select("query_id", "method", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return _fused(spark, d, 3, fusion.METHODS).select("query_id", "method", "doc_id", "score", "rank")
 
 
 # reranking, prompts, citations: hits of BM25 with their text and source

@@ -79,13 +79,6 @@ def knn(k: int, queries: str = "vec_id % 50 = 0", where: str = "true") -> str:
  FROM embeddings a, (SELECT * FROM embeddings WHERE {queries}) q WHERE {where} QUALIFY rank <= {k}"""
 
 
-def pooled(lists: str, pool: int = 100) -> str:
-    """SELECT of query_id, doc_id, norm and rank of each query's first rows."""
-    return f"""SELECT query_id, doc_id, norm, row_number() OVER (PARTITION BY query_id ORDER BY round(norm, 9) DESC, doc_id) r FROM
- (SELECT query_id, doc_id, CASE WHEN max(score) OVER q = 0 THEN 0 ELSE score / max(score) OVER q END norm FROM
-  (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) p FROM {lists}) WHERE p <= {pool} WINDOW q AS (PARTITION BY query_id))"""
-
-
 def ivf(clusters: int, seed: int = 0) -> str:
     """Parts for WITH: cen (cluster_id, v), asg (cluster_id, vec_id, embedding), prb (query_id, cluster_id, probe_rank)."""
     cos = "list_cosine_similarity(e.embedding::DOUBLE[], cen.v::DOUBLE[])"

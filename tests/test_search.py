@@ -106,8 +106,6 @@ def test_fusion(spark):
     b = spark.createDataFrame([(1, "y", 1), (1, "z", 2)], "query_id int, key string, rank int")
     got = {r.key: r.score for r in fusion.rrf([a, b], ["key"]).collect()}
     assert got == pytest.approx({"x": 1 / 61, "y": 1 / 62 + 1 / 61, "z": 1 / 62})
-    found = fusion.compared(lists.filter("query_id = 3"), lists.filter("query_id = 9"), ["key"]).filter("method = 'keyword'").orderBy("rank").collect()
-    assert [(r.key, r.score) for r in found] == [("a", 0.0), ("b", 0.0)]
 
 
 def test_ivf_recall_on_clusters(spark):
@@ -216,11 +214,3 @@ def test_containing(spark):
     docs = spark.createDataFrame([(1, "xa b c d e f gz  h"), (2, "a b c d e f g"), (3, "b c d e f"), (4, None), (5, "")], "doc_id int, text string")
     items = spark.createDataFrame([(1, "a b c d e f g"), (2, "c d"), (3, "q r s t u v w"), (4, None), (5, "a b  c d e f g")], "query_id int, item string")
     assert sorted((r.doc_id, r.query_id) for r in evaluate.containing(docs, items).collect()) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 2)]
-
-
-def test_fused_pools(spark):
-    v = spark.createDataFrame([(1, i, 1.0 - i / 10) for i in range(6)], "query_id int, key int, score double")
-    w = spark.createDataFrame([(1, 5, 8.0), (1, 9, 4.0), (2, 1, 1.0)], "query_id int, key int, score double")
-    got = {(r.query_id, r.key): r for r in fusion.fused(fusion.pooled(v, ["key"], 2), fusion.pooled(w, ["key"], 2), ["key"]).collect()}
-    assert sorted(got) == [(1, 0), (1, 1), (1, 5), (1, 9), (2, 1)]
-    assert got[1, 1].vector == pytest.approx(0.9) and got[1, 1].rrf == pytest.approx(1 / 62) and got[1, 9].blend90 == pytest.approx(0.05)
