@@ -32,14 +32,28 @@ def _file_code(files: list[str]) -> tuple[int, str]:
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:/+"
 
 
+#: Logical operators that keep each row of a file one row.
+_ONE_TO_ONE = {"Project", "Filter", "SubqueryAlias", "View", "LogicalRelation"}
+
+
+def _one_to_one(df: DataFrame) -> bool:
+    """Whether ``df`` reads files, filtered and projected at most: ``explode``, ``sample``, ``limit`` and all else may repeat rows or not be repeatable."""
+    plan = df._jdf.queryExecution().analyzed()
+    while True:
+        if plan.getClass().getSimpleName() not in _ONE_TO_ONE or plan.children().size() > 1:
+            return False
+        if plan.children().isEmpty():
+            return True
+        plan = plan.children().head()
+
+
 def placed(df: DataFrame) -> DataFrame:
     """``df`` itself if it reads Parquet files, filtered and projected at most, so that each row has a file and a place
-    there; what comes from joins, groups, unions or memory is written to the shared folder first. Write what
-    ``distinct``, ``limit`` or ``explode`` made of files yourself: its rows would go by the places of the files."""
+    there; what comes from anything else is written to the shared folder first."""
     try:
         place = df.metadataColumn("_metadata")
         df.select(place["file_path"], place["row_index"])
-        return df
+        return df if _one_to_one(df) else written(df, "rows")
     except AnalysisException:
         return written(df, "rows")
 

@@ -4,9 +4,10 @@ import random
 
 import pytest
 from pyspark.sql import DataFrameWriter
+from pyspark.sql import functions as F
 
 from passages.llm import decontamination, embeddings, language, near_duplicates, packing, secrets, suffix_dedup, warc
-from passages.llm.common import _file_code, shared_dir, table, with_group_min, with_row_id, without, written
+from passages.llm.common import _file_code, placed, shared_dir, table, with_group_min, with_row_id, without, written
 
 
 def test_with_group_min(spark):
@@ -52,6 +53,18 @@ def test_row_ids_are_apart_and_stay(spark, tmp_path):
     assert bits == 24 and salt.endswith(":")
 
 
+def test_rows_that_files_do_not_tell_apart(spark, tmp_path):
+    spark.createDataFrame([(i, "some words that copies share again", "en", "s", 1) for i in range(100)], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/e")
+    docs = spark.read.parquet(f"{tmp_path}/e")
+    twice = F.explode(F.array(F.lit(1), F.lit(2)))
+    made = [docs.withColumn("x", twice), docs.withColumn("x", twice).filter("x > 0").select("text", "doc_id"), docs.union(docs), docs.select("doc_id", "text").sample(True, 2.0, 1), docs.join(docs.select("doc_id"), "doc_id"), docs.limit(50).select("doc_id", "text"), docs.distinct()]
+    for df in made:
+        ids = with_row_id(df).select("row_id")
+        assert ids.distinct().count() == ids.count()
+    assert placed(docs.filter("doc_id > 3").select("doc_id")).inputFiles() == docs.inputFiles()  # read where it lies
+    assert near_duplicates.report(made[0]).count() == 200
+
+
 OPERATORS = {
     "warc": lambda s, d: warc.report(d("pages")),
     "suffix": lambda s, d: suffix_dedup.report(d("documents")),
