@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html as html_lib
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -43,24 +44,39 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(1))
 
 
-def html_to_text(html: Column) -> Column:
-    """The visible text of a page: no script, style, tags or comments; entities decoded; cleaned."""
-    out = html
-    for tag in ("script", "style"):
-        out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?(?:</{tag}\s*>|\z)", " ")
-    out = F.regexp_replace(out, r"(?s)<!--.*?-->", " ")
-    out = F.regexp_replace(out, r"(?s)<[!/?a-zA-Z][^>]*>", " ")
-    return clean(unescape_udf()(out))
+_GAP = r"[ \t\n\f\r]"  # white space of HTML's grammar
+#: What may follow a tag's name: attributes, whose quoted values may hold any character; what a quote leaves open reaches the end.
+_ATTRIBUTES = rf"""(?:[ \t\n\f\r/]++|[^ \t\n\f\r/>][^ \t\n\f\r/>=]*+(?:{_GAP}*+={_GAP}*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^ \t\n\f\r>"'][^ \t\n\f\r>]*+)?)?+)*+"""
+_NEXT = r"(?=[ \t\n\f\r/>])"
+#: Markup, the first form that fits: comments; script and style with all they hold; title and textarea, whose text is kept; tags; all else
+#: that starts like markup and ends with the next ``>``. What is left open reaches the end of the page.
+MARKUP = re.compile(
+    rf"""<(?:!--(?:-?>|.*?(?:--!?>|\Z))
+    |(?P<raw>script|style){_NEXT}{_ATTRIBUTES}(?:(?<=/)>|>.*?(?:</(?P=raw){_NEXT}{_ATTRIBUTES}(?:>|\Z)|\Z)|\Z)
+    |(?P<kept>title|textarea){_NEXT}{_ATTRIBUTES}(?:(?<=/)>|>(?P<text>.*?)(?:</(?P=kept){_NEXT}{_ATTRIBUTES}(?:>|\Z)|\Z)|\Z)
+    |/?[a-z][^ \t\n\f\r/>]*+{_ATTRIBUTES}(?:>|\Z)
+    |(?:[!?]|/(?=.))[^>]*+(?:>|\Z))""".replace("\n    |", "|"),
+    re.IGNORECASE | re.DOTALL,
+)
+
 
+def visible(page: str | None) -> str | None:
+    """A page without markup, a space for each piece of it, with character references decoded once."""
+    if page is None:
+        return None
+    shown = MARKUP.sub(lambda m: f" {m['text'] or ''} ", page) if "<" in page else page
+    return html_lib.unescape(shown) if "&" in shown else shown
 
-def unescape_udf():
-    """Arrow UDF: every named or numeric character reference of HTML decoded, once."""
+
+def html_to_text(html: Column) -> Column:
+    """The visible text of a page, cleaned: no script, style, tags or comments. One Arrow pass; the grammar's tags are those of HTML's tokenizer, so a quoted ``>``
+    ends none. A self-closed script or style holds nothing."""
 
     @F.pandas_udf("string")
-    def unescape(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: html_lib.unescape(t) if t is not None and "&" in t else t)
+    def run(pages: pd.Series) -> pd.Series:
+        return pages.map(visible)
 
-    return unescape
+    return clean(run(html))
 
 
 def category_of(source: Column, rules: list[tuple[list[str], str]], default: str = "general") -> Column:

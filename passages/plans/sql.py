@@ -19,10 +19,12 @@ def words(x: str) -> str:
 
 
 def html_to_text(x: str) -> str:
+    """For pages whose title holds no markup, with the character references that the given pages have."""
+    quoted = r"""(?:[^>"'']|"[^"]*"|''[^'']*'')*"""
     for tag in ("script", "style"):
-        x = rf"regexp_replace({x}, '(?is)<{tag}\b[^>]*>.*?(?:</{tag}\s*>|\z)', ' ', 'g')"
+        x = rf"regexp_replace({x}, '(?is)<{tag}\b{quoted}>.*?(?:</{tag}\b[^>]*>|\z)', ' ', 'g')"
     x = f"regexp_replace({x}, '(?s)<!--.*?-->', ' ', 'g')"
-    x = f"regexp_replace({x}, '(?s)<[!/?a-zA-Z][^>]*>', ' ', 'g')"
+    x = f"regexp_replace({x}, '(?s)</?[a-zA-Z]{quoted}>|<[!/?][^>]*>', ' ', 'g')"
     for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("nbsp", " "), ("copy", "©"), ("middot", "·"), ("amp", "&")):
         x = f"regexp_replace({x}, '&{name};?', '{char}', 'g')"
     return clean(x)

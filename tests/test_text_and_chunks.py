@@ -2,6 +2,8 @@
 
 import html
 import html.entities
+import html.parser
+import random
 import re
 
 import pytest
@@ -38,6 +40,80 @@ def test_html(spark):
     assert column(spark, pages, T.html_to_text) == ["Hi there", "x", "a", "a b", '&lt; <b> " ©', "1 < 2 and 3", "T n", ""]
 
 
+def test_markup(spark):
+    cases = {
+        '<p><a title="x > y">link</a></p>': "link",
+        '<img alt="<b>">t': "t",
+        "<a href='a>b' x=1>c</a>d": "c d",
+        "<a b=c\"d>e": "e",  # a quote inside an unquoted value is part of it
+        "<a b'c>d'>e": "d'>e",  # and in an attribute's name
+        "<a ==\">\">x": "x",
+        "<a b = '>' c>x": "x",
+        "a<!-->b<!--->c<!-- - -- > --!>d<!-- never closed": "a b c d",
+        "a<!doctype x>b<?php echo 1 ?>c</3>d</>e<![CDATA[x]]>f": "a b c d e f",
+        "<title>a <b>&amp; c</title>d<textarea rows='>'></p></textarea >e": "a <b>& c d </p> e",
+        "<title>never &lt; closed": "never < closed",
+        "<SCRIPT a='</script>'>x</scripty>y</ScRiPt z='>'>a<style>b</sty</style\n>c<scripts>d": "a c d",
+        "<script/>a<script>b": "a",
+        "1<2 & 3 <4 <": "1<2 & 3 <4 <",
+        "a</": "a</",
+        "a<b 'x": "a",
+        'a<b c="never closed> d': "a",
+        "<" * 2000 + "a": "<" * 1999,
+        "<a " + "b='>' " * 20000 + ">x": "x",
+    }
+    for page, want in zip(cases, column(spark, list(cases), T.html_to_text)):
+        assert want == cases[page], page[:60]
+
+
+class Standard(html.parser.HTMLParser):
+    def __init__(self):
+        super().__init__()
+        self.parts, self.skip = [], False
+
+    def handle_starttag(self, tag, attrs):
+        self.skip = self.skip or tag in ("script", "style")
+
+    def handle_endtag(self, tag):
+        self.skip = self.skip and tag not in ("script", "style")
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.parts.append(data)
+
+
+def test_random_pages_against_the_standard_parser(spark):
+    rnd = random.Random(7)
+    words = ["one", "two > three", "&amp;", "&eacute;", "x & y", "1 < 2", "&#39;", "\n\t", "é"]
+    values = ["v", '"a > b"', "'<i>'", '"</p>"', "'\"'", '""', "a/b", '"x=\'y\'"']
+
+    def attributes():
+        return "".join(f" {rnd.choice(['id', 'data-x', 'checked', 'TITLE'])}" + (f"{rnd.choice(['=', ' = '])}{rnd.choice(values)}" if rnd.random() < 0.7 else "") for _ in range(rnd.randint(0, 3)))
+
+    def page(depth):
+        kind = rnd.random()
+        if depth == 0 or kind < 0.3:
+            return rnd.choice(words)
+        if kind < 0.7:
+            tag = rnd.choice(["p", "div", "b", "h1", "a", "LI", "x-y"])
+            return f"<{tag}{attributes()}>" + " ".join(page(depth - 1) for _ in range(rnd.randint(0, 3))) + f"</{tag}>"
+        if kind < 0.8:
+            return rnd.choice([f"<br{attributes()}/>", f"<img{attributes()} >"])
+        if kind < 0.9:
+            return rnd.choice(["<!-- a > b <p> -->", "<!doctype html>", "<!-- -->", "<?x y?>"])
+        return rnd.choice([f"<script{attributes()}>if (a < b) '</p>' && \"<!--\"</script>", f"<STYLE{attributes()}>p > b {{}}</STYLE>"])
+
+    pages = [" ".join(page(4) for _ in range(rnd.randint(1, 5))) for _ in range(400)]
+    want = []
+    for text in pages:
+        parser = Standard()
+        parser.feed(text)
+        parser.close()
+        want.append(" ".join(" ".join(parser.parts).split()))
+    assert sum('">' in x or "<i>" in x for x in pages) > 100
+    assert column(spark, pages, T.html_to_text) == want
+
+
 def test_every_character_reference(spark):
     names = [f"a&{name}b" for name in html.entities.html5]
     texts = [*names, "&eacute;&uuml;&Uuml; &#8217;&mdash;&#xE9;&#XE9; &#0; &#x80; &#xD800; &amp;eacute; &notit; &eacute &am &nosuch; &", None]
