@@ -585,8 +585,8 @@ ex AS ({S.knn(10)})"""
 
 def _index(spark, d):
     e = table(spark, d, "embeddings")
-    centers = ann.centroids(e, 16)
-    return ann.assigned(e, centers), centers
+    centers = scratch.written(ann.centroids(e, 16), "centroids")
+    return ann.saved(ann.assigned(e, centers), centers, scratch.scratch_path(spark, "ivf"))
 
 
 @query(f"WITH {_PROBED}, ap AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) r FROM sc WHERE probe_rank <= {_PROBES} QUALIFY r <= 10) SELECT ex.query_id, round(avg(CASE WHEN ap.vec_id IS NULL THEN 0.0 ELSE 1 END), 6)::DOUBLE recall FROM ex LEFT JOIN ap ON ap.query_id = ex.query_id AND ap.vec_id = ex.vec_id GROUP BY 1")
@@ -616,6 +616,12 @@ def a3_vectors_scanned(spark, d):
     return ann.vectors_scanned(*_index(spark, d), vector_queries(spark, d), [1, 2, 4, 8, 16])
 
 
+@query(f"WITH {S.ivf(16)}, z AS (SELECT cluster_id, 1 size FROM asg GROUP BY 1) SELECT n_probe::INT n_probe, query_id, sum(size)::BIGINT files FROM prb JOIN z USING (cluster_id), (SELECT unnest([1, 2, 4, 8, 16]) n_probe) WHERE probe_rank <= n_probe GROUP BY ALL")
+def a5_files_read(spark, d):
+    """Each cluster is one file here, as none has a million vectors."""
+    return ann.files_read(*_index(spark, d), vector_queries(spark, d), [1, 2, 4, 8, 16])
+
+
 @query(
     f"""WITH {_PROBED}, np AS (SELECT unnest([1, 2, 4, 8, 16]) n_probe), z AS (SELECT cluster_id, count(*) size FROM asg GROUP BY 1),
 ap AS (SELECT n_probe, query_id, vec_id, row_number() OVER (PARTITION BY n_probe, query_id ORDER BY round(score, 9) DESC, vec_id) r FROM sc, np WHERE probe_rank <= n_probe QUALIFY r <= 10),

@@ -123,6 +123,40 @@ def test_ivf_recall_on_clusters(spark):
         ann.centroids(v, 0)
 
 
+def _files_read(df):
+    """The numbers of files that the scans of a partitioned table read, from the executed plan."""
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        todo += [node.executedPlan()] if name == "AdaptiveSparkPlanExec" else [node.plan()] if name.endswith("QueryStageExec") else []
+        if name == "FileSourceScanExec" and "cluster_id" in node.relation().partitionSchema().simpleString():
+            found.append(node.metrics().apply("numFiles").value())
+    return found
+
+
+def test_stored_ivf_reads_the_probed_clusters_only(spark, tmp_path):
+    rng = np.random.default_rng(42)
+    centres = rng.standard_normal((40, 16)) * 6
+    which = np.where(np.arange(1200) % 3 == 0, 0, rng.integers(40, size=1200))
+    v = vecs(spark, list(enumerate((centres[which] + rng.standard_normal((1200, 16))).tolist())) + [(5000, None)])
+    c = ann.centroids(v, 40)
+    index, centers = ann.saved(ann.assigned(v, c), c, f"{tmp_path}/ivf", rows=20)
+    q = vecs(spark, [(1, centres[3].tolist())], "query_id")
+    files = {r.n_probe: r.files for r in ann.files_read(index, centers, q, [1, 5, 40]).collect()}
+    for n in (1, 5, 40):
+        found = ann.ivf_search(index, centers, q, 10, n)
+        assert "dynamicpruning" in found._jdf.queryExecution().toString().lower()
+        assert _files_read(found) == [files[n]]
+        plain = ann.ivf_search(ann.assigned(v, c), c, q, 10, n)
+        rows = lambda df: [(r.vec_id, round(r.score, 9)) for r in df.orderBy("rank").collect()]
+        assert rows(found) == rows(plain)
+    assert files[1] < files[5] < files[40] and files[40] > index.select("cluster_id").distinct().count()  # a large cluster has several
+
+
 def test_replies_and_variants(spark):
     hits = spark.createDataFrame([(q, r, f"t{r}") for q in (1, 2, 3, 4) for r in (1, 2, 3, 4)], "query_id int, rank int, text string")
     replies = spark.createDataFrame([(1, "3, 3 then 99 and 1"), (2, "none"), (3, "123456789012345678901234567890 2")], "query_id int, reply string")
