@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passages.functions.text import html_to_text
-from passages.llm.common import placed, salt, small, with_row_id, without, written
+from passages.llm.common import placed, salt, small, tidy, with_row_id, without, written
 
 # Country suffixes of addresses and the language they speak for.
 SUFFIX_LANGUAGE = {
@@ -65,6 +65,7 @@ def trigrams(text: str | None, buckets: int) -> np.ndarray:
     return ((code * np.uint32(2654435761)) >> np.uint32(32 - buckets.bit_length() + 1)).astype(np.int64)
 
 
+@tidy
 def _counted(frames: Iterator[pd.DataFrame], buckets: int) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for lang, texts in frame.groupby("lang")["text"]:
@@ -76,6 +77,7 @@ def _counted(frames: Iterator[pd.DataFrame], buckets: int) -> Iterator[pd.DataFr
             yield pd.DataFrame({"lang": lang, "bucket": at, "n": total[at]})
 
 
+@tidy
 def _scored(batches: Iterator[pd.Series], model: np.ndarray, buckets: int) -> Iterator[pd.DataFrame]:
     for texts in batches:
         out = []

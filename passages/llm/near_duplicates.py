@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passages.llm.common import placed, small, with_group_min, with_row_id, without, written
+from passages.llm.common import placed, small, tidy, with_group_min, with_row_id, without, written
 from passages.llm.graph import connected_components
 
 
@@ -90,6 +90,7 @@ def values(hashes: np.ndarray, s: Settings) -> np.ndarray:
     return out.view(np.int64)
 
 
+@tidy
 def _signed(frames: Iterator[pd.DataFrame], s: Settings) -> Iterator[pd.DataFrame]:
     for frame in frames:
         n, digest, vals = [], [], []
@@ -99,11 +100,14 @@ def _signed(frames: Iterator[pd.DataFrame], s: Settings) -> Iterator[pd.DataFram
             digest.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
             vals.append(values(h, s) if len(h) else None)
         yield pd.DataFrame({"row_id": frame["row_id"], "doc_id": frame["doc_id"], "n": n, "digest": digest, "vals": vals})
+    _hashes.clear()
 
 
+@tidy
 def _sets(frames: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]:
     for frame in frames:
         yield pd.DataFrame({"node": frame["node"], "hashes": [shingle_set(t, words).tobytes() for t in frame["text"]]})
+    _hashes.clear()
 
 
 def _by_cell(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -121,6 +125,7 @@ def _by_cell(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield held[0] if len(held) == 1 else pd.concat(held)
 
 
+@tidy
 def _linked(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
     """Links that connect what the queries of each cell link with, as a spanning forest."""
     for cell in _by_cell(frames):

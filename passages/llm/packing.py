@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from passages.llm.common import with_row_id, written
+from passages.llm.common import tidy, with_row_id, written
 
 
 @dataclass(frozen=True)
@@ -99,6 +99,7 @@ _words: dict[str, Words] = {}
 _LEVELS = 8  # cells are packed again in fewer cells so often at most; each time they are some hundred times fewer
 
 
+@tidy
 def _pieces(frames: Iterator[pd.DataFrame], s: Settings, path: str) -> Iterator[pd.DataFrame]:
     words = _words[path] = _words.get(path) or Words(path)
     step, end = 4 * s.capacity, s.end_id.to_bytes(4, "little")
@@ -201,6 +202,7 @@ def evolve(lengths: list[int], seeds: list[list[int]], s: Settings, rng: random.
     return owner
 
 
+@tidy
 def _evolved(frames: Iterator[pd.DataFrame], s: Settings, turn: int) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for cell, island, lengths, own, guest in zip(*[frame[c] for c in ("cell", "island", "lengths", "own", "guest")]):

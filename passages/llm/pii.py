@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from passages.llm.common import tidy
+
 #: Kinds that the base rules define, in their order.
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: Kinds that only cues lead to: IBANs, cued account numbers, social security numbers, URLs with credentials.
@@ -133,11 +135,13 @@ def redact(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
     return "".join([*out, text[done:]])
 
 
+@tidy
 def _spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         yield pd.Series([[{"kind": k, "start": s, "end": e} for k, s, e in find_spans(t)] for t in texts], dtype=object)
 
 
+@tidy
 def _redacted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         yield pd.Series([redact(t, find_spans(t)) for t in texts], dtype=object)
