@@ -413,9 +413,9 @@ def _firsts(spark, d) -> list[tuple[str, DataFrame]]:
     return [(name, x.first(asked(spark, d).select("query_id"), fusion.DEPTH)) for name, x in zip(("vector", "keyword"), _sources(spark, d))]
 
 
-@query(f"WITH {_WHOLE} SELECT query_id, list, doc_id, round(norm, 6) AS norm FROM {_LISTED} WHERE r <= 100")
+@query(f"WITH {_WHOLE} SELECT query_id, list, doc_id, round(norm, 6) + 0.0::DOUBLE AS norm FROM {_LISTED} WHERE r <= 100")
 def f1_normalize(spark, d):
-    parts = [fusion.normalize(x).select("query_id", F.lit(name).alias("list"), "doc_id", F.round("norm", 6).alias("norm")) for name, x in _firsts(spark, d)]
+    parts = [fusion.normalize(x).select("query_id", F.lit(name).alias("list"), "doc_id", (F.round("norm", 6) + 0.0).alias("norm")) for name, x in _firsts(spark, d)]
     return parts[0].unionByName(parts[1])
 
 
@@ -466,10 +466,10 @@ def u3_rerank(spark, d):
 
 @query(f"WITH {S.bm25_top(5)} SELECT turn::INT turn, query_id, doc_id, chunk_no, rank::INT rank, round(score, 6) AS score FROM kw, (SELECT unnest([0, 1]) turn)")
 def s7_hits_sink(spark, d):
-    """The trace of two searches, appended to one table."""
+    """The trace of two searches in one table; the second is written twice, as by a retry."""
     path, hits = scratch.scratch_path(spark, "trace"), scratch.written(bm25_hits(spark, d, 5), "hits")
-    for turn in range(2):
-        index.save_hits(hits.select(F.lit(turn).alias("turn"), "query_id", "doc_id", "chunk_no", "rank", F.round("score", 6).alias("score")), path)
+    for turn in (0, 1, 1):
+        index.save_hits(hits.select(F.lit(turn).alias("turn"), "query_id", "doc_id", "chunk_no", "rank", F.round("score", 6).alias("score")), path, "turn")
     return spark.read.parquet(path)
 
 

@@ -54,6 +54,7 @@ def build_or_load(spark: SparkSession, path: str, header: dict[str, str], build:
     return load(spark, f"{path}/{name}"), True
 
 
-def save_hits(hits: DataFrame, path: str) -> None:
-    """Appends (query_id, rank, score, source, ...) rows: the trace of what each query retrieved."""
-    hits.write.mode("append").parquet(path)
+def save_hits(hits: DataFrame, path: str, run: str = "run") -> None:
+    """Adds the trace of what each query retrieved, (``run``, query_id, rank, score, source, ...), to the table at ``path``. Rows of a run replace those
+    that it has there, so a run that is written again, by a retry or with other hits, is there once; other runs stay."""
+    hits.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(run).parquet(path)

@@ -52,11 +52,18 @@ def test_append_and_check(spark):
         index.checked(both, 3).collect()
 
 
-def test_save_hits_appends(spark, tmp_path):
-    hits = spark.createDataFrame([(1, 1, 0.5, "s")], "query_id int, rank int, score double, source string")
-    index.save_hits(hits, f"{tmp_path}/h")
-    index.save_hits(hits, f"{tmp_path}/h")
-    assert spark.read.parquet(f"{tmp_path}/h").count() == 2
+def test_a_run_written_again_is_there_once(spark, tmp_path):
+    def trace(run, *scores):
+        rows = spark.createDataFrame([(run, 1, i + 1, s, "s") for i, s in enumerate(scores)], "run string, query_id int, rank int, score double, source string")
+        index.save_hits(rows, f"{tmp_path}/h")
+
+    seen = lambda: sorted((r.run, r["rank"], r.score) for r in spark.read.parquet(f"{tmp_path}/h").collect())
+    trace("a", 0.5, 0.25)
+    trace("b", 0.5)
+    trace("a", 0.5, 0.25)
+    assert seen() == [("a", 1, 0.5), ("a", 2, 0.25), ("b", 1, 0.5)]
+    trace("b", 0.75)
+    assert seen() == [("a", 1, 0.5), ("a", 2, 0.25), ("b", 1, 0.75)]
 
 
 def test_stream(spark, tmp_path):
