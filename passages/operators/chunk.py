@@ -70,6 +70,16 @@ def chunk_sweep(docs: DataFrame, configs: list[tuple[int, int]], text: str = "te
     return each.groupBy("size", "overlap").agg(F.count("*").alias("n_chunks"), F.round(F.avg("len"), 6).alias("avg_words"))
 
 
+def chunk_configs(docs: DataFrame, configs: list[tuple[int, int]], text: str = "text") -> DataFrame:
+    """:func:`chunk_words` under each (size, overlap), which become columns, in one scan; each text is split into words once."""
+    for size, overlap in configs:
+        checked(size, overlap)
+    table = docs.sparkSession.createDataFrame(configs, "size int, overlap int")
+    others = [c for c in docs.columns if c not in (text, "chunk_no", "size", "overlap")]
+    split = docs.select(*others, words(F.col(text)).alias("__w")).filter(F.size("__w") > 0).crossJoin(F.broadcast(table))  # as long as the given list
+    return split.select("size", "overlap", *others, F.posexplode(_windows(F.col("__w"), F.col("size"), F.col("overlap"))).alias("chunk_no", text))
+
+
 def straddling(chunks: DataFrame, first: str, second: str, text: str = "text") -> DataFrame:
     """Chunks that hold both markers, with the parts ``before`` and ``after`` the second one's start."""
     at = F.instr(F.col(text), second)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passages.functions.text import tokens
@@ -16,10 +16,19 @@ KEY = ["doc_id", "chunk_no"]
 BROADCAST_TERMS = 200_000
 
 
+def idf(n_docs: Column, df: Column) -> Column:
+    return F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+
+
+def part(k1: float = 1.5, b: float = 0.75) -> Column:
+    """What a term adds to a chunk's score, of the columns times, idf, tf, dl and avgdl."""
+    norm = F.when(F.col("avgdl") > 0, k1 * (1 - b + b * F.col("dl") / F.when(F.col("avgdl") > 0, F.col("avgdl")))).otherwise(k1)
+    return F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
+
+
 def idf_of(df: DataFrame, stats: DataFrame) -> DataFrame:
     """(term, df, idf) of document frequencies (term, df) in a corpus of ``stats`` (n_docs)."""
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return df.crossJoin(F.broadcast(stats)).select("term", "df", idf.alias("idf"))  # stats is one row
+    return df.crossJoin(F.broadcast(stats)).select("term", "df", idf(F.col("n_docs"), F.col("df")).alias("idf"))  # stats is one row
 
 
 @dataclass
@@ -68,8 +77,7 @@ def scores(index: Index, queries: DataFrame, k1: float = 1.5, b: float = 0.75, a
     if among is not None:
         weighed = weighed.join(among, ["query_id", *KEY], "left_semi")
     weighed = weighed.join(small(known), "term").crossJoin(F.broadcast(index.stats))
-    norm = F.when(F.col("avgdl") > 0, k1 * (1 - b + b * F.col("dl") / F.when(F.col("avgdl") > 0, F.col("avgdl")))).otherwise(k1)
-    return weighed.groupBy("query_id", *KEY).agg(F.sum(F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)).alias("score"))
+    return weighed.groupBy("query_id", *KEY).agg(F.sum(part(k1, b)).alias("score"))
 
 
 def bm25_top_k(index: Index, queries: DataFrame, k: int = 5, **how) -> DataFrame:

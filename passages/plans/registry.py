@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from passages.functions import models
 from passages.functions import text as T
-from passages.operators import ann, answer, chunk, evaluate, expand, fusion, lexical, postings, prompt, vectors
+from passages.operators import ann, answer, chunk, evaluate, expand, fusion, lexical, postings, prompt, sweep, vectors
 from passages.plans import sql as S
 from passages.sources import corpus, index, scratch
 
@@ -577,6 +577,31 @@ def e5_knob_sweep(spark, d):
     return evaluate.retrieval_quality(evaluate.first_hit_rank(gold(spark, d), hits, ("k",)), ("k",))
 
 
+_SWEPT, _WEIGHTS = [(40, 10), (120, 20), (250, 40)], [0.0, 0.5, 0.9, 1.0]
+
+
+@query(
+    f"""WITH {S.swept(_SWEPT, _WEIGHTS, 8)}, {_GOLD}, cf AS (SELECT DISTINCT size, overlap, weight FROM sw),
+h AS (SELECT sw.*, source FROM sw JOIN documents USING (doc_id)),
+fr AS (SELECT cf.size, cf.overlap, cf.weight, k, g.query_id, coalesce(min(CASE WHEN rank <= k THEN rank END), 0) first_rank FROM g CROSS JOIN cf CROSS JOIN (SELECT unnest([1, 3, 8]) k)
+ LEFT JOIN h ON h.size = cf.size AND h.overlap = cf.overlap AND h.weight = cf.weight AND h.query_id = g.query_id AND h.source = g.source GROUP BY ALL)
+SELECT size, overlap, weight, k::INT k, count(*) n, round(avg(CASE WHEN first_rank > 0 THEN 1.0 ELSE 0 END), 6)::DOUBLE hit_rate, round(avg(CASE WHEN first_rank > 0 THEN 1.0 / first_rank ELSE 0 END), 6)::DOUBLE mrr FROM fr GROUP BY ALL"""
+)
+def e5_chunk_and_weight_sweep(spark, d):
+    """Hit rate and MRR by chunk size, overlap, weight of the vectors and k, from one scan of the texts."""
+    docs = table(spark, d, "documents")
+    hits = sweep.swept(sweep.stored_chunks(docs, _SWEPT, _embedder), asked(spark, d), _WEIGHTS, _embedder, 8)
+    hits = scratch.written(hits, "hits").join(docs.select("doc_id", "source"), "doc_id")
+    by = (*sweep.CONFIG, "weight", "k")
+    return evaluate.retrieval_quality(evaluate.first_hit_rank(gold(spark, d), evaluate.at_several_k(hits, [1, 3, 8]), by), by)
+
+
+@query(f"WITH {S.swept(_SWEPT, _WEIGHTS, 8)} SELECT size, overlap, weight, query_id, doc_id, chunk_no, rank::INT rank FROM sw WHERE rank <= 3")
+def e5_sweep_hits(spark, d):
+    chunks = sweep.stored_chunks(table(spark, d, "documents"), _SWEPT, _embedder)
+    return sweep.swept(chunks, asked(spark, d), _WEIGHTS, _embedder, 3).select(*sweep.CONFIG, "weight", "query_id", *lexical.KEY, "rank")
+
+
 #: Clusters of 16 that a search probes: the vectors given have no clusters, and with fewer the recall at 10 is under 0.9.
 _PROBES = 14
 _PROBED = f"""{S.ivf(16)}, sc AS (SELECT query_id, a.vec_id, probe_rank, list_cosine_similarity(a.embedding::DOUBLE[], q.embedding::DOUBLE[]) score FROM prb JOIN asg a USING (cluster_id) JOIN embeddings q ON q.vec_id = query_id),

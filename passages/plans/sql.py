@@ -88,3 +88,23 @@ def ivf(clusters: int, seed: int = 0) -> str:
     return f"""cen AS (SELECT row_number() OVER (ORDER BY h, vec_id) - 1 cluster_id, v FROM (SELECT md5(vec_id || ':{seed}') h, vec_id, embedding v FROM embeddings ORDER BY h, vec_id LIMIT {clusters})),
 asg AS (SELECT cluster_id, e.vec_id, e.embedding, {rank} r FROM embeddings e, cen QUALIFY r = 1),
 prb AS (SELECT e.vec_id query_id, cluster_id, {rank} probe_rank FROM embeddings e, cen WHERE e.vec_id % 50 = 0)"""
+
+
+def swept(configs: list[tuple[int, int]], weights: list[float], k: int) -> str:
+    """Parts for WITH: sw (size, overlap, weight, query_id, doc_id, chunk_no, rank), blends over all chunks of each (size, overlap)."""
+    cut = " UNION ALL ".join(f"SELECT {s}::INT size, {o}::INT overlap, * FROM ({chunks('documents', 'doc_id', 'text', s, o)})" for s, o in configs)
+    key = "size, overlap, doc_id, chunk_no"
+    return f"""sc AS MATERIALIZED ({cut}),
+sk AS (SELECT {key}, regexp_extract_all(lower(text), '{TOKEN}') t FROM sc),
+sp AS (SELECT {key}, term, count(*) tf FROM (SELECT {key}, unnest(t) term FROM sk) GROUP BY ALL),
+ss AS (SELECT size, overlap, count(*) n_docs, avg(len(t)) avgdl FROM sk GROUP BY ALL),
+si AS (SELECT size, overlap, term, ln(1 + (any_value(n_docs) - count(*) + 0.5) / (count(*) + 0.5)) idf, any_value(avgdl) avgdl FROM sp JOIN ss USING (size, overlap) GROUP BY ALL),
+sq AS (SELECT query_id, term, count(*) times FROM (SELECT item_id query_id, unnest(regexp_extract_all(lower(text), '{TOKEN}')) term FROM benchmark) GROUP BY ALL),
+sb AS (SELECT query_id, {key}, sum(times * idf * tf * 2.5 / (tf + CASE WHEN avgdl > 0 THEN 1.5 * (0.25 + 0.75 * len(t) / avgdl) ELSE 1.5 END)) w FROM sp JOIN sq USING (term) JOIN si USING (size, overlap, term) JOIN sk USING ({key}) GROUP BY ALL),
+se AS MATERIALIZED ({hashed("sc", key)}), sv AS MATERIALIZED ({hashed("benchmark", "item_id")}),
+sl AS MATERIALIZED (SELECT item_id query_id, se.size, se.overlap, se.doc_id, se.chunk_no, list_cosine_similarity(se.v::DOUBLE[], sv.v::DOUBLE[]) v, coalesce(w, 0) w
+ FROM se CROSS JOIN sv LEFT JOIN sb ON sb.query_id = item_id AND sb.size = se.size AND sb.overlap = se.overlap AND sb.doc_id = se.doc_id AND sb.chunk_no = se.chunk_no),
+sm AS (SELECT query_id, size, overlap, max(v) mv, max(w) mw FROM sl GROUP BY ALL),
+sn AS (SELECT query_id, {key}, CASE WHEN mv = 0 THEN 0 ELSE v / mv END nv, CASE WHEN mw = 0 THEN 0 ELSE w / mw END nw FROM sl JOIN sm USING (query_id, size, overlap)),
+sw AS (SELECT query_id, {key}, weight, row_number() OVER (PARTITION BY size, overlap, weight, query_id ORDER BY round(weight * nv + (1 - weight) * nw, 9) DESC, doc_id, chunk_no) rank
+ FROM sn, (SELECT unnest({weights}::DOUBLE[]) weight) QUALIFY rank <= {k})"""
