@@ -12,7 +12,7 @@ from passages.functions import models
 from passages.functions import text as T
 from passages.operators import ann, answer, chunk, evaluate, expand, fusion, lexical, postings, prompt, sweep, vectors
 from passages.plans import sql as S
-from passages.sources import corpus, index, scratch
+from passages.sources import corpus, exports, index, scratch
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -97,6 +97,17 @@ def s2_from_table(spark, d):
     return corpus.from_table(table(spark, d, "documents"), "text", "source")
 
 
+@query("SELECT 'all' part, coalesce(source, '?') AS source, text FROM documents UNION ALL SELECT 'chosen', source, text FROM documents WHERE source = 'src2' OR source LIKE 'src1%'")
+def s2_document_export(spark, d):
+    """All documents as an export of JSON text sequences, read in ranges of a megabyte: whole, and some sources that its reader picks."""
+    path = scratch.scratch_path(spark, "export")
+    exports.save(table(spark, d, "documents").select("source", "text", "lang"), path)
+    exports.register(spark, pushdown=True)
+    read = lambda **how: spark.read.format(exports.FORMAT).options(range=1 << 20, **how).load(path)
+    chosen = read(pushdown=True).filter("source LIKE 'src1%'").unionByName(read(pushdown=True).filter("source = 'src2'"))
+    return read().select(F.lit("all").alias("part"), "*").unionByName(chosen.select(F.lit("chosen").alias("part"), "*"))
+
+
 def _records(spark, d) -> DataFrame:
     e = table(spark, d, "embeddings")
     return e.select("vec_id", F.concat(F.lit("vector "), F.col("vec_id").cast("string")).alias("text"), F.col("embedding").alias("vector"), F.when(F.col("label") > 4, F.create_map(F.lit("label"), F.col("label").cast("string"))).alias("metadata"))
