@@ -12,6 +12,7 @@ from passages.functions import models
 from passages.functions import text as T
 from passages.operators import ann, answer, chunk, evaluate, expand, fusion, lexical, postings, prompt, sweep, vectors
 from passages.plans import sql as S
+from passages.plans import standins
 from passages.sources import corpus, exports, index, scratch
 
 QUERIES: dict = {}
@@ -231,7 +232,7 @@ def v2_knn(spark, d):
 
 
 def _embedder():
-    return models.hashing_embedder(64)
+    return standins.hashing_embedder(64)
 
 
 _EMBEDDED = f"""e AS ({S.hashed("documents", "doc_id")}), q AS ({S.hashed("benchmark", "item_id")}),
@@ -319,6 +320,59 @@ def v9_contextual(spark, d):
     return expand.contextual(chunks, docs.select("doc_id", "text"), context, "doc_id").select("doc_id", "chunk_no", "text", "embed_text")
 
 
+# searches with embedded phrasings, contexts and small windows
+
+_FOUND = "list_cosine_similarity(e.v::DOUBLE[], q.v::DOUBLE[])"
+_REPLIES = "SELECT item_id query_id, text, array_to_string(string_split(text, ' ')[1:4], ' ') || chr(10) || '- ' || array_to_string(string_split(text, ' ')[-6:], ' ') reply FROM benchmark"
+
+
+@query(
+    f"""WITH vr AS (SELECT query_id, unnest(range(0, len(l))) variant_no, unnest(l) text FROM (SELECT query_id, list_concat([text], list_transform(list_filter(string_split(reply, chr(10)), lambda x: {S.strip('x')} <> ''), lambda x: {S.strip("regexp_replace(x, '^[-• ]+|[-• ]+$', '', 'g')")})) l FROM ({_REPLIES}))),
+e AS MATERIALIZED ({S.hashed("documents", "doc_id")}), q AS MATERIALIZED ({S.hashed("vr", "query_id, variant_no")}),
+h AS (SELECT query_id, variant_no, doc_id, {_FOUND} score, row_number() OVER (PARTITION BY query_id, variant_no ORDER BY round({_FOUND}, 9) DESC, doc_id) rank FROM e, q QUALIFY rank <= 5),
+b AS (SELECT query_id, doc_id, max(score) score, min(struct_pack(a := variant_no, b := rank)) seen FROM h GROUP BY ALL)
+SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, seen)::INT rank FROM b QUALIFY rank <= 5"""
+)
+def v6_phrasings(spark, d):
+    """Each item's beginning and end stand in for a model's phrasings of it; all are embedded and searched."""
+    q = asked(spark, d)
+    replies = q.select("query_id", F.concat(F.substring_index("text", " ", 4), F.lit("\n- "), F.substring_index("text", " ", -6)).alias("reply"))
+    docs = answer.embedded(table(spark, d, "documents").select("doc_id", "text"), _embedder, "document")
+    return answer.by_phrasings(q, replies, docs, _embedder, key="doc_id").select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(
+    f"""WITH c AS ({S.chunks('documents', 'doc_id')}), t AS (SELECT doc_id, chunk_no, c.text bare, concat_ws(chr(10), lang || ' from ' || source || ', of ' || n_chars || ' characters', c.text) AS text FROM c JOIN documents USING (doc_id)),
+e AS MATERIALIZED ({S.hashed("t", "doc_id, chunk_no")}), q AS MATERIALIZED ({S.hashed("benchmark", "item_id")}),
+h AS (SELECT item_id query_id, doc_id, chunk_no, {_FOUND} score, row_number() OVER (PARTITION BY item_id ORDER BY round({_FOUND}, 9) DESC, doc_id, chunk_no) rank FROM e, q QUALIFY rank <= 4)
+SELECT query_id, doc_id, chunk_no, rank::INT rank, round(score, 6) AS score, bare AS text FROM h JOIN t USING (doc_id, chunk_no)"""
+)
+def v9_contextual_search(spark, d):
+    """Chunks embedded with a line about their document, found by every item and shown bare."""
+    docs = table(spark, d, "documents")
+    chunks = chunk.chunk_words(docs.select("doc_id", "lang", "source", "text").repartition("doc_id"))
+    context = F.concat(F.col("lang"), F.lit(" from "), F.col("source"), F.lit(", of "), F.length("document").cast("string"), F.lit(" characters"))
+    found = answer.contextual_index(chunks, docs.select("doc_id", "text"), context, _embedder, "doc_id")
+    hits = answer.retrieve(asked(spark, d), found, _embedder, key=lexical.KEY)
+    return hits.join(found.select(*lexical.KEY, "text"), lexical.KEY).select("query_id", *lexical.KEY, "rank", F.round("score", 6).alias("score"), "text")
+
+
+@query(
+    f"""WITH s AS ({S.SECTIONS}), small AS ({S.chunks("s", "conv_id, section_no, heading", "body", 14, 4)}),
+last AS (SELECT conv_id, heading, body FROM s QUALIFY row_number() OVER (PARTITION BY conv_id, heading ORDER BY section_no DESC) = 1),
+e AS MATERIALIZED ({S.hashed("small", "conv_id, section_no, chunk_no")}), q AS MATERIALIZED ({S.hashed("benchmark", "item_id")}),
+h AS (SELECT item_id query_id, conv_id, section_no, chunk_no, row_number() OVER (PARTITION BY item_id ORDER BY round({_FOUND}, 9) DESC, conv_id, section_no, chunk_no) rank FROM e, q QUALIFY rank <= 4)
+SELECT query_id, rank::INT rank, conv_id, section_no, chunk_no, heading, len({S.words("small.text")})::INT chunk_words, len({S.words("body")})::INT parent_words, (len({S.words("body")}) // len({S.words("small.text")}))::BIGINT ratio, body AS parent
+FROM h JOIN small USING (conv_id, section_no, chunk_no) JOIN last USING (conv_id, heading)"""
+)
+def v5_found_parents(spark, d):
+    """Every item searched among small windows of all sections, with the whole section of each hit."""
+    texts = markdown(spark, d)
+    windows = answer.embedded(chunk.chunk_section_windows(texts), _embedder, "document")
+    found = answer.found_parents(asked(spark, d), windows, chunk.chunk_sections(texts), _embedder, doc="conv_id")
+    return found.select("query_id", "rank", "conv_id", "section_no", "chunk_no", "heading", "chunk_words", "parent_words", "ratio", "parent")
+
+
 # keyword search
 
 

@@ -44,7 +44,7 @@ SECTIONS = f"""SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY
  (SELECT conv_id, turn, role, {strip("replace(text, chr(13), '')")} body FROM conversations) WHERE body <> ''"""
 
 def hashed(table: str, key: str, text: str = "text", dim_bits: int = 6) -> str:
-    """SELECT of key and its hashing vector ``v``, as models.hashing_embedder makes it."""
+    """SELECT of key and its hashing vector ``v``, as standins.hashing_embedder makes it."""
     digit = lambda at: f"('0x' || substr(h, {at}, 2))::INT"
     return f"""SELECT {key}, array_agg((CASE WHEN norm > 0 THEN coalesce(x, 0) / norm ELSE 0 END)::FLOAT ORDER BY dim) v FROM
  (SELECT {key}, unnest(range(0, {1 << dim_bits})) dim FROM {table}) LEFT JOIN

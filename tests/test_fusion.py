@@ -4,8 +4,8 @@ import random
 
 import pytest
 
-from passages.functions import models
 from passages.operators import answer, fusion, postings
+from passages.plans import standins
 from tests.test_search import bm25
 
 
@@ -59,12 +59,12 @@ def test_documents(spark, tmp_path):
     texts = [(i, " ".join(rnd.choices([f"w{j}" for j in range(40)], k=rnd.randint(1, 12)))) for i in range(90)]
     texts += [(100, texts[0][1]), (101, texts[0][1]), (102, "")]
     asked = [(1, "w1 w2 w3"), (2, "w7"), (3, "nothing known"), (4, texts[0][1])]
-    make = lambda: models.hashing_embedder(16)
+    make = lambda: standins.hashing_embedder(16)
     docs = answer.embedded(spark.createDataFrame(texts, "doc_id long, text string"), make, "document")
     q = answer.embedded(spark.createDataFrame(asked, "query_id long, text string"), make, "query")
     index = postings.build(docs.selectExpr("doc_id", "0 chunk_no", "text"), f"{tmp_path}/i", shard=8)
     got = fusion.exact_top(fusion.vector_source(docs, q, "doc_id"), fusion.keyword_source(index, q), q, ["doc_id"], 3, depth=8).orderBy("query_id", "method", "rank").collect()
-    embed = models.hashing_embedder(16)
+    embed = standins.hashing_embedder(16)
     for i, text in asked:
         a = embed([text], "query")[0]
         v = {d: sum(x * y for x, y in zip(a, embed([t], "document")[0])) for d, t in texts}

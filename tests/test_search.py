@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from passages.functions import models
 from passages.operators import ann, answer, evaluate, expand, fusion, lexical, prompt, vectors
 from passages.operators.topk import top_k
+from passages.plans import standins
 
 CHUNKS = [(1, 0, "the xx-1 error code"), (1, 1, ""), (2, 0, "notes and the export of notes"), (2, 1, "the xx-1 error code"), (3, 0, "plans"), (3, 1, None)]
 QUERIES = [(1, "what is xx-1?"), (2, "notes notes export"), (3, "unknown"), (4, "!!"), (5, "the")]
@@ -210,7 +211,7 @@ def test_measures(spark):
 
 def test_models(spark):
     df = spark.createDataFrame([("a b",), (None,), ("",)], "t string")
-    got = [r.v for r in df.select(models.embed_udf(lambda: models.hashing_embedder(8))(F.col("t")).alias("v")).collect()]
+    got = [r.v for r in df.select(models.embed_udf(lambda: standins.hashing_embedder(8))(F.col("t")).alias("v")).collect()]
     assert got[1] is None and sum(x * x for x in got[0]) == pytest.approx(1, abs=1e-5) and got[2] == [0.0] * 8
     assert df.limit(1).select(models.generate_udf(lambda: lambda s, u, n: u.upper())(F.col("t")).alias("o")).first().o == "A B"
     overlap = models.score_udf(lambda q, t: pd.Series([float(len(set(a.split()) & set(b.split()))) for a, b in zip(q, t)]))
@@ -222,7 +223,7 @@ def test_answers_and_drafts(spark):
     calls = spark.sparkContext.accumulator(0)
 
     def make_embed():
-        inner = models.hashing_embedder(64)
+        inner = standins.hashing_embedder(64)
 
         def embed(batch, input_type):
             calls.add(len(batch))
@@ -244,6 +245,39 @@ def test_answers_and_drafts(spark):
     assert [(r.query_id, r.vec_id) for r in drafted] == [(2, 0)]
 
 
+LETTERS = lambda: lambda texts, kind: [[float(t.count(c)) for c in "abcd"] for t in texts]
+
+
+def test_phrasings_are_searched_each_by_its_own_vector(spark):
+    docs = spark.createDataFrame([(i, LETTERS()([t], "")[0]) for i, t in enumerate(["aaa", "bbb", "ccc", "ab", "dd", "aaa"])], "vec_id long, embedding array<float>")
+    questions = spark.createDataFrame([(1, "a"), (2, "c"), (3, None), (4, "d")], "query_id long, text string")
+    replies = spark.createDataFrame([(1, "- bb\n\n\u2022 ab "), (2, ""), (3, "d"), (9, "a")], "query_id long, reply string")
+    got = {}
+    for r in answer.by_phrasings(questions, replies, docs, LETTERS, 3).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, round(r.score, 6)))
+    assert got[1] == [(0, 1.0), (5, 1.0), (3, 1.0)]  # the question found 3 too, below the best, so it was seen before 1
+    assert got[2][0] == (2, 1.0) and got[3][0] == (4, 1.0) and got[4][0] == (4, 1.0) and set(got) == {1, 2, 3, 4}
+    said = answer.multi_query(questions, docs, lambda: lambda system, user, n: "bb", LETTERS, 2)
+    assert {r.vec_id for r in said.filter("query_id = 4").collect()} == {1, 4}
+
+
+def test_context_is_embedded_and_the_bare_text_found(spark):
+    chunks = spark.createDataFrame([("s1", 0, "aa"), ("s2", 0, "aa"), ("s1", 1, None)], "source string, chunk_no int, text string")
+    docs = spark.createDataFrame([("s1", "bbbbb"), ("s2", None)], "source string, text string")
+    index = answer.contextual_index(chunks, docs, F.col("document"), LETTERS)
+    questions = spark.createDataFrame([(1, "abbb"), (2, "a"), (3, "b")], "query_id long, text string")
+    hits = answer.retrieve(questions, index, LETTERS, 1, key=["source", "chunk_no"]).join(index, ["source", "chunk_no"])
+    assert {(r.query_id, r.source, r.text) for r in hits.collect()} == {(1, "s1", "aa"), (2, "s2", "aa"), (3, "s1", None)}  # a chunk without text has its context's vector
+
+
+def test_parents_of_found_windows(spark):
+    sections = spark.createDataFrame([("s", 0, "x", "aa bb cc"), ("s", 1, "y", "dd"), ("s", 2, "x", "late body here too")], "source string, section_no int, heading string, body string")
+    windows = spark.createDataFrame([("s", 0, 0, "x", "aa bb"), ("s", 0, 1, "x", "cc"), ("s", 1, 0, "y", "dd")], "source string, section_no int, chunk_no int, heading string, text string")
+    questions = spark.createDataFrame([(1, "c"), (2, "d"), (3, None)], "query_id long, text string")
+    got = answer.found_parents(questions, answer.embedded(windows, LETTERS, "document"), sections, LETTERS, 1)
+    assert {(r.query_id, r.section_no, r.chunk_no, r.parent, r.ratio) for r in got.collect()} == {(1, 0, 1, "late body here too", 4), (2, 1, 0, "dd", 1)}
+
+
 def test_containing(spark):
     docs = spark.createDataFrame([(1, "xa b c d e f gz  h"), (2, "a b c d e f g"), (3, "b c d e f"), (4, None), (5, "")], "doc_id int, text string")
     items = spark.createDataFrame([(1, "a b c d e f g"), (2, "c d"), (3, "q r s t u v w"), (4, None), (5, "a b  c d e f g")], "query_id int, item string")
