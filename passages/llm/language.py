@@ -6,9 +6,9 @@ the row's host. Host priors are smoothed hierarchically: a host's counts shrink
 to the suffix's, these to the whole corpus; all are grouped sums of the text posteriors of all rows. A row's own
 posterior is taken out of all four, so its text counts once.
 
-The text models are fitted on a bounded sample of rows that declare their language (``Settings.fit_rows``
-rows for each language, on average, for the ``Settings.languages`` that most rows declare); all other statistics
-cover every row. Of a declaration such as ``de-AT`` or ``pt_BR`` the primary part counts, if it has two or three letters.
+Every language that a row with letters declares has a text model, fitted on a bounded sample of such rows
+(``Settings.fit_rows`` rows for each language, on average); all other statistics cover every row. Of a declaration such as
+``de-AT`` or ``pt_BR`` the primary part counts, if it has two or three letters, so there are at most 26**2 + 26**3 languages.
 
 Defined results: rows whose text is null, empty or without letters, or fits a uniform model better than
 any language, are not accepted (language ``und`` for the former); null declarations and hosts give no evidence; ties go to the
@@ -40,9 +40,13 @@ SUFFIX_LANGUAGE = {
 }
 
 
+#: Share of a text that counts as none, so that a row adds only the languages it may be in to its host.
+NO_SHARE = 1e-12
+
+
 @dataclass(frozen=True)
 class Settings:
-    languages: int = 64  #: most languages with a text model
+    block: int = 64  #: languages whose counts the driver reads at a time
     fit_rows: int = 400  #: labelled rows of each language for the text models, on average
     buckets: int = 1 << 14  #: hash buckets of byte trigrams
     mixed: float = 0.1  #: share of the uniform model mixed into each language's
@@ -78,18 +82,24 @@ def _counted(frames: Iterator[pd.DataFrame], buckets: int) -> Iterator[pd.DataFr
 
 
 @tidy
-def _scored(batches: Iterator[pd.Series], model: np.ndarray, buckets: int) -> Iterator[pd.DataFrame]:
+def _scored(batches: Iterator[pd.Series], model: np.ndarray, s: Settings) -> Iterator[pd.DataFrame]:
     for texts in batches:
         out = []
         for text in texts:
-            at = trigrams(text, buckets)
-            out.append((len(at), (model[at].sum(axis=0, dtype=np.float64) / max(1, len(at))).tolist()))
-        yield pd.DataFrame(out, columns=["n", "mean"])
-
-
-def _scorer(model: np.ndarray, buckets: int):
+            at = trigrams(text, s.buckets)
+            times = np.bincount(at, minlength=s.buckets)
+            used = np.flatnonzero(times)
+            mean = times[used] @ model[used].astype(np.float64) / max(1, len(at))
+            share = np.exp(min(len(at), s.effective) * (mean - mean.max()))
+            share /= share.sum()
+            share[(share < NO_SHARE) | (len(at) == 0)] = 0.0
+            out.append((len(at), mean, share))
+        yield pd.DataFrame(out, columns=["n", "mean", "own"])
+
+
+def _scorer(model: np.ndarray, s: Settings):
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        return _scored(batches, model, buckets)
+        return _scored(batches, model, s)
 
     return score
 
@@ -101,25 +111,22 @@ def primary(tag: Column) -> Column:
 
 
 def fit(rows: DataFrame, text: str, declared: str, s: Settings) -> tuple[list[str], np.ndarray]:
-    """Languages and log probabilities (buckets x languages). The driver gets at most ``buckets`` sums a language."""
+    """Languages and log probabilities (buckets x languages). The driver holds four bytes for each bucket and language,
+    64 KB a language, and reads the sums of ``Settings.block`` languages at a time."""
     labelled = rows.select(primary(F.col(declared)).alias("lang"), F.col(text).alias("text"), "__row").filter("lang IS NOT NULL")
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(s.languages)
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("rows"))
     drawn = labelled.join(F.broadcast(sizes), "lang").filter(F.pmod(F.xxhash64("__row"), F.lit(1 << 30)) < F.lit(float(1 << 30)) * s.fit_rows / F.col("rows"))
-    counts = drawn.select("lang", "text").mapInPandas(partial(_counted, buckets=s.buckets), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(counts["lang"].unique())
-    share = np.zeros((s.buckets, len(langs)))
-    for i, lang in enumerate(langs):
-        own = counts[counts["lang"] == lang]
-        share[own["bucket"], i] = own["n"] / own["n"].sum()
-    return langs, np.log((1 - s.mixed) * share + s.mixed / s.buckets).astype(np.float32)
-
-
-def _normalised(logs: list[Column]) -> list[Column]:
-    """Probabilities in proportion to exp of the columns."""
-    top = F.greatest(*logs) if len(logs) > 1 else logs[0]
-    each = [F.exp(x - top) for x in logs]
-    total = sum(each[1:], each[0])
-    return [x / total for x in each]
+    counts = drawn.select("lang", "text").mapInPandas(partial(_counted, buckets=s.buckets), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = written(counts, "language-counts")
+    langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
+    model = np.empty((s.buckets, len(langs)), dtype=np.float32)
+    for start in range(0, len(langs), s.block):
+        some = counts.filter(F.col("lang").isin(langs[start : start + s.block])).toPandas()
+        for lang, own in some.groupby("lang"):
+            share = np.zeros(s.buckets)
+            share[own["bucket"]] = own["n"] / own["n"].sum()
+            model[:, langs.index(lang)] = np.log((1 - s.mixed) * share + s.mixed / s.buckets)
+    return langs, model
 
 
 def _identified(docs: DataFrame, text: str, declared: str, host: str, s: Settings) -> DataFrame:
@@ -131,66 +138,85 @@ def _identified(docs: DataFrame, text: str, declared: str, host: str, s: Setting
         lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
         none = F.lit(None).cast("string")
         return rows.select(*carried, "__row", none.alias("language"), F.lit(None).cast("double").alias("posterior"), none.alias("text_language"), lettered.alias("accepted"))
-    score = F.pandas_udf(_scorer(model, s.buckets), "n int, mean array<double>")
+    score = F.pandas_udf(_scorer(model, s), "n int, mean array<double>, own array<double>")
     address = F.lower(F.coalesce(F.col(host), F.lit("")))
     labels = F.split(address, r"\.")
-    n_langs = range(len(langs))
-    weight = F.least(F.col("__t.n"), F.lit(s.effective))
-    own = F.when(F.col("__t.n") > 0, F.array(*_normalised([weight * F.col("__t.mean")[i] for i in n_langs]))).otherwise(F.array(*[F.lit(0.0) for _ in n_langs]))
     scored = rows.withColumn("__t", score(F.col(text))).select(
-        *carried, "__row", F.col("__t.n").alias("__n"), F.col("__t.mean").alias("__mean"), own.alias("__own"), primary(F.col(declared)).alias("__said"),
+        *carried, "__row", F.col("__t.n").alias("__n"), F.col("__t.mean").alias("__mean"), F.col("__t.own").alias("__own"), primary(F.col(declared)).alias("__said"),
         address.alias("__host"),
         F.when(F.size(labels) > 1, F.concat_ws(".", F.element_at(labels, -2), F.element_at(labels, -1))).otherwise("").alias("__domain"),
         F.when(F.size(labels) > 1, F.element_at(labels, -1)).otherwise("").alias("__suffix"),
     ).withColumn("__salt", salt(64, F.col("__row")))
     scored = written(scored, "language-scores")
+    priors = _levels(scored, len(langs))
 
-    # grouped sums: by host and salt, then up the hierarchy
-    parts = scored.groupBy("__host", "__domain", "__suffix", "__salt").agg(*[F.sum(F.col("__own")[i]).alias(f"c{i}") for i in n_langs])
-    up = lambda df, keys: df.groupBy(*keys).agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in n_langs])
-    hosts = written(up(parts, ["__host", "__domain", "__suffix"]), "language-hosts")
-    n_hosts = hosts.count()
-    as_array = lambda df, name: df.select(*[c for c in df.columns if c[:2] == "__"], F.array(*[F.col(f"c{i}") for i in n_langs]).alias(name))
-    levels = as_array(hosts, "__by_host").join(small(as_array(up(hosts, ["__domain", "__suffix"]), "__by_domain"), n_hosts), ["__domain", "__suffix"])
-    suffixes = written(as_array(up(hosts, ["__suffix"]), "__by_suffix"), "language-suffixes")  # a suffix may have a third of all hosts
-    levels = levels.join(small(suffixes, suffixes.count()), "__suffix").crossJoin(F.broadcast(as_array(up(hosts, []), "__by_all")))  # the last is one row
-    counts = ["__by_all", "__by_suffix", "__by_domain", "__by_host"]
-    priors = parts.select("__host", "__salt").join(small(levels.select("__host", *counts), n_hosts), "__host")
-
-    def prior(i: int) -> Column:
+    said = F.coalesce(F.array_position(F.lit(langs), F.col("__said")), F.lit(0))
+    speaks = F.try_element_at(F.create_map(*[F.lit(x) for kv in SUFFIX_LANGUAGE.items() for x in kv]), F.col("__suffix"))
+    means = F.coalesce(F.array_position(F.lit(langs), speaks), F.lit(0))
+
+    def prior(i: Column) -> Column:
         """The smoothed share of a language among the other rows: of all, of the suffix, of the domain, of the host."""
-        own, out = F.col("__own")[i], F.lit(1.0 / len(langs))
-        mass = F.when(F.col("__n") > 0, 1.0).otherwise(0.0)
-        for name in counts:
+        own, out = F.get("__own", i), F.lit(1.0 / len(langs))
+        for name in LEVELS:
             k = float(len(langs)) if name == "__by_all" else s.shrink
-            total = F.aggregate(name, F.lit(0.0), lambda a, x: a + x)
-            out = (F.greatest(F.col(name)[i] - own, F.lit(0.0)) + k * out) / (F.greatest(total - mass, F.lit(0.0)) + k)
+            out = (F.greatest(F.get(name, i) - own, F.lit(0.0)) + k * out) / (F.greatest(F.col(f"{name}_n") - 1.0, F.lit(0.0)) + k)
         return out
 
-    meant = F.try_element_at(F.create_map(*[F.lit(x) for kv in SUFFIX_LANGUAGE.items() for x in kv]), F.col("__suffix"))
-
-    def evidence(by: Column, lang: str, trust: float) -> Column:
-        if len(langs) == 1:
-            return F.lit(0.0)
-        off = float(np.log((1 - trust) / (len(langs) - 1)))
-        return F.when(by.isin(*langs), F.when(by == lang, float(np.log(trust))).otherwise(off)).otherwise(0.0)
+    def evidence(place: str, i: Column, trust: float) -> Column:
+        """Of a language at a place in ``langs`` from 1, or 0 if it is none of them."""
+        off = float(np.log((1 - trust) / max(1, len(langs) - 1)))
+        return F.when((F.col(place) == 0) | F.lit(len(langs) == 1), 0.0).when(F.col(place) == i + 1, float(np.log(trust))).otherwise(off)
 
     text_weight = F.least(F.col("__n"), F.lit(s.effective))
-    joined = scored.join(priors, ["__host", "__salt"]).withColumn("__meant", meant)
-    logs = joined.withColumns({f"__log{i}": text_weight * F.col("__mean")[i] + F.log(prior(i)) + evidence(F.col("__said"), lang, s.declared_trust) + evidence(F.col("__meant"), lang, s.suffix_trust) for i, lang in enumerate(langs)})
-    fused = logs.withColumn("__post", F.array(*_normalised([F.col(f"__log{i}") for i in n_langs])))
-    best, best_text = F.array_max("__post"), F.array_max("__mean")
-    names = F.array(*[F.lit(x) for x in langs])
+    joined = scored.join(priors, ["__host", "__salt"], "left").withColumns({"__said_at": said, "__means_at": means})
+    fused = joined.withColumn(
+        "__logs",
+        F.transform(
+            F.sequence(F.lit(0), F.lit(len(langs) - 1)),
+            lambda i: text_weight * F.get("__mean", i) + F.log(prior(i)) + evidence("__said_at", i, s.declared_trust) + evidence("__means_at", i, s.suffix_trust),
+        ),
+    )
+    fused = fused.withColumns({"__top": F.array_max("__logs"), "__text": F.array_max("__mean")})
+    fused = fused.withColumn("__best", 1.0 / F.aggregate("__logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("__top"))))
+    named = lambda logs, top: F.get(F.lit(langs), (F.array_position(logs, F.col(top)) - 1).cast("int"))
     lettered = F.col("__n") > 0
     return fused.select(
         *carried, "__row",
-        F.when(lettered, names[(F.array_position("__post", best) - 1).cast("int")]).otherwise("und").alias("language"),
-        F.when(lettered, F.round(best, 6)).otherwise(0.0).alias("posterior"),
-        F.when(lettered, names[(F.array_position("__mean", best_text) - 1).cast("int")]).otherwise("und").alias("text_language"),
-        (lettered & (best >= s.least) & (best_text >= float(-np.log(s.buckets)))).alias("accepted"),
+        F.when(lettered, named("__logs", "__top")).otherwise("und").alias("language"),
+        F.when(lettered, F.round("__best", 6)).otherwise(0.0).alias("posterior"),
+        F.when(lettered, named("__mean", "__text")).otherwise("und").alias("text_language"),
+        (lettered & (F.col("__best") >= s.least) & (F.col("__text") >= float(-np.log(s.buckets)))).alias("accepted"),
     )
 
 
+#: Levels of the hosts' hierarchy, the widest first.
+LEVELS = ["__by_all", "__by_suffix", "__by_domain", "__by_host"]
+
+
+def _levels(scored: DataFrame, n_langs: int) -> DataFrame:
+    """For each host and salt that has a text with letters, the sums of its rows' shares by language, and those of its domain, its suffix and
+    all rows, as an array for each level and their totals (``..._n``).
+
+    Shares are summed as rows (host, salt, language), which a language that no text of a host may be in has none of. Broadcast
+    sides are counted in array elements, one for each language and level."""
+    host = ["__host", "__domain", "__suffix"]
+    shares = scored.select(*host, "__salt", F.posexplode("__own").alias("__i", "__c")).filter("__c > 0")
+    up = lambda df, keys: df.groupBy(*keys, "__i").agg(F.sum("__c").alias("__c"))
+    sums = written(up(up(shares, [*host, "__salt"]), host), "language-hosts")
+
+    def level(keys: list[str], name: str) -> DataFrame:
+        one = up(sums, keys).groupBy(*keys).agg(F.coalesce(F.sum("__c"), F.lit(0.0)).alias(f"{name}_n"), F.map_from_entries(F.collect_list(F.struct("__i", "__c"))).alias("__map"))
+        every = F.transform(F.sequence(F.lit(0), F.lit(n_langs - 1)), lambda i: F.coalesce(F.try_element_at("__map", i), F.lit(0.0)))
+        return one.select(*keys, f"{name}_n", every.alias(name))
+
+    n_hosts = sums.select("__host").distinct().count()
+    suffixes = written(level(["__suffix"], "__by_suffix"), "language-suffixes")  # a suffix may have a third of all hosts
+    levels = level(host, "__by_host").join(small(level(["__domain", "__suffix"], "__by_domain"), n_hosts * n_langs), ["__domain", "__suffix"])
+    levels = levels.join(small(suffixes, suffixes.count() * n_langs), "__suffix").crossJoin(F.broadcast(level([], "__by_all")))  # the last is one row
+    keys = scored.filter("__n > 0").select("__host", "__salt").distinct()
+    return keys.join(small(levels.drop("__domain", "__suffix"), n_hosts * n_langs * len(LEVELS)), "__host")
+
+
 def identify(docs: DataFrame, text: str = "text", declared: str = "lang", host: str = "source", s: Settings = Settings()) -> DataFrame:
     """``docs`` without ``text``, with ``language``, ``posterior``, ``text_language`` and ``accepted``, which replace such columns."""
     return _identified(docs, text, declared, host, s).drop("__row")

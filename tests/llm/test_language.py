@@ -108,8 +108,21 @@ def test_fusion_equals_a_row_by_row_version(spark, tmp_path):
         assert (r.language, r.text_language, r.accepted) == (want[r.doc_id][0], *want[r.doc_id][2:]) and abs(r.posterior - want[r.doc_id][1]) < 2e-6
 
 
-def test_most_languages(spark, tmp_path):
-    rows = [(i, EN, ("en", "de", "fr")[min(i // 3, 2)], "c", 1) for i in range(8)]
-    assert {r.language for r in language.identify(docs(spark, tmp_path, rows), s=language.Settings(languages=2)).collect()} <= {"de", "en"}
+def test_every_declared_language_has_a_model(spark, tmp_path):
+    tags = [a + b for a in "abcdefghij" for b in "klmnopqrs"]
+    rows = [(i, " ".join(f"{tag}{tag[::-1]}{'aeiou'[(i + j) % 5]}" for j in range(12)), tag, f"h{i % 7}.example.org", 1) for i, tag in enumerate(t for t in tags for _ in range(3 if t == "ak" else 2))]
+    rows += [(1000, "akka akkao " * 30000, None, None, 1)]
+    stored = docs(spark, tmp_path, rows)
+    langs, model = language.fit(with_row_id(stored, "__row"), "text", "lang", language.Settings(block=8))
+    assert langs == tags and np.allclose(np.exp(model.astype(float)).sum(axis=0), 1, atol=1e-3)
+    assert np.array_equal(model, language.fit(with_row_id(stored, "__row"), "text", "lang", language.Settings())[1])
+    got = {r.doc_id: r for r in language.identify(stored).collect()}
+    assert all(got[i].language == tag == got[i].text_language and got[i].accepted for i, _, tag, _, _ in rows if tag)
+    assert got[1000].language == "ak"
+    want = brute([r[:4] for r in rows], langs, model, language.Settings())
+    assert all((r.language, r.text_language, r.accepted) == (want[i][0], *want[i][2:]) and abs(r.posterior - want[i][1]) < 2e-6 for i, r in got.items())
+
+
+def test_tags(spark):
     said = spark.createDataFrame([("de-AT",), (" PT_br",), ("english",), ("x",), (None,), ("eng",)], "t string")
     assert [r.p for r in said.select(language.primary(F.col("t")).alias("p")).collect()] == ["de", "pt", None, None, None, "eng"]
