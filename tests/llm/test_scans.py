@@ -156,3 +156,11 @@ def test_pii_extra_kinds_against_plain_expressions():
         for kind, r in rx.items():
             want = [(m.start(1 if r.groups else 0), m.end()) for m in r.finditer(t) if kind != "ssn" or m[1][:3] not in ("000", "666")]
             assert [(s, e) for k, s, e in found if k == kind] == want, (kind, t)
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, spans string, row_id int")
+    for report in (pii.pii_report, secrets.secret_report, licenses.licence_report):
+        assert report(none).count() == 0
+    assert pii.pii_redacted(none).columns == none.columns and pii.pii_redacted(none).count() == 0
+    assert secrets.secret_spans(none).count() == 0
