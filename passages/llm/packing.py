@@ -17,11 +17,13 @@ import random
 import struct
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import cache, partial
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -41,17 +43,25 @@ class Settings:
     generations: int = 12
 
 
+@cache
+def _packed(n: int) -> Callable[..., bytes]:
+    """Packs n ids, little-endian."""
+    return struct.Struct(f"<{n}I").pack
+
+
 class Words(dict):
     """Ids of each word, as little-endian bytes, kept while words repeat. When grown large it starts anew and keeps
     the former words beside it for one more turn, so frequent words stay.
 
     The tokenizer splits at white space and, there, into runs of letters, single digits and runs of other
     characters; so a text's ids are those of its words in a row, and a word that ends in an ASCII letter or
-    digit with punctuation after it is two (another character before may be of the same run). Letters go straight to the model; everything else through the whole tokenizer.
+    digit with punctuation after it is two (another character before may be of the same run), which are kept
+    apart. Letters go straight to the model; everything else through the whole tokenizer. Each word that texts
+    taken together hold is looked up once.
     """
 
     _TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-    most = 100_000
+    most = 200_000
 
     def __init__(self, path: str):
         self.former: dict[bytes, bytes] = {}
@@ -69,11 +79,7 @@ class Words(dict):
             self.clear()
         ids = self.former.get(word)
         if ids is None:
-            core = word.rstrip(self._TAIL)
-            if len(core) < len(word) and core[-1:].isalnum():  # of bytes: ASCII only
-                ids = self[core] + self[word[len(core) :]]
-            else:
-                ids = self._ids(word)
+            ids = self._ids(word)
         self[word] = ids
         return ids
 
@@ -85,31 +91,67 @@ class Words(dict):
             ids = [t.id for t in self.model.tokenize("".join(map(self.alphabet.__getitem__, low.encode())))]
         else:
             ids = self.whole.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return _packed(len(ids))(*ids)
+
+    def _parted(self, word: bytes) -> bytes:
+        if word.isalpha():
+            return self[word]
+        core = word.rstrip(self._TAIL)
+        if len(core) < len(word) and core[-1:].isalnum():  # of bytes: ASCII only
+            return self[core] + self[word[len(core) :]]
+        return self[word]
+
+    def of_all(self, texts: Iterable[str | None]) -> list[bytes]:
+        """All ids of each text."""
+        texts = [t or "" for t in texts]
+        special = {i for i, t in enumerate(texts) if "<|" in t}  # may hold a special token, which is found before lower-casing
+        plain = ["" if i in special else t for i, t in enumerate(texts)]
+        raw = pa.array([t.encode("utf-8", "replace").lower() for t in plain], pa.large_binary())
+        split = pc.ascii_split_whitespace(raw.view(pa.large_string()))
+        coded = split.values.dictionary_encode()
+        ids = list(map(self._parted, coded.dictionary.view(pa.large_binary()).to_numpy(zero_copy_only=False)))
+        codes, cuts = coded.indices.to_numpy(), split.offsets.to_numpy()
+        out = [b"".join(map(ids.__getitem__, codes[at:end].tolist())) for at, end in zip(cuts[:-1], cuts[1:])]
+        for i in special:
+            out[i] = b"".join(t.to_bytes(4, "little") for t in self.whole.encode(texts[i], add_special_tokens=False).ids)
+        return out
 
     def of(self, text: str | None) -> bytes:
         """All ids of a text."""
-        text = text or ""
-        if "<|" in text:  # may hold a special token, which is found before lower-casing
-            return b"".join(i.to_bytes(4, "little") for i in self.whole.encode(text, add_special_tokens=False).ids)
-        return b"".join(map(self.__getitem__, text.encode("utf-8", "replace").lower().split()))
+        return self.of_all([text])[0]
 
 
 _words: dict[str, Words] = {}
+_TOGETHER = 1 << 22  # code points of texts whose words are looked up together, about
 _LEVELS = 8  # cells are packed again in fewer cells so often at most; each time they are some hundred times fewer
 
 
+def _groups(doc_ids: Iterable, texts: Iterable[str | None]) -> Iterator[tuple[list, list]]:
+    """Documents in their order, in groups of about ``_TOGETHER`` code points; a longer text ends its group."""
+    size, group = 0, ([], [])
+    for doc_id, text in zip(doc_ids, texts):
+        group[0].append(doc_id)
+        group[1].append(text)
+        size += len(text or "")
+        if size >= _TOGETHER:
+            yield group
+            size, group = 0, ([], [])
+    if group[0]:
+        yield group
+
+
 @tidy
 def _pieces(frames: Iterator[pd.DataFrame], s: Settings, path: str) -> Iterator[pd.DataFrame]:
     words = _words[path] = _words.get(path) or Words(path)
     step, end = 4 * s.capacity, s.end_id.to_bytes(4, "little")
     for frame in frames:
         out = []
-        for doc_id, text in zip(frame["doc_id"], frame["text"]):
-            ids = words.of(text) + end
-            for piece, at in enumerate(range(0, len(ids), step)):
-                part = ids[at : at + step]
-                out.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+        for doc_ids, texts in _groups(frame["doc_id"], frame["text"]):
+            for doc_id, ids in zip(doc_ids, words.of_all(texts)):
+                ids += end
+                for piece, at in enumerate(range(0, len(ids), step)):
+                    part = ids[at : at + step]
+                    out.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
         yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
 
 

@@ -32,6 +32,25 @@ def test_punctuation_after_punctuation_is_one_run():
         assert words.of(t) == b"".join(i.to_bytes(4, "little") for i in whole.encode(t, add_special_tokens=False).ids), t
 
 
+def test_a_word_of_several_texts_is_looked_up_once(monkeypatch):
+    words, whole = packing.Words(public_tokenizers.path("word_bpe_49k.json")), tokenizer()
+    words.most, seen, ids_of = 2, [], words._ids  # what is kept is dropped all the time
+    monkeypatch.setattr(words, "_ids", lambda word: seen.append(word) or ids_of(word))
+    texts = ["one two, three four"] * 50 + [None, "", "  ", "two four. ", *ODD, "five\x0bsix\x1cseven <|startoftext|> five"]
+    got = words.of_all(texts)
+    for t, ids in zip(texts, got, strict=True):
+        assert ids == b"".join(i.to_bytes(4, "little") for i in whole.encode(t or "", add_special_tokens=False).ids), t
+    assert seen.count(b"one") == seen.count(b"three") == 1 and len(seen) < 150
+
+
+def test_groups_of_texts_change_nothing(monkeypatch):
+    texts = ["a bc, d"] * 3 + [None, "", "x" * 50, "e f g"]
+    monkeypatch.setattr(packing, "_TOGETHER", 10)
+    groups = list(packing._groups(range(7), texts))
+    assert [i for ids, _ in groups for i in ids] == list(range(7)) and [t for _, ts in groups for t in ts] == texts
+    assert len(groups) == 3 and not list(packing._groups([], []))
+
+
 def test_report(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     odd = spark.createDataFrame([(10_000 + i, t) for i, t in enumerate([*ODD, None, "", "word " * 9000])], "doc_id long, text string")
