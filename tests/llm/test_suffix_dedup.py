@@ -54,6 +54,26 @@ def test_report_equals_dictionary(spark, tmp_path):
     assert sd.report(frame(spark, tmp_path, docs).limit(0)).count() == 0
 
 
+def test_removed_runs_and_kept_texts(spark, tmp_path):
+    """A passage of over 50 words goes where it has 400 bytes, and stays where it has not; sizes are of the input either way."""
+    rng = random.Random(8)
+    text = lambda n, size: " ".join("".join(rng.choice("abcdefghiê") for _ in range(size)) for _ in range(n))
+    long, short = text(60, 9), text(60, 3)
+    docs = [(i, text(80, 7) + "<" * (i + 1) + p + ">" * (i + 1) + text(80, 7)) for i, p in enumerate([long, long, short, short])] + [(4, None), (5, "")]
+    df = frame(spark, tmp_path, docs)
+    got, kept = {r.doc_id: r for r in sd.report(df).collect()}, {r.doc_id: bytes(r.kept) for r in sd.kept_texts(df).collect()}
+    assert len(got) == len(kept) == 6 and len(short.encode()) < 398
+    for d, t in docs:
+        raw, runs = (t or "").encode(), [(x.start, x.end) for x in got[d].removed]
+        assert got[d].n_bytes == len(raw) and got[d].n_spans == len(runs) and got[d].n_removed == sum(e - b for b, e in runs)
+        assert hashlib.sha256(kept[d]).hexdigest() == got[d].kept_sha256
+        if d > 1:
+            assert not runs and kept[d] == raw
+        else:
+            assert [raw[b:e].decode() for b, e in runs] == ["<" + long + ">"]
+            assert kept[d] == raw.replace(("<" + long + ">").encode(), b"")
+
+
 def test_dealt_anchors(spark, tmp_path):
     for seed, s in ((2, sd.Settings(span=40, gram=20, cell=4, bucket=50)), (3, sd.Settings(span=24, gram=16, cell=2, bucket=7))):
         docs = corpus(seed, s.span)
