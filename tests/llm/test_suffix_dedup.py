@@ -4,10 +4,28 @@ import hashlib
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 
 from passages.llm import suffix_dedup as sd
 
+D = "/root/testdata/sf0.001"
+#: Every 400-byte window of every document, in hexadecimal; nothing of the operator's method.
+WINDOWS_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 399)) AS i FROM d)),
+r AS (SELECT doc_id, i, i > lag(i, 1, -401) OVER (PARTITION BY doc_id ORDER BY i) + 400 AS new
+      FROM w WHERE s IN (SELECT s FROM w GROUP BY s HAVING count(*) > 1)),
+n AS (SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r),
+g AS (SELECT doc_id, min(i) AS start, max(i) + 400 AS "end" FROM n GROUP BY doc_id, run),
+p AS (SELECT doc_id, start, "end", lag("end", 1, 0) OVER (PARTITION BY doc_id ORDER BY start) AS past FROM g),
+k AS (SELECT doc_id, count(*) AS n_spans, sum("end" - start) AS n_removed, max("end") AS past,
+        string_agg(substr(h, 2 * past + 1, 2 * (start - past)), '' ORDER BY start) AS kept FROM p JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+    sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(past, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
 
 def brute(docs, span):
     raws = [(d, (t or "").encode()) for d, t in docs]
@@ -54,6 +72,17 @@ def test_report_equals_dictionary(spark, tmp_path):
     assert sd.report(frame(spark, tmp_path, docs).limit(0)).count() == 0
 
 
+def test_given_documents_equal_every_window(spark):
+    """Also that the benchmark's passages of over 50 words, which documents share, have under 400 bytes: only longer strings around them go."""
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{D}/{name}.parquet'")
+    got = result(sd.report(spark.read.parquet(f"{D}/documents.parquet")))
+    assert got == sorted(con.sql(WINDOWS_SQL).fetchall(), key=str) and sum(r[2] > 0 for r in got) > 10
+    sizes = con.sql("SELECT octet_length(encode(text)) FROM benchmark WHERE len(string_split(text, ' ')) > 50").fetchall()
+    assert sizes and max(sizes) < (400,)
+
+
 def test_removed_runs_and_kept_texts(spark, tmp_path):
     """A passage of over 50 words goes where it has 400 bytes, and stays where it has not; sizes are of the input either way."""
     rng = random.Random(8)
