@@ -52,11 +52,13 @@ _NEAR = 1e-9  # scores that ranking takes for equal
 class Source:
     """A list over all rows, for any queries. ``first(queries, n)``: (query_id, keys, score) of each query's first n rows, all of them if there are no
     more, in the order of :func:`top_k`. ``look_up(pairs)``: (query_id, keys, score) of chosen (query_id, keys). ``better(of)``: for ``of`` (query_id,
-    keys, score) the number of rows before each in its query's list, as ``better``."""
+    keys, score) the number of rows before each in its query's list, as ``better``. ``start(queries, n)``: (query_id, keys) of the n first keys, for lists
+    that may hold NaN, which makes all rows of a blend equal."""
 
     first: Callable[[DataFrame, int], DataFrame]
     look_up: Callable[[DataFrame], DataFrame]
     better: Callable[[DataFrame], DataFrame]
+    start: Callable[[DataFrame, int], DataFrame] | None = None
 
 
 def _batch_better(batches: Iterator[pd.DataFrame], asked: dict, key: str) -> Iterator[pd.DataFrame]:
@@ -64,7 +66,8 @@ def _batch_better(batches: Iterator[pd.DataFrame], asked: dict, key: str) -> Ite
         for q, rows in frame.groupby("query_id"):
             if q in asked:
                 keys, scores = asked[q]
-                order = np.lexsort((np.concatenate([keys, rows[key].to_numpy()]), -np.round(np.concatenate([scores, rows["score"].to_numpy()]), 9)))
+                both = np.round(np.concatenate([scores, rows["score"].to_numpy()]), 9)
+                order = np.lexsort((np.concatenate([keys, rows[key].to_numpy()]), -np.where(np.isnan(both), np.inf, both)))  # NaN comes first, as in SQL
                 before = np.cumsum(order >= len(keys))
                 mine = order < len(keys)  # of equals by score and key the chosen row comes first: it is the same row
                 yield pd.DataFrame({"query_id": q, key: keys[order[mine]], "better": before[mine]})
@@ -103,7 +106,8 @@ def exact_top(vector: Source, keyword: Source, queries: DataFrame, keys: list[st
     left = written(queries.select("query_id").distinct(), "fusion-queries")
     while not left.isEmpty():
         lists = {name: written(source.first(left, depth).select("query_id", *keys, "score"), name) for name, source in (("v", vector), ("w", keyword))}
-        pool = lists["v"].select("query_id", *keys).unionByName(lists["w"].select("query_id", *keys)).distinct()
+        heads = [x.select("query_id", *keys) for x in lists.values()] + [x.start(left, top).select("query_id", *keys) for x in (vector, keyword) if x.start]
+        pool = reduce(DataFrame.unionByName, heads).distinct()
         both = _with_missing(_with_missing(pool, lists["v"], vector, keys, "v"), lists["w"], keyword, keys, "w")
         ends = None
         for name, rows in lists.items():
@@ -125,7 +129,8 @@ def exact_top(vector: Source, keyword: Source, queries: DataFrame, keys: list[st
         facts = both.select("query_id", *keys, *[scores[m].alias(m) for m in methods])
         hits = written(top_k(facts.unpivot(["query_id", *keys], list(methods), "method", "score"), ["query_id", "method"], "score", keys, top), "fused")
         kth = hits.filter(F.col("rank") == top).groupBy("query_id").pivot("method", list(methods)).agg(F.first("score"))
-        above = lambda m: F.coalesce(F.col(m) > bounds[m] + _NEAR, F.lit(False))
+        # NaN is what all rows score then, and the first keys are pooled
+        above = lambda m: F.coalesce(F.isnan(m) | (F.col(m) > bounds[m] + _NEAR), F.lit(False))
         sure = (F.coalesce("most_v", F.lit(0.0)) >= 0) & (F.coalesce("most_w", F.lit(0.0)) >= 0)
         for m in bounds:
             sure = sure & above(m)
@@ -146,21 +151,24 @@ def list_source(lists: DataFrame, key: str) -> Source:
     return Source(first, lambda pairs: rows.join(pairs, ["query_id", key], "left_semi"), lambda of: counted_better(rows, of, key))
 
 
-def vector_source(vectors: DataFrame, asked: DataFrame, key: str, vector: str = "embedding") -> Source:
-    """Cosine over ``vectors`` (key, vector) for ``asked`` (query_id, vector)."""
+def vector_source(vectors: DataFrame, asked: DataFrame, key: str, vector: str = "embedding", undefined: float = 0.0) -> Source:
+    """Cosine over ``vectors`` (key, vector) for ``asked`` (query_id, vector); ``undefined`` as in :func:`passages.operators.vectors.knn`."""
     q = asked.select("query_id", F.col(vector).alias("__q"))
 
     def look_up(pairs: DataFrame) -> DataFrame:
-        return pairs.join(vectors.select(key, vector), key).join(q, "query_id").select("query_id", key, cosine(F.col(vector), F.col("__q")).alias("score"))
+        return pairs.join(vectors.select(key, vector), key).join(q, "query_id").select("query_id", key, cosine(F.col(vector), F.col("__q"), undefined).alias("score"))
 
     def first(queries: DataFrame, n: int) -> DataFrame:
-        return knn(vectors, asked.join(queries, "query_id", "left_semi"), n, key, vector)
+        return knn(vectors, asked.join(queries, "query_id", "left_semi"), n, key, vector, undefined)
 
     def better(of: DataFrame) -> DataFrame:
         chosen = asked.join(of.select("query_id").distinct(), "query_id", "left_semi")
-        return counted_better(all_scores(vectors, chosen, key, vector), of, key)
+        return counted_better(all_scores(vectors, chosen, key, vector, undefined), of, key)
 
-    return Source(first, look_up, better)
+    def start(queries: DataFrame, n: int) -> DataFrame:
+        return queries.select("query_id").crossJoin(F.broadcast(vectors.filter(F.col(vector).isNotNull()).select(key).orderBy(key).limit(n)))  # n rows
+
+    return Source(first, look_up, better, start if np.isnan(undefined) else None)
 
 
 def keyword_source(index: Stored, asked: DataFrame, key: str = "doc_id") -> Source:
